@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import frequencies, prefix, rarity, shingle_sets
-from .substrings import _NULL_ID, _anchor_messages, _deal, _exchange, _groups, _records
+from .substrings import _NULL_ID, _anchor_messages, _exchange, _groups, _records, deal, unpack
 from .tables import load, partitions, small, written
 from .words import chunks, mixed
 
 #: Token orders that candidates have to agree on; counts of a set's tokens in this many buckets bound what two sets share.
-ORDERS, BUCKETS = 3, 64
+ORDERS, BUCKETS = 3, 256
 #: Sets in one task that compares: candidates are dealt to pairs of blocks of about so many.
 BLOCK_SETS = 8000
 _TOKENS = [("h", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("sketch", "u1", (BUCKETS,))]
@@ -49,7 +49,7 @@ def _pairs(tokens: np.ndarray, share: float):
             if len(i):
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts[at]) - counts[at], counts[at])
                 x, y = rank[i], rank[j]
-                for part in np.array_split(np.arange(len(x)), max(1, len(x) >> 18)):
+                for part in np.array_split(np.arange(len(x)), max(1, len(x) >> 16)):
                     a, b = x[part], y[part]
                     apart = np.abs(sketch[a] - sketch[b]).sum(axis=1)
                     near = apart * (1 + share) <= (1 - share) * (n[a] + n[b]) + 1e-6
@@ -122,25 +122,25 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     def own_tokens(texts, doc, pdf):
         count = np.array([len(t) // 8 for t in texts], np.int64)
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return _records("anchor", h=np.frombuffer(b"".join(texts), "<u8"), doc=np.repeat(doc, count), at=place)
+        return _records("anchor", h=np.frombuffer(b"".join(texts), "<u8"), doc=np.repeat(doc, count), tag=0, at=place)
 
     met = _exchange(nodes.select("doc", "text"), own_tokens, "anchor", _anchor_messages, parts)
 
-    def deal(batches):
+    def spread(batches):
         for pdf in batches:
             for piece in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 1000)):
                 found = []
                 for r in pdf.iloc[piece].itertuples():
-                    at = np.unique(np.frombuffer(b"".join(map(bytes, r.blobs)), "<i8"))
+                    at = np.unique(np.concatenate([np.frombuffer(bytes(b), "<i4")[1:] for b in r.blobs]))
                     x = np.empty(len(at), _TOKENS)
                     x["h"], x["doc"], x["n"], x["sketch"] = np.frombuffer(bytes(r.text), "<u8")[at], r.doc, r.n, np.frombuffer(bytes(r.sketch), np.uint8)
                     found.append(x)
                 if found:
-                    yield _deal(np.concatenate(found), parts)
+                    yield deal(np.concatenate(found), parts, _TOKENS)
 
     def propose(batches):
         held = [bytes(x) for pdf in batches for x in pdf["data"]]
-        tokens = np.frombuffer(b"".join(held), _TOKENS)
+        tokens = unpack(held, _TOKENS)
         del held
         found, waiting, count = np.zeros((0, 2), np.int64), [], 0
         for pairs in _pairs(tokens, share):
@@ -154,10 +154,10 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
             begin = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
             yield pd.DataFrame({"a": found[begin, 0], "b": [x.tobytes() for x in np.split(found[:, 1], begin[1:])], "f": [x[:, 1][m].tobytes() for x, m in zip(np.split(found, begin[1:]), np.split(first, begin[1:]), strict=True)]})
 
-    sent = nodes.join(met.hint("shuffle_hash"), "doc").select("doc", "text", "n", "sketch", "blobs").mapInPandas(deal, "part int, doc long, data binary")
+    sent = nodes.join(met.hint("shuffle_hash"), "doc").select("doc", "text", "n", "sketch", "blobs").mapInPandas(spread, "part int, data binary, reply boolean")
     packed = written(sent.repartitionById(parts, F.col("part")).mapInPandas(propose, "a long, b binary, f binary"), "jaccard-candidates")
 
-    def unpack(column):
+    def spelled(column):
         def run(batches):
             for pdf in batches:
                 b = [np.unique(np.frombuffer(b"".join(map(bytes, x)), "<i8")) for x in pdf[column]]
@@ -165,8 +165,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
         return packed.where(F.length(column) > 0).groupBy("a").agg(F.collect_list(column).alias(column)).mapInPandas(run, "a long, b long")
 
-    forest = written(unpack("f"), "jaccard-forest")
-    pairs = written(unpack("b"), "jaccard-pairs")
+    forest = written(spelled("f"), "jaccard-forest")
+    pairs = written(spelled("b"), "jaccard-pairs")
     wanted = written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("doc").alias("a"), "rep", "d1", "d2"), "a"), "jaccard-wanted")
 
     def sets_of(batches):
@@ -178,7 +178,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     which = rows.join(small(wanted.select(F.col("a").alias("node"), "rep", "d1", "d2")), ["d1", "d2"]).where("doc = rep").select("doc", "node", "d1", "d2")
     texts = base.join(small(which.select("doc", "node", "d1", "d2").distinct()), "doc")
     found = written(texts.mapInPandas(sets_of, "node long, tokens binary").distinct(), "jaccard-sets")
-    blocks = max(16, -(-wanted.count() // BLOCK_SETS))
+    blocks = max(4, -(-2 * wanted.count() // BLOCK_SETS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -194,8 +194,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     links = written(verified(forest), "jaccard-links")
     known = components(links)
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    apart = (
-        pairs.join(forest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    apart = written(
+        pairs.join(forest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"),
+        "jaccard-apart",
     )
     more = written(verified(apart), "jaccard-links")
     if more.limit(1).count():
