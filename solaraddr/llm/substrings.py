@@ -18,37 +18,91 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Anchors or windows that one packed message gathers before it is sent.
 BATCH = 1 << 20
 _NULL_ID = -(1 << 63)
-_DEAL = "part int, doc long, data binary"
-_FIELDS = {"anchor": [("h", "<u8"), ("doc", "<i8"), ("at", "<i8")], "window": [("h", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("at", "<i8")]}
+_MESSAGE = "part int, data binary, reply boolean"
+_REPLY = [("doc", "<i8"), ("tag", "<i4"), ("at", "<i4")]
+#: Records of the exchanges: hashes, document, tag of its text (see _tag), place. Of an anchor's hash 6 bytes travel: it only names candidates.
+FIELDS = {
+    "anchor": [("h", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4")],
+    "window": [("h", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4")],
+}
+_SENT_BYTES = {"anchor": 6}
 
 
 def _tag(text: bytes) -> int:
-    """20 bits of the text, kept beside each position, so that rows that share an id are told apart."""
-    return zlib.crc32(text) & 0xFFFFF
+    """31 bits of the text, kept beside each place, so that rows that share an id are told apart."""
+    return zlib.crc32(text) & 0x7FFFFFFF
 
 
 def _rows(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [bytes(t) for t in pdf["text"]], pdf["doc"].to_numpy(np.int64)
 
 
-def _replies(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """Positions packed by document: one row a document, not dealt (part -1)."""
-    if not len(doc):
-        return pd.DataFrame({"part": [], "doc": [], "data": []})
-    order = np.argsort(doc, kind="stable")
-    doc, at = doc[order], at[order]
-    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    data = [x.astype("<i8").tobytes() for x in np.split(at, begin[1:])]
-    return pd.DataFrame({"part": -1, "doc": doc[begin], "data": data})
+def _replies(records: np.ndarray, parts: int) -> pd.DataFrame:
+    """Places of documents, one packed message for each part of the documents."""
+    if not len(records):
+        return pd.DataFrame({"part": [], "data": [], "reply": []})
+    part = records["doc"] % parts
+    order = np.lexsort((records["at"], records["doc"], part))
+    records, part = records[order], part[order]
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return pd.DataFrame({"part": part[begin], "data": [pack(x, _REPLY) for x in np.split(records, begin[1:])], "reply": True})
+
+
+def _delivered(batches):
+    """The replies to a part of the documents: for each document its places, one list (after the text's tag) for each of its texts."""
+    held = unpack([bytes(x) for pdf in batches for x in pdf["data"]], _REPLY)
+    if len(held):
+        r = held[np.lexsort((held["tag"], held["doc"]))]
+        begin = np.flatnonzero(np.concatenate([[True], (r["doc"][1:] != r["doc"][:-1]) | (r["tag"][1:] != r["tag"][:-1])]))
+        data = [x["tag"][:1].tobytes() + x["at"].tobytes() for x in np.split(r, begin[1:])]
+        doc = r["doc"][begin]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        yield pd.DataFrame({"doc": doc[first], "blobs": [data[i:j] for i, j in zip(first, [*first[1:], len(doc)], strict=True)]})
+
+
+def pack(records: np.ndarray, fields: list, sent: int = 8) -> bytes:
+    """Records by column: hashes as they are (`sent` bytes of the first), the others as differences, compressed."""
+    n, out, rest = len(records), [], []
+    for i, (name, *_) in enumerate(fields):
+        column = np.ascontiguousarray(records[name])
+        if name in ("h", "h2"):
+            width = column.dtype.itemsize
+            out.append(column.view(np.uint8).reshape(n, width)[:, : min(width, sent)].tobytes() if i == 0 else column.tobytes())
+        else:
+            rest.append((np.diff(column, prepend=column.dtype.type(0)).astype(column.dtype) if column.ndim == 1 else column).tobytes())
+    return n.to_bytes(4, "little") + b"".join(out) + zlib.compress(b"".join(rest), 1)
+
+
+def unpack(messages: list[bytes], fields: list, sent: int = 8) -> np.ndarray:
+    parts = []
+    for m in messages:
+        n, at = int.from_bytes(m[:4], "little"), 4
+        x, rest, low = np.zeros(n, fields), None, 0
+        for i, (name, *_) in enumerate(fields):
+            kind = x[name].dtype
+            if name in ("h", "h2"):
+                width = min(kind.itemsize, sent) if i == 0 else kind.itemsize
+                raw = np.zeros((n, kind.itemsize), np.uint8)
+                raw[:, :width] = np.frombuffer(m, np.uint8, n * width, at).reshape(n, width)
+                x[name] = raw.reshape(-1).view(kind)
+                at += n * width
+            else:
+                rest = zlib.decompress(m[at:]) if rest is None else rest
+                shape = x[name].shape
+                column = np.frombuffer(rest, kind, int(np.prod(shape)), low).reshape(shape)
+                x[name] = np.cumsum(column, dtype=kind) if column.ndim == 1 else column
+                low += column.nbytes
+        parts.append(x)
+    return np.concatenate(parts) if parts else np.zeros(0, fields)
 
 
-def _deal(records: np.ndarray, parts: int) -> pd.DataFrame:
+def deal(records: np.ndarray, parts: int, fields: list, sent: int = 8) -> pd.DataFrame:
     """One packed message for each part, by hash."""
-    part = (records["h"] >> np.uint64(33)).astype(np.int64) % parts
-    order = np.argsort(part, kind="stable")
+    part = (records["h"] % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((records["at"], records["doc"], part)) if "at" in records.dtype.names else np.lexsort((records["doc"], part))
     records, part = records[order], part[order]
     begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    return pd.DataFrame({"part": part[begin], "doc": 0, "data": [x.tobytes() for x in np.split(records, begin[1:])]})
+    return pd.DataFrame({"part": part[begin], "data": [pack(x, fields, sent) for x in np.split(records, begin[1:])], "reply": False})
 
 
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,20 +118,20 @@ def _anchor_messages(records: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
     order, group, size = _groups(records["h"])
     records, again = records[order], size[group] > 1
     if again.any():
-        yield _replies(records["doc"][again], records["at"][again])
+        yield _replies(records[again], parts)
     first = np.concatenate([[True], group[1:] != group[:-1]])
     sent = records[first]
     sent["at"][again[first]] = -1
-    yield _deal(sent, parts)
+    yield deal(sent, parts, FIELDS["anchor"], _SENT_BYTES["anchor"])
 
 
 def _window_messages(records: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
     """Of equal windows in a batch only the first is sent; the others are known to repeat it."""
-    records = records[np.lexsort((records["at"], records["doc"]))]
+    records = records[np.lexsort((records["tag"], records["at"], records["doc"]))]
     repeated = _later(records)
     if repeated.any():
-        yield _replies(records["doc"][repeated], records["at"][repeated])
-    yield _deal(records[~repeated], parts)
+        yield _replies(records[repeated], parts)
+    yield deal(records[~repeated], parts, FIELDS["window"])
 
 
 def _later(records: np.ndarray) -> np.ndarray:
@@ -85,7 +139,7 @@ def _later(records: np.ndarray) -> np.ndarray:
     order, group, size = _groups(records["h"])
     first = np.concatenate([[True], group[1:] != group[:-1]]) if len(order) else np.zeros(0, bool)
     h2 = records["h2"][order]
-    if (h2 != h2[first][group]).any():  # two windows share 64 bits: sort by all 128
+    if (h2 != h2[first][group]).any():  # two windows share 64 bits: sort by all 96
         order = np.lexsort((records["h2"], records["h"]))
         r = records[order]
         first = np.concatenate([[True], (r["h"][1:] != r["h"][:-1]) | (r["h2"][1:] != r["h2"][:-1])])
@@ -116,7 +170,7 @@ def _gathered(make, kind: str, parts: int, messages):
 
 
 def _records(kind: str, **columns) -> np.ndarray:
-    out = np.empty(len(columns["h"]), _FIELDS[kind])
+    out = np.empty(len(columns["h"]), FIELDS[kind])
     for k, v in columns.items():
         out[k] = v
     return out
@@ -131,14 +185,15 @@ def _anchors(width: int):
         at, place = at[cover], place[cover]
         owner = words.owner()[at]
         tags = np.array([_tag(t) for t in texts], np.int64)
-        return _records("anchor", h=window_hashes(words.hashes(), width)[at] if len(at) else np.zeros(0, np.uint64), doc=doc[owner], at=place << 20 | tags[owner])
+        return _records("anchor", h=window_hashes(words.hashes(), width)[at] if len(at) else np.zeros(0, np.uint64), doc=doc[owner], tag=tags[owner], at=place)
 
     return make
 
 
 def _positions(blobs, tag: int) -> np.ndarray:
-    at = np.frombuffer(b"".join(map(bytes, blobs)), "<i8") if blobs is not None and len(blobs) else np.zeros(0, np.int64)
-    return np.sort(at[at & 0xFFFFF == tag] >> 20)
+    own = [np.frombuffer(b, "<i4") for b in map(bytes, blobs if blobs is not None else ())]
+    own = [x[1:] for x in own if x[0] == tag]
+    return np.sort(np.concatenate(own)).astype(np.int64) if own else np.zeros(0, np.int64)
 
 
 def _windows(width: int):
@@ -158,22 +213,22 @@ def _windows(width: int):
         if not len(at):
             return _records("window", h=np.zeros(0, np.uint64))
         h, owner = words.hashes(), words.owner()[at]
-        return _records("window", h=window_hashes(h, width)[at], h2=window_hashes(h, width, 1)[at], doc=doc[owner], at=words.place()[at] << 20 | tags[owner])
+        return _records("window", h=window_hashes(h, width)[at], h2=window_hashes(h, width, 1)[at] >> np.uint64(32), doc=doc[owner], tag=tags[owner], at=words.place()[at])
 
     return make
 
 
-def _answer(kind: str):
+def _answer(kind: str, parts: int):
     """What a part's messages say together: repeated anchors, or windows that are not the first of their kind."""
 
     def run(batches):
         held = []
         for pdf in batches:
-            own = pdf["part"].to_numpy() < 0
+            own = pdf["reply"].to_numpy(bool)
             if own.any():
-                yield pdf.loc[own, ["doc", "data"]]
+                yield pdf.loc[own, ["part", "data"]]
             held += [bytes(x) for x in pdf.loc[~own, "data"]]
-        records = np.frombuffer(b"".join(held), _FIELDS[kind])
+        records = unpack(held, FIELDS[kind], _SENT_BYTES.get(kind, 8))
         del held
         if len(records):
             if kind == "anchor":
@@ -181,19 +236,19 @@ def _answer(kind: str):
                 known = np.bincount(group, records["at"][order] < 0) > 0
                 hit = order[((size[group] > 1) | known[group]) & (records["at"][order] >= 0)]
             else:
-                records = records[np.lexsort((records["at"], records["doc"]))]
+                records = records[np.lexsort((records["tag"], records["at"], records["doc"]))]
                 hit = np.flatnonzero(_later(records))
-            yield _replies(records["doc"][hit], records["at"][hit])[["doc", "data"]]
+            yield _replies(records[hit], parts)[["part", "data"]]
 
     return run
 
 
 def _exchange(source: DataFrame, make, kind: str, messages, parts: int) -> DataFrame:
-    """Messages of all tasks, dealt by hash and answered: (doc, blobs of places)."""
-    sent = source.mapInPandas(_gathered(make, kind, parts, messages), _DEAL)
-    # answers that a batch found itself only pass through, spread over the parts
-    dealt = sent.repartitionById(parts, F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.hash("doc"), F.lit(parts))).cast("int"))
-    return dealt.mapInPandas(_answer(kind), "doc long, data binary").groupBy("doc").agg(F.collect_list("data").alias("blobs"))
+    """Messages of all tasks, dealt by hash, answered, and the answers dealt by document: (doc, blobs of places), one row a document."""
+    sent = source.mapInPandas(_gathered(make, kind, parts, messages), _MESSAGE)
+    # replies that a batch found itself only pass through
+    answers = sent.repartitionById(parts, F.col("part")).mapInPandas(_answer(kind, parts), "part int, data binary")
+    return answers.repartitionById(parts, F.col("part")).mapInPandas(_delivered, "doc long, blobs array<binary>")
 
 
 def dedup_substrings(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -203,7 +258,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = (
     n_words, n_removed and kept, the other words joined by single spaces, and the columns named in `keep`; others are ignored.
 
     Anchors of width - PERIOD + 1 words are hashed at the cover positions modulo PERIOD: two equal windows have one at the same
-    offset. Anchors that occur twice are extended to the windows around them, which are compared by 128-bit hashes of all their
+    offset. Anchors that occur twice are extended to the windows around them, which are compared by 96-bit hashes of all their
     words. Tasks answer for their own repeats and send every hash once, so what a third of all rows share is a few messages.
 
     Null texts have no words; a null doc_id counts as the smallest. Repeated rows (equal id and text) are one document, each
