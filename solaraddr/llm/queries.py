@@ -7,11 +7,13 @@ from .jaccard import op8
 from .leaks import op4
 from .mixing import OP1_SQL, op1
 from .substrings import op6
+from .suffixes import op2
 from .toxicity import op5
 from .urls import op3
 
 QUERIES = {
     "op1_mix_sources": op1,
+    "op2_byte_dedup": op2,
     "op3_url_filter": op3,
     "op4_decontaminate": op4,
     "op5_toxicity": op5,
