@@ -19,6 +19,8 @@ FIT_DOCS = 300
 #: A word or word beginning is evidence if it is in so many toxic documents and such a share of them, and so many times likelier there.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 12.0
 STEPS = 30
+#: Labels that teach, about (chosen by hash where there are more): a table of this size is broadcast, so that no text is shuffled.
+LABEL_ROWS = 100_000
 
 
 def _key(h: np.ndarray, kind: int) -> np.ndarray:
@@ -232,17 +234,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, fit_docs: int = FIT_D
     `labels` (doc_id, toxic) teaches; `held_out` is a condition on doc_id whose rows it never teaches from. Adds score (0 to 1),
     predicted (1 from 0.5 on) and spans, an array of (start, end) in code points: runs of tokens with toxic marginals of 0.5 or more.
 
-    All labelled texts give the counts that label tokens (words and beginnings that mark toxic documents); the field is fitted on
+    The texts of LABEL_ROWS labels (all, where there are fewer) give the counts that label tokens (words and beginnings that mark toxic documents); the field is fitted on
     the `fit_docs` documents of each class with the smallest hash, its score on as many others. A null text counts as empty; texts without words get the
     score of no evidence. Repeated rows get equal scores, and a repeated label counts again. Rows of labels with a null are
     ignored. Without any toxic label every score is low.
     """
     text = F.coalesce("text", F.lit(""))
-    taught = (
-        docs.select("doc_id", text.alias("text"))
-        .where(~held_out)
-        .join(labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    )
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out)
+    share = LABEL_ROWS / max(1, known.count())
+    if share < 1:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    taught = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), "doc_id")
     taught = written(taught, "toxic-taught")
     signs, share = evidence(taught)
     at = F.xxhash64("doc_id", "text")
