@@ -17,7 +17,7 @@ from .words import chunks, mixed
 ORDERS, BUCKETS = 3, 256
 #: Sets in one task that compares: candidates are dealt to pairs of blocks of about so many.
 BLOCK_SETS = 8000
-_TOKENS = [("h", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("sketch", "u1", (BUCKETS,))]
+_TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("sketch", "u1", (BUCKETS,))]
 _PAIR_ROWS = 1 << 21
 
 
@@ -32,29 +32,52 @@ def _profile(texts: list[bytes], size: int, classes: np.ndarray, share: float) -
     return pd.DataFrame(rows, columns=["n", "d1", "d2", "text", "sketch"])
 
 
+def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
+    """The pairs of rows x and y, as documents, that their sizes and bucket counts do not rule out."""
+    doc, n, sketch = tokens["doc"], tokens["n"], tokens["sketch"]
+    for part in np.array_split(np.arange(len(x)), max(1, len(x) >> 16)):
+        a, b = x[part], y[part]
+        apart = np.abs(sketch[a].astype(np.int16) - sketch[b]).sum(axis=1)
+        near = apart * (1 + share) <= (1 - share) * (n[a].astype(np.int64) + n[b]) + 1e-6
+        a, b = doc[a[near]], doc[b[near]]
+        yield np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)
+
+
+def _sample(tokens: np.ndarray, share: float):
+    """Of the rows with one prefix token, each with the one before it and with the first: about as many pairs as rows."""
+    order = np.lexsort((tokens["doc"], tokens["h"]))
+    new = np.concatenate([[True], tokens["h"][order][1:] != tokens["h"][order][:-1]]) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(~new)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    for other in (first[at], at - 1):
+        yield from _may_link(tokens, order[at], order[other], share)
+
+
 def _pairs(tokens: np.ndarray, share: float):
-    """Candidate pairs of documents that share a prefix token: sizes near enough, and bucket counts that do not rule the share out."""
-    order, group, size = _groups(tokens["h"])
-    tokens = tokens[order]
+    """Candidate pairs of documents that share a prefix token and are in different components.
+
+    Of the rows with one token those of its largest component are only paired with the others, never with each other.
+    """
+    order, _, size = _groups(tokens["h"])
     begin = np.cumsum(size) - size
-    doc, n, sketch = tokens["doc"], tokens["n"].astype(np.int64), tokens["sketch"].astype(np.int16)
     for first, m in zip(begin[size > 1], size[size > 1], strict=True):
-        rank = first + np.lexsort((doc[first : first + m], n[first : first + m]))
-        sizes = n[rank]
-        # by size, so that partners are the rows up to the largest size allowed
-        upto = np.searchsorted(sizes, np.floor(sizes / share + 1e-9), side="right")
-        counts = upto - np.arange(m) - 1
-        for at in np.split(np.arange(m), np.searchsorted(np.cumsum(counts), np.arange(1, counts.sum() // _PAIR_ROWS + 1) * _PAIR_ROWS)):
-            i = np.repeat(at, counts[at])
-            if len(i):
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts[at]) - counts[at], counts[at])
-                x, y = rank[i], rank[j]
-                for part in np.array_split(np.arange(len(x)), max(1, len(x) >> 16)):
-                    a, b = x[part], y[part]
-                    apart = np.abs(sketch[a] - sketch[b]).sum(axis=1)
-                    near = apart * (1 + share) <= (1 - share) * (n[a] + n[b]) + 1e-6
-                    a, b = doc[a[near]], doc[b[near]]
-                    yield np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)
+        rank = order[first : first + m]
+        comp, label, many = np.unique(tokens["comp"][rank], return_inverse=True, return_counts=True)
+        if len(comp) == 1:
+            continue
+        by = np.argsort(tokens["n"][rank], kind="stable")
+        rank, label = rank[by], label[by]
+        sizes = tokens["n"][rank].astype(np.int64)
+        rest = label != many.argmax()
+        own = np.flatnonzero(rest)
+        # by size, so that partners are the rows from the smallest to the largest size allowed
+        low = np.searchsorted(sizes, np.ceil(sizes[own] * share - 1e-9), side="left")
+        counts = np.searchsorted(sizes, np.floor(sizes[own] / share + 1e-9), side="right") - low
+        for at in np.split(np.arange(len(own)), np.searchsorted(np.cumsum(counts), np.arange(1, counts.sum() // _PAIR_ROWS + 1) * _PAIR_ROWS)):
+            i = np.repeat(own[at], counts[at])
+            j = np.repeat(low[at] - np.cumsum(counts[at]) + counts[at], counts[at]) + np.arange(len(i))
+            wanted = (label[i] != label[j]) & (~rest[j] | (i < j))
+            yield from _may_link(tokens, rank[i[wanted]], rank[j[wanted]], share)
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
@@ -94,9 +117,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     Equal sets are one class from the start. Classes that share a token in their prefixes under the first order (rarest
     classes of tokens first, by a frequency table over all texts) become candidates; sizes and bucket counts bound what a pair can
-    share; the other orders have to agree before the sets are compared. A spanning forest of the candidates is compared first,
-    then every candidate pair whose classes are still apart: no link between components is lost, and a group of near copies
-    costs about its size. Candidates are dealt to pairs of blocks, so each task holds a bounded number of sets.
+    share; the other orders have to agree before the sets are compared. Each class is first compared with two others of each token;
+    then every candidate pair whose classes are still in different components: no link between components is lost, and a group
+    of near copies costs about its size. Candidates are dealt to pairs of blocks, so each task holds a bounded number of sets.
 
     Null texts are empty. A null doc_id counts as the smallest. Equal rows are in one class; different texts under one id are
     separate. Extra columns are ignored.
@@ -133,53 +156,56 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
                 for r in pdf.iloc[piece].itertuples():
                     at = np.unique(np.concatenate([np.frombuffer(bytes(b), "<i4")[1:] for b in r.blobs]))
                     x = np.empty(len(at), _TOKENS)
-                    x["h"], x["doc"], x["n"], x["sketch"] = np.frombuffer(bytes(r.text), "<u8")[at], r.doc, r.n, np.frombuffer(bytes(r.sketch), np.uint8)
+                    x["h"], x["doc"], x["comp"], x["n"], x["sketch"] = np.frombuffer(bytes(r.text), "<u8")[at], r.doc, r.comp, r.n, np.frombuffer(bytes(r.sketch), np.uint8)
                     found.append(x)
                 if found:
                     yield deal(np.concatenate(found), parts, _TOKENS)
 
-    def propose(batches):
-        held = [bytes(x) for pdf in batches for x in pdf["data"]]
-        tokens = unpack(held, _TOKENS)
-        del held
-        found, waiting, count = np.zeros((0, 2), np.int64), [], 0
-        for pairs in _pairs(tokens, share):
-            waiting.append(pairs)
-            count += len(pairs)
-            if count > len(found) + (1 << 20):
-                found, waiting, count = np.unique(np.concatenate([found, *waiting]), axis=0), [], 0
-        found = np.unique(np.concatenate([found, *waiting]), axis=0)
-        if len(found):
-            first = _forest(found)
-            begin = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
-            yield pd.DataFrame({"a": found[begin, 0], "b": [x.tobytes() for x in np.split(found[:, 1], begin[1:])], "f": [x[:, 1][m].tobytes() for x, m in zip(np.split(found, begin[1:]), np.split(first, begin[1:]), strict=True)]})
-
-    sent = nodes.join(met.hint("shuffle_hash"), "doc").select("doc", "text", "n", "sketch", "blobs").mapInPandas(spread, "part int, data binary, reply boolean")
-    packed = written(sent.repartitionById(parts, F.col("part")).mapInPandas(propose, "a long, b binary, f binary"), "jaccard-candidates")
-
-    def spelled(column):
-        def run(batches):
+    def proposed(known: DataFrame | None, make, reduce) -> DataFrame:
+        """Pairs that `make` finds among the rows with one token, each once."""
+
+        def propose(batches):
+            tokens = unpack([bytes(x) for pdf in batches for x in pdf["data"]], _TOKENS)
+            found, waiting, count = np.zeros((0, 2), np.int64), [], 0
+            for pairs in make(tokens, share):
+                waiting.append(pairs)
+                count += len(pairs)
+                if count > len(found) + (1 << 20):
+                    found, waiting, count = np.unique(np.concatenate([found, *waiting]), axis=0), [], 0
+            found = np.unique(np.concatenate([found, *waiting]), axis=0)
+            found = found[reduce(found)] if reduce and len(found) else found
+            if len(found):
+                begin = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
+                yield pd.DataFrame({"a": found[begin, 0], "b": [x.tobytes() for x in np.split(found[:, 1], begin[1:])]})
+
+        def spelled(batches):
             for pdf in batches:
-                b = [np.unique(np.frombuffer(b"".join(map(bytes, x)), "<i8")) for x in pdf[column]]
+                b = [np.unique(np.frombuffer(b"".join(map(bytes, x)), "<i8")) for x in pdf["b"]]
                 yield pd.DataFrame({"a": np.repeat(pdf["a"].to_numpy(), [len(x) for x in b]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
 
-        return packed.where(F.length(column) > 0).groupBy("a").agg(F.collect_list(column).alias(column)).mapInPandas(run, "a long, b long")
+        if known is None:
+            labelled = holders.withColumn("comp", F.col("doc"))
+        else:
+            labelled = holders.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+        sent = labelled.select("doc", "comp", "text", "n", "sketch", "blobs").mapInPandas(spread, "part int, data binary, reply boolean")
+        packed = sent.repartitionById(parts, F.col("part")).mapInPandas(propose, "a long, b binary")
+        return packed.groupBy("a").agg(F.collect_list("b").alias("b")).mapInPandas(spelled, "a long, b long")
 
-    forest = written(spelled("f"), "jaccard-forest")
-    pairs = written(spelled("b"), "jaccard-pairs")
-    wanted = written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("doc").alias("a"), "rep", "d1", "d2"), "a"), "jaccard-wanted")
+    holders = written(nodes.join(met.hint("shuffle_hash"), "doc").select("doc", "text", "n", "sketch", "blobs"), "jaccard-holders")
 
     def sets_of(batches):
         for pdf in batches:
             found = [s.tobytes() for _, part in chunks([bytes(t) for t in pdf["text"]]) for s in shingle_sets(part, size)]
             yield pd.DataFrame({"node": pdf["node"].to_numpy(), "tokens": found})
 
-    # one text of each wanted class; rows of a repeated id are told apart by their digests
-    which = rows.join(small(wanted.select(F.col("a").alias("node"), "rep", "d1", "d2")), ["d1", "d2"]).where("doc = rep").select("doc", "node", "d1", "d2")
-    texts = base.join(small(which.select("doc", "node", "d1", "d2").distinct()), "doc")
-    found = written(texts.mapInPandas(sets_of, "node long, tokens binary").distinct(), "jaccard-sets")
-    blocks = max(4, -(-2 * wanted.count() // BLOCK_SETS))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    def sets_for(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The sets of the nodes that `pairs` name, and how many blocks they are dealt to."""
+        wanted = written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("doc").alias("a"), "rep", "d1", "d2"), "a"), "jaccard-wanted")
+        # one text of each wanted class; rows of a repeated id are told apart by their digests
+        which = rows.join(small(wanted.select(F.col("a").alias("node"), "rep", "d1", "d2")), ["d1", "d2"]).where("doc = rep").select("doc", "node", "d1", "d2")
+        texts = base.join(small(which.select("doc", "node", "d1", "d2").distinct()), "doc")
+        found = written(texts.mapInPandas(sets_of, "node long, tokens binary").distinct(), "jaccard-sets")
+        return found, max(4, -(-2 * wanted.count() // BLOCK_SETS))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tokens = {n: np.frombuffer(bytes(t), "<u8") for n, t in zip(right["node"], right["tokens"], strict=True)}
@@ -187,17 +213,14 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         return left.loc[np.array(ok, bool), ["a", "b"]]
 
     def verified(pairs: DataFrame) -> DataFrame:
+        found, blocks = sets_for(pairs)
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
         keyed = pairs.select((block("a") * blocks + block("b")).alias("key"), "a", "b")
         needed = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct().join(found, "node").select((F.col("key") + 0).alias("at"), "node", "tokens")
         return keyed.groupBy("key").cogroup(needed.groupBy("at")).applyInPandas(compare, "a long, b long")
 
-    links = written(verified(forest), "jaccard-links")
-    known = components(links)
-    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    apart = written(
-        pairs.join(forest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"),
-        "jaccard-apart",
-    )
+    known = components(written(verified(written(proposed(None, _sample, _forest), "jaccard-forest")), "jaccard-links"))
+    apart = written(proposed(known, _pairs, None), "jaccard-apart")
     more = written(verified(apart), "jaccard-links")
     if more.limit(1).count():
         known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
