@@ -12,7 +12,7 @@ from solaraddr.llm.jaccard import similar_groups
 from solaraddr.llm.leaks import mark_leaks
 from solaraddr.llm.mixing import mixed_documents
 from solaraddr.llm.substrings import dedup_substrings
-from solaraddr.llm.tables import load, written
+from solaraddr.llm.tables import discard, load, written
 from solaraddr.llm.toxicity import toxicity
 
 
@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at 0.8 the document with the smallest id stays, once."""
+    discard(spark)
     groups = similar_groups(docs.select("doc_id", "text"), size=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
@@ -32,17 +33,20 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 20 that occur earlier go from the texts; n_chars follows."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    discard(spark)  # what earlier stages shuffled
     out = dedup_substrings(docs, keep=rest).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    discard(spark)
     return mark_leaks(docs, load(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies."""
+    discard(spark)
     return mixed_documents(docs)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,9 +15,12 @@ def components(links: DataFrame) -> DataFrame:
     them. The links never grow in number and become stars after logarithmically many rounds. Each round is a written table.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
+    before = last = None
     while True:
         edges = written(edges, "links")
+        if last is not None:
+            discard(links.sparkSession, last)
+        last = edges
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

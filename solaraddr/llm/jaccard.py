@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shingles import frequencies, prefix, rarity, shingle_sets
 from .substrings import _NULL_ID, _anchor_messages, _exchange, _groups, _records, deal, unpack
-from .tables import load, partitions, small, written
+from .tables import discard, load, partitions, small, written
 from .words import chunks, mixed
 
 #: Token orders that candidates have to agree on; counts of a set's tokens in this many buckets bound what two sets share.
@@ -141,6 +141,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     shared = sets.groupBy(F.col("rep").alias("_rep")).count().where("count > 1").select("_rep")
     node = F.when(F.col("_rep").isNull(), F.col("rep")).otherwise(F.xxhash64("rep", "d1", "d2"))
     nodes = written(sets.join(small(shared), F.col("rep") == F.col("_rep"), "left").select(node.alias("doc"), "rep", "d1", "d2", "n", "text", "sketch"), "jaccard-nodes")
+    discard(spark, sets)
 
     def own_tokens(texts, doc, pdf):
         count = np.array([len(t) // 8 for t in texts], np.int64)
@@ -198,6 +199,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
             found = [s.tobytes() for _, part in chunks([bytes(t) for t in pdf["text"]]) for s in shingle_sets(part, size)]
             yield pd.DataFrame({"node": pdf["node"].to_numpy(), "tokens": found})
 
+    discard(spark)
+
     def sets_for(pairs: DataFrame) -> tuple[DataFrame, int]:
         """The sets of the nodes that `pairs` name, and how many blocks they are dealt to."""
         wanted = written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("doc").alias("a"), "rep", "d1", "d2"), "a"), "jaccard-wanted")
@@ -205,7 +208,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         which = rows.join(small(wanted.select(F.col("a").alias("node"), "rep", "d1", "d2")), ["d1", "d2"]).where("doc = rep").select("doc", "node", "d1", "d2")
         texts = base.join(small(which.select("doc", "node", "d1", "d2").distinct()), "doc")
         found = written(texts.mapInPandas(sets_of, "node long, tokens binary").distinct(), "jaccard-sets")
-        return found, max(4, -(-2 * wanted.count() // BLOCK_SETS))
+        blocks = max(4, -(-2 * wanted.count() // BLOCK_SETS))
+        discard(spark, wanted)
+        return found, blocks
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tokens = {n: np.frombuffer(bytes(t), "<u8") for n, t in zip(right["node"], right["tokens"], strict=True)}
@@ -213,21 +218,30 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         return left.loc[np.array(ok, bool), ["a", "b"]]
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The written links among written `pairs`, which go."""
         found, blocks = sets_for(pairs)
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
         keyed = pairs.select((block("a") * blocks + block("b")).alias("key"), "a", "b")
         needed = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct().join(found, "node").select((F.col("key") + 0).alias("at"), "node", "tokens")
-        return keyed.groupBy("key").cogroup(needed.groupBy("at")).applyInPandas(compare, "a long, b long")
+        links = written(keyed.groupBy("key").cogroup(needed.groupBy("at")).applyInPandas(compare, "a long, b long"), "jaccard-links")
+        discard(spark, found, pairs)
+        return links
 
-    known = components(written(verified(written(proposed(None, _sample, _forest), "jaccard-forest")), "jaccard-links"))
+    forest = written(proposed(None, _sample, _forest), "jaccard-forest")
+    discard(spark)
+    known = components(verified(forest))
     apart = written(proposed(known, _pairs, None), "jaccard-apart")
-    more = written(verified(apart), "jaccard-links")
+    discard(spark, holders)
+    more = verified(apart)
     if more.limit(1).count():
         known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     grouped = nodes.select("doc", "rep", "d1", "d2").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
     by_class = written(grouped.join(least, "component").select("d1", "d2", "least"), "jaccard-groups")
+    discard(spark, nodes)
     out = rows.select("doc", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")))
+    out = written(out.select("doc", "n", "least"), "jaccard-out")
+    discard(spark, rows, by_class)
     known_id = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     return out.select(known_id("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known_id("least").alias("component_id"))
 
