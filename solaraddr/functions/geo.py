@@ -57,3 +57,19 @@ def utm_to_wgs84(easting: Column, northing: Column, zone: Column, south: Column)
     lon = d * (1 - d2 * ((1 + 2 * t + c) / 6 - d2 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * EP2 + 24 * t * t) / 120)) / F.cos(phi)
     fine = zone.between(1, 60)
     return F.when(fine, F.degrees(lat)), F.when(fine, (zone - 1) * 6 - 177 + F.degrees(lon))
+
+
+def wgs84_to_utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column, Column, Column]:
+    """(easting, northing, zone, whether south) by the series of the transverse Mercator projection; the zone follows the longitude if not given."""
+    z = F.floor((lon + 180) / 6) + 1 if zone is None else zone
+    phi, south = F.radians(lat), lat < 0
+    a = F.cos(phi) * F.radians(lon - ((z - 1) * 6 - 177))
+    c, t, a2 = EP2 * F.cos(phi) * F.cos(phi), F.tan(phi) * F.tan(phi), a * a
+    n = F.lit(A) / F.sqrt(1 - E2 * F.sin(phi) * F.sin(phi))
+    # length of the meridian: coefficients of phi, then of sin(2 phi), sin(4 phi), sin(6 phi)
+    arc = (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi
+    for k, w in enumerate((-(3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024), 15 * E2**2 / 256 + 45 * E2**3 / 1024, -35 * E2**3 / 3072), 1):
+        arc = arc + w * F.sin(2 * k * phi)
+    east = K0 * n * a * (1 + a2 * ((1 - t + c) / 6 + a2 * (5 - 18 * t + t * t + 72 * c - 58 * EP2) / 120)) + 500_000
+    rise = a2 * (0.5 + a2 * ((5 - t + 9 * c + 4 * c * c) / 24 + a2 * (61 - 58 * t + t * t + 600 * c - 330 * EP2) / 720))
+    return east, K0 * (A * arc + n * F.tan(phi) * rise) + F.when(south, 10_000_000).otherwise(0), z.cast("int"), south
