@@ -17,7 +17,7 @@ WIDTH, SAMPLE = 50, 20
 SPREAD = WIDTH - SAMPLE + 1
 #: Bytes that a run of strings with one sample covers at most, and runs that are compared at once.
 REACH = WIDTH + SPREAD - 1
-SLICE = 1 << 17
+SLICE = 1 << 15
 _RUN = [("h", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "u1"), ("text", "u1", (REACH,))]
 _VERDICT = [("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("mask", "<u4")]
 
