@@ -52,7 +52,8 @@ def _delivered(batches):
     """The replies to a part of the documents: for each document its places, one list (after the text's tag) for each of its texts."""
     held = unpack([bytes(x) for pdf in batches for x in pdf["data"]], _REPLY)
     if len(held):
-        r = held[np.lexsort((held["tag"], held["doc"]))]
+        r = held[np.lexsort((held["at"], held["tag"], held["doc"]))]
+        r = r[np.concatenate([[True], r[1:] != r[:-1]])]  # repeated rows send equal places
         begin = np.flatnonzero(np.concatenate([[True], (r["doc"][1:] != r["doc"][:-1]) | (r["tag"][1:] != r["tag"][:-1])]))
         data = [x["tag"][:1].tobytes() + x["at"].tobytes() for x in np.split(r, begin[1:])]
         doc = r["doc"][begin]
@@ -126,26 +127,34 @@ def _anchor_messages(records: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
 
 
 def _window_messages(records: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
-    """Of equal windows in a batch only the first is sent; the others are known to repeat it."""
+    """Of equal windows in a batch only the first is sent; those at other places are known to repeat it."""
     records = records[np.lexsort((records["tag"], records["at"], records["doc"]))]
-    repeated = _later(records)
+    first, repeated = _judged(records)
     if repeated.any():
         yield _replies(records[repeated], parts)
-    yield deal(records[~repeated], parts, FIELDS["window"])
+    yield deal(records[first], parts, FIELDS["window"])
 
 
-def _later(records: np.ndarray) -> np.ndarray:
-    """Which windows, in the order of document and place, have an equal one before them."""
-    order, group, size = _groups(records["h"])
+def _judged(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows, in the order of document and place, are the first of their kind, and which have an equal one at another place before them.
+
+    Repeated rows send the same places: a place is never earlier than itself.
+    """
+    order, group, _ = _groups(records["h"])
     first = np.concatenate([[True], group[1:] != group[:-1]]) if len(order) else np.zeros(0, bool)
     h2 = records["h2"][order]
     if (h2 != h2[first][group]).any():  # two windows share 64 bits: sort by all 96
         order = np.lexsort((records["h2"], records["h"]))
         r = records[order]
         first = np.concatenate([[True], (r["h"][1:] != r["h"][:-1]) | (r["h2"][1:] != r["h2"][:-1])])
-    out = np.zeros(len(records), bool)
-    out[order[~first]] = True
-    return out
+    leader = order[first][np.cumsum(first) - 1]
+    other = np.zeros(len(order), bool)
+    for c in ("doc", "tag", "at"):
+        other |= records[c][order] != records[c][leader]
+    begins, later = np.zeros(len(records), bool), np.zeros(len(records), bool)
+    begins[order[first]] = True
+    later[order[other]] = True
+    return begins, later
 
 
 def _gathered(make, kind: str, parts: int, messages):
@@ -237,7 +246,7 @@ def _answer(kind: str, parts: int):
                 hit = order[((size[group] > 1) | known[group]) & (records["at"][order] >= 0)]
             else:
                 records = records[np.lexsort((records["tag"], records["at"], records["doc"]))]
-                hit = np.flatnonzero(_later(records))
+                hit = np.flatnonzero(_judged(records)[1])
             yield _replies(records[hit], parts)[["part", "data"]]
 
     return run
