@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -109,6 +109,11 @@ def linked(a: np.ndarray, b: np.ndarray, classes: np.ndarray, percent: int) -> b
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def row_key() -> list[Column]:
+    """What tells rows of documents apart: the id (null as the smallest) and a hash of the text. Repeated rows are alike in both."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")]
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Groups of rows of `docs` (doc_id, text) linked by 100 * |A and B| >= percent * |A or B| over their sets of `size`-word shingles.
 
@@ -126,21 +131,23 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     """
     spark, share = docs.sparkSession, percent / 100
     parts = partitions(spark)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    base = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     classes = rarity(frequencies(base, size))
 
     def profile(batches):
         for pdf in batches:
             out = _profile([bytes(t) for t in pdf["text"]], size, classes, share)
             out.insert(0, "doc", pdf["doc"].to_numpy())
+            out.insert(1, "t", pdf["t"].to_numpy())
             yield out
 
-    rows = written(base.mapInPandas(profile, "doc long, n int, d1 long, d2 long, text binary, sketch binary"), "jaccard-rows")
-    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("text").alias("text"), F.first("sketch").alias("sketch"))
-    sets = written(sets, "jaccard-classes")
+    rows = written(base.mapInPandas(profile, "doc long, t long, n int, d1 long, d2 long, text binary, sketch binary"), "jaccard-rows")
+    # a class is represented by one row: an id alone may name several texts
+    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("_least"), F.first("n").alias("n"), F.first("text").alias("text"), F.first("sketch").alias("sketch"))
+    sets = written(sets.select("d1", "d2", F.col("_least.doc").alias("rep"), F.col("_least.t").alias("t"), "n", "text", "sketch"), "jaccard-classes")
     shared = sets.groupBy(F.col("rep").alias("_rep")).count().where("count > 1").select("_rep")
     node = F.when(F.col("_rep").isNull(), F.col("rep")).otherwise(F.xxhash64("rep", "d1", "d2"))
-    nodes = written(sets.join(small(shared), F.col("rep") == F.col("_rep"), "left").select(node.alias("doc"), "rep", "d1", "d2", "n", "text", "sketch"), "jaccard-nodes")
+    nodes = written(sets.join(small(shared), F.col("rep") == F.col("_rep"), "left").select(node.alias("doc"), "rep", "t", "d1", "d2", "n", "text", "sketch"), "jaccard-nodes")
     discard(spark, sets)
 
     def own_tokens(texts, doc, pdf):
@@ -203,10 +210,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     def sets_for(pairs: DataFrame) -> tuple[DataFrame, int]:
         """The sets of the nodes that `pairs` name, and how many blocks they are dealt to."""
-        wanted = written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("doc").alias("a"), "rep", "d1", "d2"), "a"), "jaccard-wanted")
-        # one text of each wanted class; rows of a repeated id are told apart by their digests
-        which = rows.join(small(wanted.select(F.col("a").alias("node"), "rep", "d1", "d2")), ["d1", "d2"]).where("doc = rep").select("doc", "node", "d1", "d2")
-        texts = base.join(small(which.select("doc", "node", "d1", "d2").distinct()), "doc")
+        wanted = written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("doc").alias("a"), "rep", "t"), "a"), "jaccard-wanted")
+        # the one text of each wanted class; repeated rows give it more than once
+        texts = base.join(small(wanted.select(F.col("a").alias("node"), F.col("rep").alias("doc"), "t")), ["doc", "t"])
         found = written(texts.mapInPandas(sets_of, "node long, tokens binary").distinct(), "jaccard-sets")
         blocks = max(4, -(-2 * wanted.count() // BLOCK_SETS))
         discard(spark, wanted)

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from solaraddr.llm import substrings
+from solaraddr.llm import jaccard, substrings
 from solaraddr.llm.substrings import FIELDS, dedup_substrings
 
 SCHEMA = "doc_id long, text string"
@@ -50,3 +50,36 @@ def test_a_place_is_not_earlier_than_itself():
     r["h"], r["doc"], r["at"] = 5, [1, 1, 2, 2], 3
     first, later = substrings._judged(r)
     assert first.tolist() == [True, False, False, False] and later.tolist() == [False, False, True, True]
+
+
+def linked_rows(rows, size, percent):
+    """(id, shingles, group number) of each row: rows are the nodes, whatever their ids."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    return sets, group
+
+
+def several_texts():
+    """Null ids, two texts under one id, repeated rows and wordless rows; near copies differ in the last word."""
+    texts = [words(1000 * k, 1000 * k + 80) for k in range(8)]
+    near = lambda k: f"{texts[k]} other{k}"
+    rows = [(None, t) for t in texts[:4]] + [(20 + k, near(k)) for k in range(4)]
+    rows += [(7, texts[4]), (7, texts[5]), (7, texts[6]), (34, near(4)), (35, near(5)), (36, near(6)), (34, near(4))]
+    return [*rows, (5, texts[7]), (5, texts[7]), (40, near(7)), (50, ""), (50, ""), (51, None)]
+
+
+def test_texts_under_one_id_link_apart(spark):
+    rows = several_texts()
+    sets, group = linked_rows(rows, 5, 80)
+    key = lambda i: -1 if i is None else i
+    want = sorted((key(i), len(s), min(key(rows[j][0]) for j in range(len(rows)) if group[j] == g)) for (i, _), s, g in zip(rows, sets, group, strict=True))
+    got = jaccard.similar_groups(spark.createDataFrame(rows, SCHEMA), size=5, percent=80).collect()
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == want
