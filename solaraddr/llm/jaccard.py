@@ -129,6 +129,14 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     Null texts are empty. A null doc_id counts as the smallest. Equal rows are in one class; different texts under one id are
     separate. Extra columns are ignored.
     """
+    return marked_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """similar_groups with, for each row, its key (doc, t; see row_key) and `kept`: whether that key leads its group.
+
+    One key leads each group: the smallest of its smallest id. A text without words leads itself.
+    """
     spark, share = docs.sparkSession, percent / 100
     parts = partitions(spark)
     base = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -241,15 +249,17 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     more = verified(apart)
     if more.limit(1).count():
         known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    grouped = nodes.select("doc", "rep", "d1", "d2").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
-    by_class = written(grouped.join(least, "component").select("d1", "d2", "least"), "jaccard-groups")
+    grouped = nodes.select("doc", "rep", "t", "d1", "d2").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    least = grouped.groupBy("component").agg(F.min(F.struct("rep", "t")).alias("_least"))
+    least = least.select("component", F.col("_least.rep").alias("least"), F.col("_least.t").alias("lead"))
+    by_class = written(grouped.join(least, "component").select("d1", "d2", "least", "lead"), "jaccard-groups")
     discard(spark, nodes)
-    out = rows.select("doc", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")))
-    out = written(out.select("doc", "n", "least"), "jaccard-out")
+    out = rows.select("doc", "t", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")))
+    kept = (F.col("n") == 0) | ((F.col("doc") == F.col("least")) & (F.col("t") == F.col("lead")))
+    out = written(out.select("doc", "t", "n", "least", kept.alias("kept")), "jaccard-out")
     discard(spark, rows, by_class)
     known_id = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return out.select(known_id("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known_id("least").alias("component_id"))
+    return out.select(known_id("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known_id("least").alias("component_id"), "doc", "t", "kept")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
