@@ -8,28 +8,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import frequencies, prefix, rarity, shingle_sets
-from .substrings import _NULL_ID, _anchor_messages, _exchange, _groups, _records, deal, unpack
-from .tables import discard, load, partitions, small, written
+from .shingles import order_keys, prefix_size, shingle_sets
+from .substrings import _NULL_ID, _anchor_messages, _exchange, _groups, _records, deal, plain, squeeze, unpack
+from .tables import discard, load, parts_for, small, written
 from .words import chunks, mixed
 
 #: Token orders that candidates have to agree on; counts of a set's tokens in this many buckets bound what two sets share.
 ORDERS, BUCKETS = 3, 256
-#: Sets in one task that compares: candidates are dealt to pairs of blocks of about so many.
-BLOCK_SETS = 8000
+#: Share of all tokens, beyond the share in which two linked sets may differ, that is looked up among all sets.
+LOOKED_UP = 0.2
+#: Pairs, and bytes of the sets they name, that one task compares, about.
+BLOCK_PAIRS, BLOCK_BYTES = 8000, 32 << 20
 _TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("sketch", "u1", (BUCKETS,))]
 _PAIR_ROWS = 1 << 21
 
 
-def _profile(texts: list[bytes], size: int, classes: np.ndarray, share: float) -> pd.DataFrame:
-    rows = []
-    for _, part in chunks(texts):
-        for s in shingle_sets(part, size):
-            n = len(s)
-            a, b = (int(np.add.reduce(mixed(s + np.uint64(k)))) if n else 0 for k in (11, 23))
-            sketch = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
-            rows.append((n, a - (1 << 63), b - (1 << 63), prefix(s, classes, 0, share).tobytes(), sketch.tobytes()))
-    return pd.DataFrame(rows, columns=["n", "d1", "d2", "text", "sketch"])
+def _digests(tokens: np.ndarray) -> tuple[int, int]:
+    a, b = (int(np.add.reduce(mixed(tokens + np.uint64(k)))) if len(tokens) else 0 for k in (11, 23))
+    return a - (1 << 63), b - (1 << 63)
+
+
+def _sorted_from(tokens: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The tokens whose hash under the first order is in [low, high), in that order."""
+    key = order_keys(tokens, 0)
+    inside = np.flatnonzero((key >= np.uint64(low)) & (key < np.uint64(high)))
+    return tokens[inside[np.argsort(key[inside], kind="stable")]]
+
+
+def _threshold(percent: int) -> int:
+    return int(min(1.0, LOOKED_UP + 1 - percent / 100) * (2**63 - 1)) * 2
+
+
+def _pool(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens that are looked up: those below a threshold that is the same for all sets, in the first order."""
+    return _sorted_from(tokens, 0, _threshold(percent))
+
+
+def _prefix(tokens: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of a set's prefix that another set may have in its own; `shared`: places in the pool of those that others hold.
+
+    The first order: tokens of the pool that no other set holds, then those that others do, then the rest, each by hash. It is the
+    same for all sets, and what only one set holds can link it to nothing.
+    """
+    first, size = _pool(tokens, percent), prefix_size(len(tokens), percent)
+    alone = len(first) - len(shared)
+    if alone >= size:
+        return first[:0]
+    return np.concatenate([first[shared], _sorted_from(tokens, _threshold(percent), 2**64 - 1)])[: size - alone]
+
+
+def _marks(tokens: np.ndarray, percent: int) -> bytes:
+    """16 bits of each token of the prefixes under the other orders, and how many there are."""
+    size, out = prefix_size(len(tokens), percent), []
+    for k in range(1, ORDERS):
+        key = order_keys(tokens, k)
+        first = tokens[np.argpartition(key, size - 1)[:size]] if size < len(tokens) else tokens
+        own = np.unique((mixed(first) >> np.uint64(48)).astype("<u2"))
+        out.append(len(own).to_bytes(4, "little") + own.tobytes())
+    return b"".join(out)
+
+
+def _spelled_marks(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(np.frombuffer(data, "<u2", n, at + 4))
+        at += 4 + 2 * n
+    return out
+
+
+def _sketch(tokens: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
@@ -80,31 +129,13 @@ def _pairs(tokens: np.ndarray, share: float):
             yield from _may_link(tokens, rank[i[wanted]], rank[j[wanted]], share)
 
 
-def _forest(pairs: np.ndarray) -> np.ndarray:
-    """Which pairs join parts that the pairs before them left apart."""
-    nodes, flat = np.unique(pairs, return_inverse=True)
-    parent = list(range(len(nodes)))
+def agree(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
+    """Whether two sets' prefixes share a token under every other order, as far as their marks tell."""
+    return all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True))
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    out = np.zeros(len(pairs), bool)
-    for k, (a, b) in enumerate(flat.reshape(-1, 2).tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out[k] = True
-    return out
-
-
-def linked(a: np.ndarray, b: np.ndarray, classes: np.ndarray, percent: int) -> bool:
-    """Whether two sets share a prefix token under every other order, and then whether their Jaccard similarity is large enough."""
-    for order in range(1, ORDERS):
-        if not len(np.intersect1d(prefix(a, classes, order, percent / 100), prefix(b, classes, order, percent / 100), assume_unique=True)):
-            return False
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sets is large enough."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -120,14 +151,15 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; a text with fewer words is one shingle; without words it is linked with
     nothing. Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by links (its own without any).
 
-    Equal sets are one class from the start. Classes that share a token in their prefixes under the first order (rarest
-    classes of tokens first, by a frequency table over all texts) become candidates; sizes and bucket counts bound what a pair can
-    share; the other orders have to agree before the sets are compared. Each class is first compared with two others of each token;
+    Equal sets are one class from the start. Of each class the tokens below a hash threshold are looked up among all classes: a
+    class with more tokens of its own than a link allows is linked with nothing, and only the others go on. Those that share a
+    token in their prefixes under the first order become candidates; sizes and bucket counts bound what a pair can share, and the
+    prefixes under the other orders have to share a token too, before any set is sent. Each class is first compared with one other;
     then every candidate pair whose classes are still in different components: no link between components is lost, and a group
-    of near copies costs about its size. Candidates are dealt to pairs of blocks, so each task holds a bounded number of sets.
+    of near copies costs about its size. Pairs are dealt by one of their classes, split where it has many.
 
     Null texts are empty. A null doc_id counts as the smallest. Equal rows are in one class; different texts under one id are
-    separate. Extra columns are ignored.
+    separate. Extra columns are ignored. Classes are told apart by 64 bits of their sets where pairs are formed.
     """
     return marked_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
@@ -138,129 +170,145 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     One key leads each group: the smallest of its smallest id. A text without words leads itself.
     """
     spark, share = docs.sparkSession, percent / 100
-    parts = partitions(spark)
+    parts = parts_for(docs)
     base = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    classes = rarity(frequencies(base, size))
+
+    def sets_in(texts):
+        return [s for _, part in chunks(texts) for s in shingle_sets(part, size)]
 
     def profile(batches):
         for pdf in batches:
-            out = _profile([bytes(t) for t in pdf["text"]], size, classes, share)
-            out.insert(0, "doc", pdf["doc"].to_numpy())
-            out.insert(1, "t", pdf["t"].to_numpy())
-            yield out
-
-    rows = written(base.mapInPandas(profile, "doc long, t long, n int, d1 long, d2 long, text binary, sketch binary"), "jaccard-rows")
-    # a class is represented by one row: an id alone may name several texts
-    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("_least"), F.first("n").alias("n"), F.first("text").alias("text"), F.first("sketch").alias("sketch"))
-    sets = written(sets.select("d1", "d2", F.col("_least.doc").alias("rep"), F.col("_least.t").alias("t"), "n", "text", "sketch"), "jaccard-classes")
-    shared = sets.groupBy(F.col("rep").alias("_rep")).count().where("count > 1").select("_rep")
-    node = F.when(F.col("_rep").isNull(), F.col("rep")).otherwise(F.xxhash64("rep", "d1", "d2"))
-    nodes = written(sets.join(small(shared), F.col("rep") == F.col("_rep"), "left").select(node.alias("doc"), "rep", "t", "d1", "d2", "n", "text", "sketch"), "jaccard-nodes")
-    discard(spark, sets)
-
-    def own_tokens(texts, doc, pdf):
-        count = np.array([len(t) // 8 for t in texts], np.int64)
+            sets = sets_in([bytes(t) for t in pdf["text"]])
+            d = np.array([_digests(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc": pdf["doc"], "t": pdf["t"], "n": [len(s) for s in sets], "d1": d[:, 0], "d2": d[:, 1]})
+
+    def one_each(batches):
+        """Of the texts of one class in a batch only the first goes on."""
+        for pdf in batches:
+            texts = [bytes(t) for t in pdf["text"]]
+            digests = [_digests(s) if len(s) else None for s in sets_in(texts)]
+            first = {}
+            for i, d in enumerate(digests):
+                if d is not None:
+                    first.setdefault(d, i)
+            at = list(first.values())
+            yield pd.DataFrame({"d1": [d[0] for d in first], "d2": [d[1] for d in first], "text": squeeze([texts[i] for i in at])})
+
+    # `doc` names a class in the exchange: 40 bits of one digest, beside 31 of the other
+    name, tag = F.shiftright("d1", 24), F.col("d2").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    sent = base.mapInPandas(one_each, "d1 long, d2 long, text binary").select(name.alias("doc"), tag.alias("tag"), "d1", "d2", "text").repartition(parts, "doc")
+    texts = sent.groupBy("doc", "tag", "d1", "d2").agg(F.first("text").alias("text"))
+    rows = written(base.mapInPandas(profile, "doc long, t long, n int, d1 long, d2 long"), "jaccard-rows")
+
+    def pool_tokens(part, doc, pdf):
+        pools = [_pool(s, percent) for s in shingle_sets(part, size)]
+        count = np.array([len(x) for x in pools], np.int64)
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return _records("anchor", h=np.frombuffer(b"".join(texts), "<u8"), doc=np.repeat(doc, count), tag=0, at=place)
+        return _records("anchor", h=np.concatenate([*pools, np.zeros(0, np.uint64)]), doc=np.repeat(doc, count), tag=np.repeat(pdf["tag"].to_numpy(), count), at=place)
 
-    met = _exchange(nodes.select("doc", "text"), own_tokens, "anchor", _anchor_messages, parts)
+    met = _exchange(texts.select("doc", "tag", "text"), pool_tokens, "anchor", _anchor_messages, parts)
+
+    def survivors(batches):
+        """Classes that may be linked: their texts, prefix tokens, bucket counts and marks."""
+        for pdf in batches:
+            found = []
+            raw = plain(pdf["text"])
+            for begin, part in chunks(raw):
+                for i, s in enumerate(shingle_sets(part, size), begin):
+                    blobs = pdf["blobs"].iloc[i]
+                    own = [np.frombuffer(b, "<i4") for b in map(bytes, blobs if blobs is not None else ())]
+                    own = [x[1:] for x in own if x[0] == pdf["tag"].iloc[i]]
+                    p = _prefix(s, np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64), percent)
+                    if len(p):
+                        found.append((pdf["d1"].iloc[i], len(s), p.tobytes(), _sketch(s), _marks(s, percent), bytes(pdf["text"].iloc[i])))
+            yield pd.DataFrame(found, columns=["doc", "n", "prefix", "sketch", "marks", "text"])
+
+    near = texts.join(met.hint("shuffle_hash"), "doc", "left").select("d1", "tag", "text", "blobs")
+    nodes = written(near.mapInPandas(survivors, "doc long, n int, prefix binary, sketch binary, marks binary, text binary"), "jaccard-nodes")
 
     def spread(batches):
         for pdf in batches:
             for piece in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 1000)):
                 found = []
                 for r in pdf.iloc[piece].itertuples():
-                    at = np.unique(np.concatenate([np.frombuffer(bytes(b), "<i4")[1:] for b in r.blobs]))
-                    x = np.empty(len(at), _TOKENS)
-                    x["h"], x["doc"], x["comp"], x["n"], x["sketch"] = np.frombuffer(bytes(r.text), "<u8")[at], r.doc, r.comp, r.n, np.frombuffer(bytes(r.sketch), np.uint8)
+                    h = np.frombuffer(bytes(r.prefix), "<u8")
+                    x = np.empty(len(h), _TOKENS)
+                    x["h"], x["doc"], x["comp"], x["n"], x["sketch"] = h, r.doc, r.comp, r.n, np.frombuffer(bytes(r.sketch), np.uint8)
                     found.append(x)
                 if found:
                     yield deal(np.concatenate(found), parts, _TOKENS)
 
-    def proposed(known: DataFrame | None, make, reduce) -> DataFrame:
-        """Pairs that `make` finds among the rows with one token, each once."""
+    def proposed(known: DataFrame | None, make) -> DataFrame:
+        """Pairs that `make` finds among the rows with one token, from the larger node to the smaller."""
 
         def propose(batches):
             tokens = unpack([bytes(x) for pdf in batches for x in pdf["data"]], _TOKENS)
-            found, waiting, count = np.zeros((0, 2), np.int64), [], 0
+            waiting, count = [], 0
             for pairs in make(tokens, share):
                 waiting.append(pairs)
                 count += len(pairs)
-                if count > len(found) + (1 << 20):
-                    found, waiting, count = np.unique(np.concatenate([found, *waiting]), axis=0), [], 0
-            found = np.unique(np.concatenate([found, *waiting]), axis=0)
-            found = found[reduce(found)] if reduce and len(found) else found
-            if len(found):
-                begin = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
-                yield pd.DataFrame({"a": found[begin, 0], "b": [x.tobytes() for x in np.split(found[:, 1], begin[1:])]})
-
-        def spelled(batches):
-            for pdf in batches:
-                b = [np.unique(np.frombuffer(b"".join(map(bytes, x)), "<i8")) for x in pdf["b"]]
-                yield pd.DataFrame({"a": np.repeat(pdf["a"].to_numpy(), [len(x) for x in b]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+                if count > 1 << 20:
+                    yield _table(np.concatenate(waiting))
+                    waiting, count = [], 0
+            if count:
+                yield _table(np.concatenate(waiting))
 
         if known is None:
-            labelled = holders.withColumn("comp", F.col("doc"))
+            labelled = nodes.withColumn("comp", F.col("doc"))
         else:
-            labelled = holders.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-        sent = labelled.select("doc", "comp", "text", "n", "sketch", "blobs").mapInPandas(spread, "part int, data binary, reply boolean")
-        packed = sent.repartitionById(parts, F.col("part")).mapInPandas(propose, "a long, b binary")
-        return packed.groupBy("a").agg(F.collect_list("b").alias("b")).mapInPandas(spelled, "a long, b long")
-
-    holders = written(nodes.join(met.hint("shuffle_hash"), "doc").select("doc", "text", "n", "sketch", "blobs"), "jaccard-holders")
-
-    def sets_of(batches):
-        for pdf in batches:
-            found = [s.tobytes() for _, part in chunks([bytes(t) for t in pdf["text"]]) for s in shingle_sets(part, size)]
-            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "tokens": found})
-
-    discard(spark)
-
-    def sets_for(pairs: DataFrame) -> tuple[DataFrame, int]:
-        """The sets of the nodes that `pairs` name, and how many blocks they are dealt to."""
-        wanted = written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("doc").alias("a"), "rep", "t"), "a"), "jaccard-wanted")
-        # the one text of each wanted class; repeated rows give it more than once
-        texts = base.join(small(wanted.select(F.col("a").alias("node"), F.col("rep").alias("doc"), "t")), ["doc", "t"])
-        found = written(texts.mapInPandas(sets_of, "node long, tokens binary").distinct(), "jaccard-sets")
-        blocks = max(4, -(-2 * wanted.count() // BLOCK_SETS))
-        discard(spark, wanted)
-        return found, blocks
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tokens = {n: np.frombuffer(bytes(t), "<u8") for n, t in zip(right["node"], right["tokens"], strict=True)}
-        ok = [linked(tokens[a], tokens[b], classes, percent) for a, b in zip(left["a"], left["b"], strict=True)]
-        return left.loc[np.array(ok, bool), ["a", "b"]]
+            labelled = nodes.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+        sent = labelled.select("doc", "comp", "prefix", "n", "sketch").mapInPandas(spread, "part int, data binary, reply boolean")
+        return sent.repartitionById(parts, F.col("part")).mapInPandas(propose, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+    def judged(pairs: DataFrame, payload: str, each, check, label: str) -> DataFrame:
+        """The written `pairs` that `check` accepts, by what `each` makes of the payload of their nodes."""
+        facts = pairs.join(nodes.select(F.col("doc").alias("a"), F.octet_length(payload).alias("size")), "a").agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+        blocks = max(4, -(-facts["n"] // BLOCK_PAIRS), -(-2 * (facts["size"] or 0) // BLOCK_BYTES))
+        many = pairs.groupBy("b").count().where(F.col("count") > BLOCK_PAIRS).select(F.col("b").alias("_b"), F.ceil(F.col("count") / BLOCK_PAIRS).alias("_cuts"))
+        keyed = pairs.join(small(many), F.col("b") == F.col("_b"), "left")
+        cut = F.pmod(F.xxhash64("a"), F.coalesce("_cuts", F.lit(1)))
+        keyed = keyed.select(F.pmod(F.xxhash64("b", cut), F.lit(blocks)).alias("key"), "a", "b")
+        needed = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct()
+        needed = needed.join(nodes.select(F.col("doc").alias("node"), F.col(payload).alias("data")), "node").select((F.col("key") + 0).alias("at"), "node", "data")
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            held = dict(zip(right["node"], each([bytes(x) for x in right["data"]]), strict=True))
+            ok = [check(held[a], held[b]) for a, b in zip(left["a"], left["b"], strict=True)]
+            return left.loc[np.array(ok, bool), ["a", "b"]]
+
+        return written(keyed.groupBy("key").cogroup(needed.groupBy("at")).applyInPandas(compare, "a long, b long"), label)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The written links among written `pairs`, which go."""
-        found, blocks = sets_for(pairs)
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-        keyed = pairs.select((block("a") * blocks + block("b")).alias("key"), "a", "b")
-        needed = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct().join(found, "node").select((F.col("key") + 0).alias("at"), "node", "tokens")
-        links = written(keyed.groupBy("key").cogroup(needed.groupBy("at")).applyInPandas(compare, "a long, b long"), "jaccard-links")
-        discard(spark, found, pairs)
+        """The links among `pairs`: first their prefixes have to meet under all orders, then whole sets are compared."""
+        agreed = judged(pairs, "marks", lambda x: [_spelled_marks(m) for m in x], agree, "jaccard-agreed")
+        links = judged(agreed, "text", lambda x: sets_in(plain(x)), lambda a, b: linked(a, b, percent), "jaccard-links")
+        discard(spark, agreed, pairs)
         return links
 
-    forest = written(proposed(None, _sample, _forest), "jaccard-forest")
-    discard(spark)
-    known = components(verified(forest))
-    apart = written(proposed(known, _pairs, None), "jaccard-apart")
-    discard(spark, holders)
-    more = verified(apart)
+    # first each class against the one with which it shares most tokens, then all that are still apart
+    closest = proposed(None, _sample).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    known = components(verified(written(closest, "jaccard-closest")))
+    more = verified(written(proposed(known, _pairs).select("a", "b"), "jaccard-apart"))
     if more.limit(1).count():
         known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    grouped = nodes.select("doc", "rep", "t", "d1", "d2").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    least = grouped.groupBy("component").agg(F.min(F.struct("rep", "t")).alias("_least"))
-    least = least.select("component", F.col("_least.rep").alias("least"), F.col("_least.t").alias("lead"))
-    by_class = written(grouped.join(least, "component").select("d1", "d2", "least", "lead"), "jaccard-groups")
     discard(spark, nodes)
-    out = rows.select("doc", "t", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")))
-    kept = (F.col("n") == 0) | ((F.col("doc") == F.col("least")) & (F.col("t") == F.col("lead")))
-    out = written(out.select("doc", "t", "n", "least", kept.alias("kept")), "jaccard-out")
-    discard(spark, rows, by_class)
+    reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("rep"))
+    inside = written(reps.join(small(known.select(F.col("node").alias("d1"), "component")), "d1"), "jaccard-inside")
+    least = written(inside.groupBy("component").agg(F.min("rep").alias("least")), "jaccard-least")
+    inside = inside.join(small(least), "component").select("d1", "d2", "least")
+    by_class = written(reps.join(inside.hint("shuffle_hash"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "rep").alias("least")), "jaccard-groups")
+    out = rows.where("n > 0").join(by_class, ["d1", "d2"]).select("doc", "t", "n", "least")
+    out = out.union(rows.where("n = 0").select("doc", "t", "n", F.struct("doc", "t")))
+    kept = (F.col("doc") == F.col("least.doc")) & (F.col("t") == F.col("least.t"))
     known_id = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    out = out.select("doc", "t", "n", F.col("least.doc").alias("least"), kept.alias("kept"))
     return out.select(known_id("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known_id("least").alias("component_id"), "doc", "t", "kept")
 
 
+def _table(pairs: np.ndarray) -> pd.DataFrame:
+    pairs, shared = np.unique(pairs, axis=0, return_counts=True)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "shared": shared})
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     return similar_groups(load(spark, sf_dir, "documents"), size=3, percent=90)

@@ -69,10 +69,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3) -
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3) -> DataFrame:
-    """The rows of `docs` that the mix takes, all columns and `copies`: the thresholds are applied to the documents as they are read."""
+    """The rows of `docs` that the mix takes, all columns and `copies` (one of that name is replaced): the thresholds are applied to the documents as they are read."""
     plan = small(mix_plan(_sized(docs), weights, limit)).select("_s", "whole", "cut")
-    taken = docs.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("whole") + (doc_hash(F.col("doc_id")) < F.col("cut")).cast("long"))
-    return taken.where("copies > 0").select(*[c for c in docs.columns if c != "copies"], "copies")
+    own = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("_row"))
+    taken = own.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("whole") + (doc_hash(F.col("doc_id")) < F.col("cut")).cast("long"))
+    return taken.where("copies > 0").select("_row.*", "copies")
 
 
 def _sized(docs: DataFrame) -> DataFrame:

@@ -1,16 +1,10 @@
-"""Sets of word shingles as hashes, their frequencies, and their prefixes under several global orders (used inside tasks)."""
+"""Sets of word shingles as hashes, and their prefixes under several global orders (used inside tasks)."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .words import Words, chunks, mixed, window_hashes
-
-#: Slots of the frequency table, of a fixed size whatever the corpus. It only orders shingles, so that slots are shared does no harm.
-SLOTS = 1 << 18
+from .words import Words, mixed, window_hashes
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -31,51 +25,11 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [np.unique(out[f : f + k]) for f, k in zip(first[:-1], kept, strict=True)]
 
 
-def slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(46)).astype(np.int64)
-
-
-def frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents by slot of their shingles, over every text of `docs` (text): counted in tasks, summed by slot range in Spark."""
-    ranges, width = 64, SLOTS // 64
-
-    def count(batches):
-        n = np.zeros(SLOTS, np.int64)
-        for pdf in batches:
-            for _, part in chunks([bytes(t) for t in pdf["text"]]):
-                sets = shingle_sets(part, size)
-                if sets:
-                    n += np.bincount(slot(np.concatenate(sets)), minlength=SLOTS)
-        at = np.flatnonzero(n)
-        for r, own in enumerate(np.split(at, np.searchsorted(at, np.arange(1, ranges) * width))):
-            if len(own):
-                yield pd.DataFrame({"range": [r], "at": [own.astype("<i4").tobytes()], "n": [n[own].astype("<i8").tobytes()]})
-
-    def add(pdf):
-        n = np.zeros(width, np.int64)
-        for at, k in zip(pdf["at"], pdf["n"], strict=True):
-            n[np.frombuffer(at, "<i4") % width] += np.frombuffer(k, "<i8")
-        return pd.DataFrame({"range": [pdf["range"].iloc[0]], "n": [n.tobytes()]})
-
-    rows = docs.select("text").mapInPandas(count, "range int, at binary, n binary").groupBy("range").applyInPandas(add, "range int, n binary").collect()
-    out = np.zeros((ranges, width), np.int64)
-    for r in rows:
-        out[r["range"]] = np.frombuffer(bytes(r["n"]), "<i8")
-    return out.ravel()
-
-
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """The class of each slot, rarest first: the power of two of its count above the typical one, which keeps all usual shingles in one class."""
-    typical = max(1.0, float(np.median(counts)) * 2)
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / typical))).astype(np.uint64)
-
+def order_keys(tokens: np.ndarray, order: int) -> np.ndarray:
+    """The hash by which global order number `order` sorts each token."""
+    return mixed(tokens + np.uint64(0x9E3779B97F4A7C15 * (order + 1) & (2**64 - 1)))
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, share: float) -> np.ndarray:
-    """The first tokens of a set under global order number `order`; two sets with Jaccard `share` or more have one in common.
 
-    Orders agree on the rarity classes and differ in how they hash tokens within one.
-    """
-    n = len(tokens)
-    keep = n - int(np.ceil(share * n - 1e-9)) + 1 if n else 0
-    key = (classes[slot(tokens)] << np.uint64(58)) | (mixed(tokens + np.uint64(0x9E3779B97F4A7C15 * (order + 1) & (2**64 - 1))) >> np.uint64(6))
-    return tokens[np.argpartition(key, keep - 1)[:keep]] if keep < n else tokens
+def prefix_size(n: int, percent: int) -> int:
+    """So many first tokens of a set of n, under any order, hold one of every set that is `percent` or more alike."""
+    return n - -(-percent * n // 100) + 1 if n else 0

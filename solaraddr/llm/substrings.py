@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import load, partitions
+from .tables import load, parts_for
 from .words import Words, chunks, window_hashes
 
 #: Any two numbers have offsets below PERIOD that bring both onto COVER modulo PERIOD.
@@ -33,8 +34,24 @@ def _tag(text: bytes) -> int:
     return zlib.crc32(text) & 0x7FFFFFFF
 
 
+def squeezed(batches):
+    """Texts in their compressed form, in which they are shuffled once and then read by several passes."""
+    for pdf in batches:
+        yield pdf.assign(text=squeeze([bytes(t) for t in pdf["text"]]))
+
+
+def squeeze(texts: list[bytes]) -> list[bytes]:
+    press = zstandard.ZstdCompressor(level=1)
+    return [press.compress(t) for t in texts]
+
+
+def plain(texts) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(bytes(t)) for t in texts]
+
+
 def _rows(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
-    return [bytes(t) for t in pdf["text"]], pdf["doc"].to_numpy(np.int64)
+    return plain(pdf["text"]), pdf["doc"].to_numpy(np.int64)
 
 
 def _replies(records: np.ndarray, parts: int) -> pd.DataFrame:
@@ -71,7 +88,7 @@ def pack(records: np.ndarray, fields: list, sent: int = 8) -> bytes:
             out.append(column.view(np.uint8).reshape(n, width)[:, : min(width, sent)].tobytes() if i == 0 else column.tobytes())
         else:
             rest.append((np.diff(column, prepend=column.dtype.type(0)).astype(column.dtype) if column.ndim == 1 else column).tobytes())
-    return n.to_bytes(4, "little") + b"".join(out) + zlib.compress(b"".join(rest), 1)
+    return n.to_bytes(4, "little") + b"".join(out) + zstandard.ZstdCompressor(level=3).compress(b"".join(rest))
 
 
 def unpack(messages: list[bytes], fields: list, sent: int = 8) -> np.ndarray:
@@ -88,7 +105,7 @@ def unpack(messages: list[bytes], fields: list, sent: int = 8) -> np.ndarray:
                 x[name] = raw.reshape(-1).view(kind)
                 at += n * width
             else:
-                rest = zlib.decompress(m[at:]) if rest is None else rest
+                rest = zstandard.ZstdDecompressor().decompress(m[at:]) if rest is None else rest
                 shape = x[name].shape
                 column = np.frombuffer(rest, kind, int(np.prod(shape)), low).reshape(shape)
                 x[name] = np.cumsum(column, dtype=kind) if column.ndim == 1 else column
@@ -273,11 +290,12 @@ def dedup_substrings(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = (
     Null texts have no words; a null doc_id counts as the smallest. Repeated rows (equal id and text) are one document, each
     gets its result; different texts under one id are ordered by place. `width` has to be more than PERIOD.
     """
-    parts = partitions(docs.sparkSession)
+    parts = parts_for(docs)
     kinds = dict(docs.dtypes)
     carried = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     # one exchange of the texts serves all three passes
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carried).repartition(parts, "doc")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *carried)
+    base = base.mapInPandas(squeezed, base.schema).repartition(parts, "doc")
     repeated = _exchange(base, _anchors(width - PERIOD + 1), "anchor", _anchor_messages, parts)
     near = base.join(repeated.hint("shuffle_hash"), "doc")
     later = _exchange(near, _windows(width), "window", _window_messages, parts)

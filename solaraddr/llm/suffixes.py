@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substrings import _MESSAGE, _NULL_ID, _anchor_messages, _exchange, _records, _rows, _tag, deal, pack, unpack
-from .tables import load, partitions
-from .words import BYTES, chunks, window_hashes
+from .substrings import _MESSAGE, _NULL_ID, _anchor_messages, _exchange, _records, _rows, _tag, deal, pack, squeezed, unpack
+from .tables import load, parts_for
+from .words import BYTES, chunks, mixed, window_hashes
 
 #: Bytes of the strings that count and of the samples that stand for them; SPREAD samples start in each string.
 WIDTH, SAMPLE = 50, 20
@@ -18,6 +18,7 @@ SPREAD = WIDTH - SAMPLE + 1
 #: Bytes that a run of strings with one sample covers at most, and runs that are compared at once.
 REACH = WIDTH + SPREAD - 1
 SLICE = 1 << 15
+_PLACES = mixed(np.arange(1, REACH + 2, dtype=np.uint64)) | np.uint64(1)
 _RUN = [("h", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "u1"), ("text", "u1", (REACH,))]
 _VERDICT = [("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("mask", "<u4")]
 
@@ -75,31 +76,68 @@ def _verdicts(records: np.ndarray, masks: np.ndarray, parts: int) -> pd.DataFram
     return pd.DataFrame({"part": part[begin], "data": [pack(x, _VERDICT) for x in np.split(out, begin[1:])] if len(out) else [], "reply": True})
 
 
+def _classes(records: np.ndarray) -> np.ndarray:
+    """A hash of each run's strings as a whole: runs of one sample with equal hashes hold the same strings."""
+    out = records["n"].astype(np.uint64) * _PLACES[REACH]
+    for begin in range(0, len(records), SLICE):
+        out[begin : begin + SLICE] += (BYTES[records["text"][begin : begin + SLICE]] * _PLACES[:REACH]).sum(axis=1, dtype=np.uint64)
+    return mixed(out)
+
+
+def _whole(n: np.ndarray) -> np.ndarray:
+    return ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+
+
 def _repeats(records: np.ndarray) -> np.ndarray:
-    """A bit for each string of each run: whether a run of a smaller document holds it. Equal strings have equal samples."""
+    """A bit for each string of each run: whether a run of a smaller document holds it. Equal strings have equal samples.
+
+    Runs that are equal as a whole are settled by their documents alone; only where different runs share a sample are the
+    strings of one run of each kind compared, by two hashes.
+    """
     out = np.zeros(len(records), np.uint32)
-    order = np.argsort(records["h"], kind="stable")
-    h = records["h"][order]
+    kind = _classes(records)
+    order = np.lexsort((records["doc"], kind, records["h"]))
+    h, kind = records["h"][order], kind[order]
+    sample = np.concatenate([[True], h[1:] != h[:-1]])
+    first = sample | np.concatenate([[True], kind[1:] != kind[:-1]])
+    leader = order[first]
+    of = np.cumsum(first) - 1
+    kinds = np.bincount(np.cumsum(sample)[first] - 1)
+    mixed_up = kinds[np.cumsum(sample)[first] - 1] > 1
+    if mixed_up.any():
+        out[leader[mixed_up]] = _compared(records[leader[mixed_up]])
+    out[order] = np.where(records["doc"][order] > records["doc"][leader][of], _whole(records["n"][order]), out[leader][of])
+    return out
+
+
+def _compared(records: np.ndarray) -> np.ndarray:
+    """The same for runs sorted by sample, string by string, in slices of about SLICE runs."""
+    out = np.zeros(len(records), np.uint32)
+    h = records["h"]
     edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
     begin = 0
     while begin < len(edges) - 1:
         upto = max(begin + 1, int(np.searchsorted(edges, edges[begin] + SLICE, side="right")) - 1)
-        own = order[edges[begin] : edges[upto]]
+        own = np.arange(edges[begin], edges[upto])
         begin = upto
-        text, n = BYTES[records["text"][own]], records["n"][own].astype(np.int64)
-        row, at = np.repeat(np.arange(len(own)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        flat = text.reshape(-1)
-        place = row * REACH + at
-        a, b = window_hashes(flat, WIDTH)[place], window_hashes(flat, WIDTH, 1)[place]
-        doc = records["doc"][own][row]
+        a, b, doc, row, at = (np.concatenate(x) for x in zip(*(_strings(records, own[i : i + SLICE]) for i in range(0, len(own), SLICE)), strict=True))
         o = np.lexsort((b, a))
         new = np.concatenate([[True], (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])])
         least = np.minimum.reduceat(doc[o], np.flatnonzero(new))[np.cumsum(new) - 1]
         dup = o[doc[o] > least]
-        np.bitwise_or.at(out, own[row[dup]], np.uint32(1) << at[dup].astype(np.uint32))
+        np.bitwise_or.at(out, row[dup], np.uint32(1) << at[dup].astype(np.uint32))
     return out
 
 
+def _strings(records: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Both hashes, document, run and place of each string of the runs `own`."""
+    n = records["n"][own].astype(np.int64)
+    row, at = np.repeat(np.arange(len(own)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    flat = BYTES[records["text"][own]].reshape(-1)
+    place = row * REACH + at
+    return window_hashes(flat, WIDTH)[place], window_hashes(flat, WIDTH, 1)[place], records["doc"][own][row], own[row], at
+
+
 def _send_runs(parts: int):
     """Runs whose sample occurs again, with their bytes. Of equal runs in a batch only those of the smallest document are sent."""
 
@@ -124,17 +162,12 @@ def _send_runs(parts: int):
                 offsets = np.arange(REACH)
                 inside = offsets[None, :] < (runs.n[at] + WIDTH - 1)[:, None]
                 x["text"] = np.where(inside, runs.buf[np.minimum(runs.start[at][:, None] + offsets, len(runs.buf) - 1)], 0)
-                same = np.ascontiguousarray(x["text"]).view(f"V{REACH}").ravel()
-                _, group = np.unique(same, return_inverse=True)
+                _, group = np.unique(_classes(x), return_inverse=True)
                 least = np.full(group.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, group, x["doc"])
-                later = (x["doc"] > least[group])
-                # runs of one length only: a longer run may go on where a shorter one ends
+                later = x["doc"] > least[group]
                 if later.any():
-                    n = np.zeros(group.max() + 1, np.int64)
-                    np.maximum.at(n, group[~later], x["n"][~later])
-                    later &= x["n"] <= n[group]
-                    yield _verdicts(x[later], (np.uint64(1) << x["n"][later].astype(np.uint64)).astype(np.uint64).astype(np.uint32) - np.uint32(1), parts)
+                    yield _verdicts(x[later], _whole(x["n"][later]), parts)
                 yield deal(x[~later], parts, _RUN)
 
     return run
@@ -171,14 +204,16 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     and kept (the other bytes, as binary). Extra columns are ignored.
 
     Each string is filed under its sample, the smallest of its hashed 20-byte parts, so equal strings meet under one sample
-    wherever they stand. Samples that occur once are settled by their hash alone; the runs around the others are compared whole.
-    Tasks settle their own repeats first and send each of their runs once, so hot passages stay small.
+    wherever they stand. Samples that occur once are settled by their hash alone; the runs around the others are compared, whole
+    runs by a hash and the strings of runs that differ by two. Tasks settle their own repeats first and send each run once, so
+    hot passages stay small.
 
     Null texts are empty; a null doc_id counts as the smallest; equal rows have no smaller document in each other. Texts of less
     than WIDTH bytes stay as they are.
     """
-    parts = partitions(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).repartition(parts, "doc")
+    parts = parts_for(docs)
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    base = base.mapInPandas(squeezed, base.schema).repartition(parts, "doc")
     repeated = _exchange(base, _samples, "anchor", _anchor_messages, parts)
     sent = base.join(repeated.hint("shuffle_hash"), "doc").mapInPandas(_send_runs(parts), _MESSAGE)
     judged = sent.repartitionById(parts, F.col("part")).mapInPandas(_judge(parts), "part int, data binary")

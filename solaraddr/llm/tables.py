@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
+#: Bytes of text that stand behind one part of an exchange, about.
+PART_BYTES = 32 << 20
 #: A lookup of at most this many short rows may be broadcast; beyond it the plain join runs.
 BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one temporary folder for each application."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of this application in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="solaraddr-")
-    return _OWN[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/solaraddr-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark's cleaner drop the shuffle files of finished jobs.
+    """Deletes written tables that nothing reads any more.
 
     Call it only when all that came from the tables is itself written: a lost executor then needs none of them.
     """
@@ -43,13 +39,18 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         if folder.split(":", 1)[-1].lstrip("/").startswith(home.split(":", 1)[-1].lstrip("/")):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(texts: DataFrame, column: str = "text") -> int:
+    """Parts of an exchange over `texts`: spark.sql.shuffle.partitions, or more where the text is long, so that a part stays small at any size."""
+    total = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-total // PART_BYTES))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks `df` for broadcast if it has at most `rows` rows; else leaves the join to the planner (which splits skewed keys)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
