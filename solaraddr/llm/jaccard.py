@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shingles import order_keys, prefix_size, shingle_sets
 from .substrings import _NULL_ID, _anchor_messages, _exchange, _groups, _records, deal, plain, squeeze, unpack
-from .tables import discard, load, parts_for, small, written
+from .tables import discard, load, partitions, parts_for, small, written
 from .words import chunks, mixed
 
 #: Token orders that candidates have to agree on; counts of a set's tokens in this many buckets bound what two sets share.
@@ -19,8 +19,12 @@ ORDERS, BUCKETS = 3, 256
 LOOKED_UP = 0.2
 #: Pairs, and bytes of the sets they name, that one task compares, about.
 BLOCK_PAIRS, BLOCK_BYTES = 8000, 32 << 20
-_TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("sketch", "u1", (BUCKETS,))]
+#: First tokens of a prefix that go with each of its tokens, so that a pair is found under one token, not under all it shares.
+HEADS = 3
+_TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("heads", "<u8", (HEADS,)), ("sketch", "u1", (BUCKETS,))]
 _PAIR_ROWS = 1 << 21
+#: Pairs of each class that are compared first.
+FIRST_PAIRS = 8
 
 
 def _digests(tokens: np.ndarray) -> tuple[int, int]:
@@ -82,10 +86,16 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
-    """The pairs of rows x and y, as documents, that their sizes and bucket counts do not rule out."""
-    doc, n, sketch = tokens["doc"], tokens["n"], tokens["sketch"]
+    """The pairs of rows x and y (each of one token), as documents, that their sizes and bucket counts do not rule out.
+
+    A pair whose first tokens meet is left to the first token they have in common.
+    """
+    doc, n, sketch, heads = tokens["doc"], tokens["n"], tokens["sketch"], tokens["heads"]
     for part in np.array_split(np.arange(len(x)), max(1, len(x) >> 16)):
         a, b = x[part], y[part]
+        met = (heads[a][:, :, None] == heads[b][:, None, :]).any(axis=2) & (heads[a] != 0)
+        own = ~met.any(axis=1) | (heads[a][np.arange(len(a)), met.argmax(axis=1)] == tokens["h"][a])
+        a, b = a[own], b[own]
         apart = np.abs(sketch[a].astype(np.int16) - sketch[b]).sum(axis=1)
         near = apart * (1 + share) <= (1 - share) * (n[a].astype(np.int64) + n[b]) + 1e-6
         a, b = doc[a[near]], doc[b[near]]
@@ -93,8 +103,11 @@ def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
 
 
 def _sample(tokens: np.ndarray, share: float):
-    """Of the rows with one prefix token, each with the one before it and with the first: about as many pairs as rows."""
-    order = np.lexsort((tokens["doc"], tokens["h"]))
+    """Of the rows with one prefix token, each with the one before it and with the first: about as many pairs as rows.
+
+    `comp` is the smallest id of each class here, so that the first is the oldest text.
+    """
+    order = np.lexsort((tokens["doc"], tokens["comp"], tokens["h"]))
     new = np.concatenate([[True], tokens["h"][order][1:] != tokens["h"][order][:-1]]) if len(order) else np.zeros(0, bool)
     at = np.flatnonzero(~new)
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -102,6 +115,17 @@ def _sample(tokens: np.ndarray, share: float):
         yield from _may_link(tokens, order[at], order[other], share)
 
 
+def _across(tokens: np.ndarray, share: float):
+    """Of the rows with one prefix token, the first of each component with the last of the one before and the first of all."""
+    order = np.lexsort((tokens["doc"], tokens["comp"], tokens["h"]))
+    h, comp = tokens["h"][order], tokens["comp"][order]
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(~new & np.concatenate([[False], comp[1:] != comp[:-1]])) if len(order) else np.zeros(0, np.int64)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    for other in (first[at], at - 1):
+        yield from _may_link(tokens, order[at], order[other], share)
+
+
 def _pairs(tokens: np.ndarray, share: float):
     """Candidate pairs of documents that share a prefix token and are in different components.
 
@@ -154,9 +178,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     Equal sets are one class from the start. Of each class the tokens below a hash threshold are looked up among all classes: a
     class with more tokens of its own than a link allows is linked with nothing, and only the others go on. Those that share a
     token in their prefixes under the first order become candidates; sizes and bucket counts bound what a pair can share, and the
-    prefixes under the other orders have to share a token too, before any set is sent. Each class is first compared with one other;
-    then every candidate pair whose classes are still in different components: no link between components is lost, and a group
-    of near copies costs about its size. Pairs are dealt by one of their classes, split where it has many.
+    prefixes under the other orders have to share a token too, before any set is sent. Each class is first compared with a few others,
+    then components with each other, then every candidate pair whose classes are still in different components: no link between
+    components is lost, and a group of near copies costs about its size. Pairs are dealt by one of their classes, split where it has many.
 
     Null texts are empty. A null doc_id counts as the smallest. Equal rows are in one class; different texts under one id are
     separate. Extra columns are ignored. Classes are told apart by 64 bits of their sets where pairs are formed.
@@ -192,12 +216,12 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
                 if d is not None:
                     first.setdefault(d, i)
             at = list(first.values())
-            yield pd.DataFrame({"d1": [d[0] for d in first], "d2": [d[1] for d in first], "text": squeeze([texts[i] for i in at])})
+            yield pd.DataFrame({"id": pdf["doc"].to_numpy()[at], "d1": [d[0] for d in first], "d2": [d[1] for d in first], "text": squeeze([texts[i] for i in at])})
 
     # `doc` names a class in the exchange: 40 bits of one digest, beside 31 of the other
     name, tag = F.shiftright("d1", 24), F.col("d2").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    sent = base.mapInPandas(one_each, "d1 long, d2 long, text binary").select(name.alias("doc"), tag.alias("tag"), "d1", "d2", "text").repartition(parts, "doc")
-    texts = sent.groupBy("doc", "tag", "d1", "d2").agg(F.first("text").alias("text"))
+    sent = base.mapInPandas(one_each, "id long, d1 long, d2 long, text binary").select(name.alias("doc"), tag.alias("tag"), "id", "d1", "d2", "text").repartition(parts, "doc")
+    texts = sent.groupBy("doc", "tag", "d1", "d2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     rows = written(base.mapInPandas(profile, "doc long, t long, n int, d1 long, d2 long"), "jaccard-rows")
 
     def pool_tokens(part, doc, pdf):
@@ -220,11 +244,11 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
                     own = [x[1:] for x in own if x[0] == pdf["tag"].iloc[i]]
                     p = _prefix(s, np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64), percent)
                     if len(p):
-                        found.append((pdf["d1"].iloc[i], len(s), p.tobytes(), _sketch(s), _marks(s, percent), bytes(pdf["text"].iloc[i])))
-            yield pd.DataFrame(found, columns=["doc", "n", "prefix", "sketch", "marks", "text"])
+                        found.append((pdf["d1"].iloc[i], pdf["id"].iloc[i], len(s), p.tobytes(), _sketch(s), _marks(s, percent), bytes(pdf["text"].iloc[i])))
+            yield pd.DataFrame(found, columns=["doc", "id", "n", "prefix", "sketch", "marks", "text"])
 
-    near = texts.join(met.hint("shuffle_hash"), "doc", "left").select("d1", "tag", "text", "blobs")
-    nodes = written(near.mapInPandas(survivors, "doc long, n int, prefix binary, sketch binary, marks binary, text binary"), "jaccard-nodes")
+    near = texts.join(met.hint("shuffle_hash"), "doc", "left").select("id", "d1", "tag", "text", "blobs")
+    nodes = written(near.mapInPandas(survivors, "doc long, id long, n int, prefix binary, sketch binary, marks binary, text binary"), "jaccard-nodes")
 
     def spread(batches):
         for pdf in batches:
@@ -234,6 +258,8 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
                     h = np.frombuffer(bytes(r.prefix), "<u8")
                     x = np.empty(len(h), _TOKENS)
                     x["h"], x["doc"], x["comp"], x["n"], x["sketch"] = h, r.doc, r.comp, r.n, np.frombuffer(bytes(r.sketch), np.uint8)
+                    x["heads"] = 0
+                    x["heads"][:, : len(h)] = h[:HEADS]
                     found.append(x)
                 if found:
                     yield deal(np.concatenate(found), parts, _TOKENS)
@@ -254,7 +280,7 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
                 yield _table(np.concatenate(waiting))
 
         if known is None:
-            labelled = nodes.withColumn("comp", F.col("doc"))
+            labelled = nodes.withColumn("comp", F.col("id"))
         else:
             labelled = nodes.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
         sent = labelled.select("doc", "comp", "prefix", "n", "sketch").mapInPandas(spread, "part int, data binary, reply boolean")
@@ -263,7 +289,7 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     def judged(pairs: DataFrame, payload: str, each, check, label: str) -> DataFrame:
         """The written `pairs` that `check` accepts, by what `each` makes of the payload of their nodes."""
         facts = pairs.join(nodes.select(F.col("doc").alias("a"), F.octet_length(payload).alias("size")), "a").agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-        blocks = max(4, -(-facts["n"] // BLOCK_PAIRS), -(-2 * (facts["size"] or 0) // BLOCK_BYTES))
+        blocks = max(partitions(spark), -(-facts["n"] // BLOCK_PAIRS), -(-2 * (facts["size"] or 0) // BLOCK_BYTES))
         many = pairs.groupBy("b").count().where(F.col("count") > BLOCK_PAIRS).select(F.col("b").alias("_b"), F.ceil(F.col("count") / BLOCK_PAIRS).alias("_cuts"))
         keyed = pairs.join(small(many), F.col("b") == F.col("_b"), "left")
         cut = F.pmod(F.xxhash64("a"), F.coalesce("_cuts", F.lit(1)))
@@ -285,12 +311,13 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         discard(spark, agreed, pairs)
         return links
 
-    # first each class against the one with which it shares most tokens, then all that are still apart
-    closest = proposed(None, _sample).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    known = components(verified(written(closest, "jaccard-closest")))
-    more = verified(written(proposed(known, _pairs).select("a", "b"), "jaccard-apart"))
-    if more.limit(1).count():
-        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    # first each class against those with which it shares most tokens, then components against each other, then all that are still apart
+    first = proposed(None, _sample).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, FIRST_PAIRS).alias("all"))
+    known = components(verified(written(first.select("a", F.explode("all.b").alias("b")), "jaccard-first")))
+    for make in (_across, _pairs):
+        more = verified(written(proposed(known, make).select("a", "b"), "jaccard-apart"))
+        if more.limit(1).count():
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     discard(spark, nodes)
     reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("rep"))
     inside = written(reps.join(small(known.select(F.col("node").alias("d1"), "component")), "d1"), "jaccard-inside")
