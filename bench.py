@@ -21,7 +21,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from solaraddr.plans.sheets import QUERIES as known
+    from solaraddr.plans.reports import QUERIES as known
 
     took = {}
     for name in QUERIES:

@@ -7,10 +7,16 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# WGS84 semi-major axis and flattening, and the UTM scale factor.
+# WGS84 semi-major axis and flattening, the UTM scale factor and false easting and northing.
 A, FLATTENING, K0 = 6378137.0, 1 / 298.257223563, 0.9996
+FALSE_EAST, FALSE_NORTH = 500_000, 10_000_000
 E2 = FLATTENING * (2 - FLATTENING)
-EP2 = E2 / (1 - E2)
+# Krueger's series in the third flattening n, up to n cubed (Karney 2011, equations 35 and 36, and the latitude series).
+N3 = FLATTENING / (2 - FLATTENING)
+RADIUS = A / (1 + N3) * (1 + N3**2 / 4 + N3**4 / 64)
+ALPHA = (N3 / 2 - 2 * N3**2 / 3 + 5 * N3**3 / 16, 13 * N3**2 / 48 - 3 * N3**3 / 5, 61 * N3**3 / 240)
+BETA = (N3 / 2 - 2 * N3**2 / 3 + 37 * N3**3 / 96, N3**2 / 48 + N3**3 / 15, 17 * N3**3 / 480)
+DELTA = (2 * N3 - 2 * N3**2 / 3 - 2 * N3**3, 7 * N3**2 / 3 - 8 * N3**3 / 5, 56 * N3**3 / 15)
 
 
 def frame_scale(lat: Column) -> tuple[Column, Column]:
@@ -30,46 +36,56 @@ def to_geo(x: Column, y: Column, lat0: Column, lon0: Column) -> tuple[Column, Co
     return lat0 + F.degrees(y / north), lon0 + F.degrees(x / east)
 
 
+def distance_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, lat0: Column) -> Column:
+    """Metres between two places on the local plane of a latitude."""
+    east, north = frame_scale(lat0)
+    return F.hypot(F.radians(lon_b - lon_a) * east, F.radians(lat_b - lat_a) * north)
+
+
 def project(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
     """Unclamped distance along the segment a-b, and distance from its line (from a, if a = b)."""
     length = F.hypot(bx - ax, by - ay)
-    ux, uy = (bx - ax) / length, (by - ay) / length
-    x, y = px - ax, py - ay
     flat = length == 0
-    return F.when(flat, 0.0).otherwise(x * ux + y * uy), F.when(flat, F.hypot(x, y)).otherwise(F.abs(x * uy - y * ux))
+    along, off = project_on_unit(px - ax, py - ay, (bx - ax) / length, (by - ay) / length)
+    return F.when(flat, 0.0).otherwise(along), F.when(flat, F.hypot(px - ax, py - ay)).otherwise(off)
+
+
+def project_on_unit(x: Column, y: Column, ux: Column, uy: Column) -> tuple[Column, Column]:
+    """The same for a vector and the unit vector of a segment."""
+    return x * ux + y * uy, F.abs(x * uy - y * ux)
+
+
+def point_along(ax: Column, ay: Column, bx: Column, by: Column, along: Column) -> tuple[Column, Column]:
+    """The place at a distance from a on the line a-b; a itself if a = b."""
+    length = F.hypot(bx - ax, by - ay)
+    part = F.when(length == 0, 0.0).otherwise(along / length)
+    return ax + (bx - ax) * part, ay + (by - ay) * part
+
+
+def central_meridian(zone: Column) -> Column:
+    return zone * 6 - 183
 
 
 def utm_to_wgs84(easting: Column, northing: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees by the series of the inverse transverse Mercator projection; null outside zones 1 to 60."""
-    e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
-    mu = F.when(south, northing - 10_000_000).otherwise(northing) / K0 / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    # the footpoint latitude: coefficients of sin(2 mu), sin(4 mu), sin(6 mu), sin(8 mu)
-    waves = (3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512)
-    phi = mu
-    for k, c in enumerate(waves, 1):
-        phi = phi + c * F.sin(2 * k * mu)
-    c, t = EP2 * F.cos(phi) * F.cos(phi), F.tan(phi) * F.tan(phi)
-    w = 1 - E2 * F.sin(phi) * F.sin(phi)
-    n, r = F.lit(A) / F.sqrt(w), F.lit(A * (1 - E2)) / (w * F.sqrt(w))
-    d = (easting - 500_000) / (n * K0)
-    d2 = d * d
-    lat = phi - n * F.tan(phi) / r * d2 * (0.5 - d2 * ((5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) / 24 - d2 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) / 720))
-    lon = d * (1 - d2 * ((1 + 2 * t + c) / 6 - d2 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * EP2 + 24 * t * t) / 120)) / F.cos(phi)
+    """Latitude and longitude in degrees of UTM coordinates; null outside zones 1 to 60."""
+    xi = (northing - F.when(south, FALSE_NORTH).otherwise(0)) / (K0 * RADIUS)
+    eta = (easting - FALSE_EAST) / (K0 * RADIUS)
+    u = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
+    v = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
     fine = zone.between(1, 60)
-    return F.when(fine, F.degrees(lat)), F.when(fine, (zone - 1) * 6 - 177 + F.degrees(lon))
+    return F.when(fine, F.degrees(lat)), F.when(fine, central_meridian(zone) + F.degrees(F.atan2(F.sinh(v), F.cos(u))))
 
 
 def wgs84_to_utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column, Column, Column]:
-    """(easting, northing, zone, whether south) by the series of the transverse Mercator projection; the zone follows the longitude if not given."""
+    """(easting, northing, zone, whether south); the zone follows the longitude if it is not given."""
     z = F.floor((lon + 180) / 6) + 1 if zone is None else zone
-    phi, south = F.radians(lat), lat < 0
-    a = F.cos(phi) * F.radians(lon - ((z - 1) * 6 - 177))
-    c, t, a2 = EP2 * F.cos(phi) * F.cos(phi), F.tan(phi) * F.tan(phi), a * a
-    n = F.lit(A) / F.sqrt(1 - E2 * F.sin(phi) * F.sin(phi))
-    # length of the meridian: coefficients of phi, then of sin(2 phi), sin(4 phi), sin(6 phi)
-    arc = (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi
-    for k, w in enumerate((-(3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024), 15 * E2**2 / 256 + 45 * E2**3 / 1024, -35 * E2**3 / 3072), 1):
-        arc = arc + w * F.sin(2 * k * phi)
-    east = K0 * n * a * (1 + a2 * ((1 - t + c) / 6 + a2 * (5 - 18 * t + t * t + 72 * c - 58 * EP2) / 120)) + 500_000
-    rise = a2 * (0.5 + a2 * ((5 - t + 9 * c + 4 * c * c) / 24 + a2 * (61 - 58 * t + t * t + 600 * c - 330 * EP2) / 720))
-    return east, K0 * (A * arc + n * F.tan(phi) * rise) + F.when(south, 10_000_000).otherwise(0), z.cast("int"), south
+    south, turn = lat < 0, F.radians(lon - central_meridian(z))
+    e = math.sqrt(E2)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    u, v = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    xi = u + sum(a * F.sin(2 * j * u) * F.cosh(2 * j * v) for j, a in enumerate(ALPHA, 1))
+    eta = v + sum(a * F.cos(2 * j * u) * F.sinh(2 * j * v) for j, a in enumerate(ALPHA, 1))
+    return K0 * RADIUS * eta + FALSE_EAST, K0 * RADIUS * xi + F.when(south, FALSE_NORTH).otherwise(0), z.cast("int"), south

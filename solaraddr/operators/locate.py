@@ -1,78 +1,45 @@
-"""From tracker rows and fixes to ranked module candidates."""
+"""From compiled rows and fixes to ranked module candidates."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import to_geo, to_local
+from ..functions.geo import project_on_unit, to_geo, to_local
 from ..functions.layout import Layout
+from .compiled import Farm, compile_rows
 
 #: Positions to either side of the nearest one, at most.
 MOST_NEIGHBOURS = 12
+#: What the join of fixes and rows needs of a row, besides its id and order.
+_BOUNDS = ("ax", "ay", "ux", "uy", "length", "min_x", "max_x", "min_y", "max_y")
+#: What of a row goes on to its candidates.
+_CARRIED = ("ax", "ay", "ux", "uy", "length", "pitch", "origin_offset", "residual_mm", "origin_end", "inverted", "numbers", "labels", "strategy_warnings")
 
 
-@dataclass(frozen=True)
-class Farm:
-    """How a farm counts: layout, origin of the local plane, matching limits (metres), and rules."""
-
-    lat: float
-    lon: float
-    layout: Layout = field(default_factory=Layout)
-    max_distance: float = 30.0
-    neighbourhood: int = 2
-    rows: int = 3
-    accuracy: float = 3.0
-    cell: float = 64.0
-
-
-def compile_rows(rows: DataFrame, farm: Farm) -> DataFrame:
-    """Resolves each tracker row once: local ends, unit vector, length, origin end, inversion of each string and padded bounds.
-
-    The origin is the end towards the road, opposite to the row's side; without a side it is the start. Strings beyond the first
-    are inverted while the row is not the last of its chain. Rows of zero length raise.
-    """
-    lat0, lon0 = F.lit(farm.lat), F.lit(farm.lon)
-    ax, ay = to_local(F.col("lat_a"), F.col("lon_a"), lat0, lon0)
-    bx, by = to_local(F.col("lat_b"), F.col("lon_b"), lat0, lon0)
-    out = rows.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by}).withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-    out = out.withColumn("length", F.when(F.col("length") > 0, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("row of zero length: "), "row_id")).cast("double")))
-    towards_start = {"north": F.col("ay") <= F.col("by"), "south": F.col("ay") > F.col("by"), "east": F.col("ax") <= F.col("bx"), "west": F.col("ax") > F.col("bx")}
-    origin = F.lit("start")
-    for side, start in towards_start.items():
-        origin = F.when(F.col("side") == side, F.when(start, "start").otherwise("end")).otherwise(origin)
-    pad = farm.max_distance
-    return out.withColumns(
-        {
-            "ux": (F.col("bx") - F.col("ax")) / F.col("length"),
-            "uy": (F.col("by") - F.col("ay")) / F.col("length"),
-            "origin_end": origin,
-            "inverted": F.coalesce(F.col("pos") < F.col("pos_total"), F.lit(False)),
-            "min_x": F.least("ax", "bx") - pad,
-            "max_x": F.greatest("ax", "bx") + pad,
-            "min_y": F.least("ay", "by") - pad,
-            "max_y": F.greatest("ay", "by") + pad,
-        }
-    )
-
-
-def rows_in_range(fixes: DataFrame, compiled: DataFrame, farm: Farm) -> DataFrame:
+def rows_in_range(fixes: DataFrame, compiled: DataFrame, farm: Farm, carried: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of fixes and rows whose padded bounds hold the fix, with the distance along and to the row.
 
     An equi-join on grid cells: a row is listed in each cell that its bounds touch, a fix in its own one, so each pair meets once
-    and no nested loop is needed, however many rows there are. A crowded cell is a skewed key, which the planner splits.
+    and no nested loop is needed, however many rows there are. A crowded cell is a skewed key, which the planner splits. Only
+    what the join needs and `carried` is copied to the cells.
     """
     x, y = to_local(F.col("lat"), F.col("lon"), F.lit(farm.lat), F.lit(farm.lon))
     cell = lambda c: F.floor(F.col(c) / farm.cell)
     points = fixes.withColumns({"x": x, "y": y}).withColumns({"cx": cell("x"), "cy": cell("y")})
-    cells = compiled.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
+    slim = compiled.select("row_id", "row_ord", *dict.fromkeys((*_BOUNDS, *carried)))
+    cells = slim.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
     pairs = points.join(cells, ["cx", "cy"]).where(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y")))
     dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    pairs = pairs.withColumns({"along": dx * F.col("ux") + dy * F.col("uy"), "off_axis": F.abs(dx * F.col("uy") - dy * F.col("ux"))})
+    along, off = project_on_unit(dx, dy, F.col("ux"), F.col("uy"))
+    pairs = pairs.withColumns({"along": along, "off_axis": off})
     clamped = F.least(F.greatest(F.col("along"), F.lit(0.0)), F.col("length"))
-    return pairs.withColumn("distance", F.hypot(dx - F.col("ux") * clamped, dy - F.col("uy") * clamped)).drop("cx", "cy")
+    return pairs.withColumn("distance", F.hypot(dx - F.col("ux") * clamped, dy - F.col("uy") * clamped)).drop("cx", "cy", "min_x", "max_x", "min_y", "max_y")
+
+
+def rows_considered(pairs: DataFrame) -> DataFrame:
+    """fix_id and the number of rows whose bounds hold it, whatever their distance."""
+    return pairs.groupBy("fix_id").agg(F.count("*").alias("rows_considered"))
 
 
 def nearest_rows(pairs: DataFrame, farm: Farm) -> DataFrame:
@@ -81,22 +48,53 @@ def nearest_rows(pairs: DataFrame, farm: Farm) -> DataFrame:
     return pairs.where(F.col("distance") <= farm.max_distance).withColumn("row_rank", F.row_number().over(order)).where(F.col("row_rank") <= max(1, farm.rows))
 
 
-def candidates(near: DataFrame, farm: Farm) -> DataFrame:
-    """Modules around each fix on its nearest rows, with rank by distance and Gaussian confidence."""
-    layout = farm.layout
-    from_origin = F.when(F.col("origin_end") == "start", F.col("along")).otherwise(F.col("length") - F.col("along"))
-    position, in_gap, raw = layout.position_at(from_origin)
+def nearest_row(points: DataFrame, compiled: DataFrame, farm: Farm, tolerance: float) -> DataFrame:
+    """The one nearest row of each point (fix_id, lat, lon) within `tolerance` metres; points without one are left out."""
+    near = rows_in_range(points, compiled, farm).where(F.col("distance") <= tolerance)
+    return near.groupBy("fix_id").agg(F.min(F.struct("distance", "row_ord", "row_id")).alias("_best")).select("fix_id", "_best.row_id", "_best.distance")
+
+
+def _layout(farm: Farm) -> Layout:
+    return farm.layout.of_rows(F.col("pitch"), F.col("origin_offset"))
+
+
+def _from_origin(distance: Column) -> Column:
+    """From the start of a row to its origin end, and back."""
+    return F.when(F.col("origin_end") == "start", distance).otherwise(F.col("length") - distance)
+
+
+def _placed(near: DataFrame, farm: Farm) -> DataFrame:
+    """The position of each fix on each of its rows, and how far around it modules are candidates."""
+    position, in_gap, raw = _layout(farm).position_at(F.col("from_origin"))
     sigma = F.when(F.col("accuracy") > 0, F.col("accuracy")).otherwise(F.lit(farm.accuracy))
-    reach = F.least(F.lit(MOST_NEIGHBOURS), F.greatest(F.lit(farm.neighbourhood), F.ceil(2 * sigma / layout.pitch))).cast("int")
-    out = near.withColumns({"centre": position, "in_gap": in_gap, "raw": raw, "sigma": sigma, "reach": reach})
-    low, high = F.greatest(F.lit(1), F.col("centre") - F.col("reach")), F.least(F.lit(layout.total), F.col("centre") + F.col("reach"))
+    winner = F.max(F.when(F.col("row_rank") == 1, F.col("pitch"))).over(Window.partitionBy("fix_id"))
+    reach = F.least(F.lit(MOST_NEIGHBOURS), F.greatest(F.lit(farm.neighbourhood), F.ceil(2 * F.col("sigma") / F.col("winner_pitch")))).cast("int")
+    out = near.withColumn("from_origin", _from_origin(F.col("along"))).withColumns({"centre": position, "in_gap": in_gap, "raw": raw, "sigma": sigma, "winner_pitch": winner})
+    return out.withColumns({"reach": reach, "outside": (F.col("raw") < 1) | (F.col("raw") > farm.layout.total)})
+
+
+def candidates(near: DataFrame, farm: Farm) -> DataFrame:
+    """Modules around each fix on its nearest rows, with rank by distance and Gaussian confidence.
+
+    All rows take the reach of the nearest one's pitch. Of rows that share an id the nearest keeps a position that both have.
+    """
+    layout = _layout(farm)
+    out = _placed(near, farm)
+    low, high = F.greatest(F.lit(1), F.col("centre") - F.col("reach")), F.least(F.lit(farm.layout.total), F.col("centre") + F.col("reach"))
     out = out.withColumn("position", F.explode(F.sequence(low, high)))
     out = out.withColumn("twin", F.row_number().over(Window.partitionBy("fix_id", "row_id", "position").orderBy("row_rank"))).where("twin = 1").drop("twin")
-    chunk = layout.chunk(F.col("position"))
-    turned = F.col("inverted") & (chunk > 0)
-    centre = layout.distance_at(F.col("position"))
-    start = F.when(F.col("origin_end") == "start", centre).otherwise(F.col("length") - centre)
-    out = out.withColumns({"chunk": chunk, "module": layout.module(F.col("position"), turned), "counted_from": F.when(turned, "far-end").otherwise("near-dc"), "mx": F.col("ax") + F.col("ux") * start, "my": F.col("ay") + F.col("uy") * start})
+    out = out.withColumn("chunk", layout.chunk(F.col("position"))).withColumn("turned", F.coalesce(F.get("inverted", F.col("chunk")), F.lit(False)))
+    start = _from_origin(layout.distance_at(F.col("position")))
+    out = out.withColumns(
+        {
+            "module": layout.module(F.col("position"), F.col("turned")),
+            "counted_from": F.when(F.col("turned"), "far-end").otherwise("near-dc"),
+            "string_number": F.coalesce(F.get("numbers", F.col("chunk")), F.col("chunk") + F.lit(1.0)),
+            "string_label": F.nullif(F.get("labels", F.col("chunk")), F.lit("")),
+            "mx": F.col("ax") + F.col("ux") * start,
+            "my": F.col("ay") + F.col("uy") * start,
+        }
+    )
     lat, lon = to_geo(F.col("mx"), F.col("my"), F.lit(farm.lat), F.lit(farm.lon))
     out = out.withColumns({"module_distance": F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")), "module_lat": lat, "module_lon": lon})
     w = F.exp(-0.5 * F.pow(F.col("module_distance") / F.col("sigma"), 2))
@@ -106,26 +104,43 @@ def candidates(near: DataFrame, farm: Farm) -> DataFrame:
 
 
 def warnings(found: DataFrame) -> DataFrame:
-    """One row for each fix: warning codes in their fixed order, from the nearest row (gap, extent) and the best candidates."""
+    """One row for each fix: warning codes in their fixed order, from the nearest row (rules, gap, extent) and the best candidates."""
     own = Window.partitionBy("fix_id")
     best = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c))).over(own)
-    rows = found.withColumns({"top": best("confidence"), "top_row": best("row_id"), "top_chunk": best("chunk")})
-    rival = (F.col("rank") > 1) & (F.col("confidence") > 0.6 * F.col("top")) & ((F.col("row_id") != F.col("top_row")) | (F.col("chunk") != F.col("top_chunk")))
+    rows = found.withColumns({"top": best("confidence"), "top_row": best("row_id"), "top_string": best("string_number")})
+    rival = (F.col("rank") > 1) & (F.col("confidence") > 0.6 * F.col("top")) & ((F.col("row_id") != F.col("top_row")) | (F.col("string_number") != F.col("top_string")))
     nearest = F.col("row_rank") == 1
     facts = rows.groupBy("fix_id").agg(
-        F.bool_or(nearest & F.col("in_gap")).alias("gap"), F.bool_or(nearest & F.col("outside")).alias("outside"), F.first("top").alias("top"), F.bool_or(rival).alias("rival")
+        F.bool_or(nearest & F.col("in_gap")).alias("gap"),
+        F.bool_or(nearest & F.col("outside")).alias("outside"),
+        F.max(F.when(nearest, F.array_join("strategy_warnings", ","))).alias("rules"),
+        F.max("top").alias("top"),
+        F.bool_or(rival).alias("rival"),
     )
-    codes = [F.when(F.col("gap"), "in-string-gap"), F.when(F.col("outside"), "outside-row-extent"), F.when(F.col("top") < 0.35, "low-confidence"), F.when(F.col("rival"), "ambiguous")]
+    codes = [F.nullif("rules", F.lit("")), F.when(F.col("gap"), "in-string-gap"), F.when(F.col("outside"), "outside-row-extent"), F.when(F.col("top") < 0.35, "low-confidence"), F.when(F.col("rival"), "ambiguous")]
     return facts.select("fix_id", F.concat_ws(",", *codes).alias("codes"))
 
 
+def near_rows(fixes: DataFrame, rows: DataFrame, farm: Farm) -> DataFrame:
+    """The nearest rows of each fix with all that candidates need."""
+    return nearest_rows(rows_in_range(fixes, compile_rows(rows, farm), farm, _CARRIED), farm)
+
+
 def locate(fixes: DataFrame, rows: DataFrame, farm: Farm) -> DataFrame:
-    """All candidates of all fixes: fix_id, lat, lon, accuracy against row_id, row_ord, lat_a, lon_a, lat_b, lon_b, side, pos, pos_total.
+    """All candidates of all fixes: fix_id, lat, lon, accuracy against the rows that `compile_rows` takes, with row_ord.
 
     One shuffle by cell and one by fix. Fixes without a row in range have no candidates; see `without_rows`.
     """
-    found = candidates(nearest_rows(rows_in_range(fixes, compile_rows(rows, farm), farm), farm), farm)
-    return found.withColumn("outside", (F.col("raw") < 1) | (F.col("raw") > farm.layout.total))
+    return candidates(near_rows(fixes, rows, farm), farm)
+
+
+def winners(near: DataFrame, farm: Farm) -> DataFrame:
+    """What is known of the nearest row of each fix: its place along the row, lengths, rules and residual."""
+    chunk = farm.layout.chunk(F.col("centre"))
+    return _placed(near, farm).where("row_rank = 1").select(
+        "fix_id", "row_id", (F.col("along") / F.col("length")).alias("t"), F.col("from_origin").alias("along_from_origin"), F.col("length").alias("segment_length"), "pitch", "origin_offset",
+        "origin_end", F.lit(farm.origin).alias("origin_strategy"), F.lit(farm.inversion).alias("inversion_strategy"), F.coalesce(F.get("inverted", chunk), F.lit(False)).alias("inverted"), "residual_mm",
+    )
 
 
 def without_rows(fixes: DataFrame, rows: DataFrame, farm: Farm) -> DataFrame:
@@ -133,9 +148,26 @@ def without_rows(fixes: DataFrame, rows: DataFrame, farm: Farm) -> DataFrame:
     return fixes.join(near.select("fix_id").distinct(), "fix_id", "left_anti").select("fix_id", F.lit("no-row-within-range").alias("code"))
 
 
+def best_row_range(found: DataFrame) -> DataFrame:
+    """The least and greatest candidate position on the row of each fix's best module."""
+    best = F.max(F.when(F.col("rank") == 1, F.col("row_id"))).over(Window.partitionBy("fix_id"))
+    return found.withColumn("_top", best).where("row_id = _top").groupBy("fix_id", "row_id").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+
+
 def credible_range(found: DataFrame, share: float = 0.85) -> DataFrame:
-    """Modules of the best row, likeliest first, until their confidences reach `share` of all; one row a fix."""
+    """Candidates of the best row, likeliest first, until their confidences reach `share` of all: positions, modules and strings."""
     own = Window.partitionBy("fix_id")
     top = found.withColumn("top_row", F.max(F.when(F.col("rank") == 1, F.col("row_id"))).over(own)).where("row_id = top_row")
     before = F.coalesce(F.sum("confidence").over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return top.withColumn("before", before).where(F.col("before") < share).groupBy("fix_id").agg(F.min("position").alias("first"), F.max("position").alias("last"), (F.count_distinct("chunk") == 1).alias("one_string"))
+    kept = top.withColumn("before", before).where(F.col("before") < share)
+    return kept.groupBy("fix_id").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.min("module").alias("low_module"), F.max("module").alias("high_module"),
+        (F.count_distinct("string_number") == 1).alias("one_string"), F.min_by("string_number", "rank").alias("string_number"),
+    )
+
+
+def address_text(block: Column, tracker: Column, row: Column, string: Column, module: Column, counted_from: Column) -> Column:
+    """A module's address in words."""
+    number = F.when(string == F.floor(string), string.cast("long").cast("string")).otherwise(string.cast("string"))
+    end = F.when(counted_from == "near-dc", "from the DC box").otherwise("from the far end")
+    return F.concat(F.lit("Block "), block, F.lit(", tracker "), tracker, F.coalesce(F.concat(F.lit(" "), F.nullif(row, F.lit(""))), F.lit("")), F.lit(", string "), number, F.lit(", module "), module.cast("string"), F.lit(" ("), end, F.lit(")"))

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import utm_to_wgs84
-from ..functions.text import to_number
-from .tables import number_repeats
+from ..functions.text import described, to_number
 
 #: Line numbers that share a bucket when the middle of a group is looked for.
 BUCKET_LINES = 65536
@@ -50,7 +49,7 @@ def build_rows(sheet: DataFrame, utm: tuple[int, bool] | None = None) -> DataFra
     """Tracker rows of a sheet (ord, start_x, start_y, end_x, end_y, block, tracker, tracker_row, side, all text but ord).
 
     Rejected rows have a `reason`, the first that holds: missing-coordinates, missing-block-or-tracker, same-point. Accepted ones
-    have a `row_id`, numbered where it repeats. `utm` is (zone, whether south) for metres; else x is longitude and y latitude.
+    have a `row_id`, numbered where it repeats, in the order of `ord`, which has to be unique. `utm` is (zone, whether south) for metres; else x is longitude and y latitude.
     """
     number = {c: to_number(F.col(c)) for c in ("start_x", "start_y", "end_x", "end_y")}
     rows = sheet.withColumns(number | {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("block", "tracker", "tracker_row")})
@@ -64,12 +63,14 @@ def build_rows(sheet: DataFrame, utm: tuple[int, bool] | None = None) -> DataFra
     reason = F.when(missing, "missing-coordinates").when((F.col("block") == "") | (F.col("tracker") == ""), "missing-block-or-tracker")
     reason = reason.when((F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b")), "same-point")
     rows = rows.withColumn("reason", reason).withColumn("base_id", F.concat_ws("-", *[F.nullif(F.col(c), F.lit("")) for c in ("block", "tracker", "tracker_row")]))
-    out = number_repeats(rows.where("reason IS NULL"), "base_id", "ord").withColumnRenamed("unique_id", "row_id")
-    return out.unionByName(rows.where("reason IS NOT NULL"), allowMissingColumns=True).drop("base_id")
+    # one pass: rejected rows are numbered apart, by their line, and their number is not used
+    n = F.row_number().over(Window.partitionBy(F.when(F.col("reason").isNull(), F.col("base_id")), F.when(F.col("reason").isNotNull(), F.col("ord"))).orderBy("ord"))
+    numbered = F.when(n > 1, F.concat("base_id", F.lit("#"), n.cast("string"))).otherwise(F.col("base_id"))
+    return rows.withColumn("row_id", F.when(F.col("reason").isNull(), numbered)).drop("base_id")
 
 
 def skip_summary(rejected: DataFrame) -> DataFrame:
-    """For each reason of (ord, reason): count, first, middle (number floor(n / 2) from 0) and last line.
+    """For each reason of (ord, reason): count, first, middle (number floor(n / 2) from 0) and last line, and whether they are one block.
 
     The middle is found by counts of buckets of lines and ranks inside one bucket, so that no group is sorted in one task.
     """
@@ -81,7 +82,17 @@ def skip_summary(rejected: DataFrame) -> DataFrame:
     at = counts.where((F.col("before") <= half) & (half < F.col("before") + F.col("n"))).select("reason", "bucket", (half - F.col("before")).alias("place"))
     ranked = rejected.withColumn("bucket", bucket).join(at, ["reason", "bucket"]).withColumn("i", F.row_number().over(Window.partitionBy("reason", "bucket").orderBy("ord")) - 1)
     middle = ranked.where("i = place").select("reason", F.col("ord").alias("middle"))
-    return counts.groupBy("reason").agg(F.sum("n").alias("n"), F.min("low").alias("first"), F.max("high").alias("last")).join(middle, "reason")
+    out = counts.groupBy("reason").agg(F.sum("n").alias("n"), F.min("low").alias("first"), F.max("high").alias("last")).join(middle, "reason")
+    return out.withColumn("contiguous", F.col("last") - F.col("first") + 1 == F.col("n"))
+
+
+def skip_samples(summary: DataFrame, sheet: DataFrame) -> DataFrame:
+    """For each reason of a summary the first, middle and last line, each once, and what their cells say: reason, ord, text.
+
+    sheet: ord and cells, a map from header to text.
+    """
+    lines = summary.select("reason", F.explode(F.array_distinct(F.array("first", "middle", "last"))).alias("ord"))
+    return lines.join(sheet.select("ord", described(F.col("cells")).alias("text")), "ord").select("reason", "ord", "text")
 
 
 def capabilities(rows: DataFrame, needs_side: bool = True, needs_chain: bool = True) -> DataFrame:

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import project, to_geo, to_local, utm_to_wgs84
+from ..functions import geo
+from ..functions.geo import project, to_geo, to_local, utm_to_wgs84, wgs84_to_utm
 from ..functions.layout import Layout
 from ..functions.text import numeric_fields, to_number, tracker_ref
+from ..operators import compiled as C
 from ..operators import locate as L
 from ..operators import tables as T
 
-FARM = L.Farm(lat=-27.4, lon=152.7)
+FARM = C.Farm(lat=-27.4, lon=152.7)
 LAYOUT = Layout()
 
 
@@ -64,7 +66,7 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.rows_in_range(fixes(spark, sf_dir), L.compile_rows(tracker_rows(spark, sf_dir), FARM), FARM)
+    return L.rows_in_range(fixes(spark, sf_dir), C.compile_rows(tracker_rows(spark, sf_dir), FARM), FARM)
 
 
 A, E2 = 6378137.0, (1 / 298.257223563) * (2 - 1 / 298.257223563)
@@ -156,8 +158,8 @@ def distance_at_position(spark, sf_dir):
 
 @query("SELECT row_id, CASE WHEN north THEN 'end' ELSE 'start' END AS origin_end, pos < 3 AS inverted, CAST(round((ay - bys) * 1000) AS BIGINT) AS length_mm FROM compiled")
 def compile_farm(spark, sf_dir):
-    c = L.compile_rows(tracker_rows(spark, sf_dir), FARM)
-    return c.select("row_id", "origin_end", "inverted", mm(F.col("length")).alias("length_mm"))
+    c = C.compile_rows(tracker_rows(spark, sf_dir), FARM)
+    return c.select("row_id", "origin_end", F.get("inverted", F.lit(1)).alias("inverted"), mm(F.col("length")).alias("length_mm"))
 
 
 @query("SELECT CAST(round(avg((lat_a + lat_b) / 2) * 1e7) AS BIGINT) AS lat_e7, CAST(round(avg(lon) * 1e7) AS BIGINT) AS lon_e7 FROM tracker_rows")
@@ -202,7 +204,7 @@ def locate_no_match(spark, sf_dir):
 @query(
     ", own AS (SELECT *, max(CASE WHEN rank = 1 THEN row_id END) OVER (PARTITION BY fix_id) AS top_row FROM found), "
     "runs AS (SELECT *, coalesce(sum(confidence) OVER (PARTITION BY fix_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM own WHERE row_id = top_row) "
-    "SELECT fix_id, min(position) AS first, max(position) AS last, count(DISTINCT chunk) = 1 AS one_string FROM runs WHERE before < 0.85 GROUP BY fix_id"
+    "SELECT fix_id, min(position) AS first, max(position) AS last, min(module) AS low_module, max(module) AS high_module, count(DISTINCT chunk) = 1 AS one_string, CAST(arg_min(chunk, rank) + 1 AS DOUBLE) AS string_number FROM runs WHERE before < 0.85 GROUP BY fix_id"
 )
 def credible_range(spark, sf_dir):
     return L.credible_range(located(spark, sf_dir))
@@ -287,7 +289,7 @@ def length_order_stats(spark, sf_dir):
     "SELECT row_id, block, CAST(row_number() OVER (PARTITION BY block ORDER BY (ay + bys) / 2, row_ord) AS INT) AS pos, CAST(count(*) OVER (PARTITION BY block) AS INT) AS pos_total FROM (SELECT * REPLACE (round(ay, 6) AS ay, round(bys, 6) AS bys) FROM compiled)"
 )
 def chain_topology(spark, sf_dir):
-    c = L.compile_rows(tracker_rows(spark, sf_dir), FARM).drop("pos", "pos_total")
+    c = C.compile_rows(tracker_rows(spark, sf_dir), FARM).drop("pos", "pos_total")
     return T.chain_positions(c, "block", (F.round("ay", 6) + F.round("by", 6)) / 2, "row_ord").select("row_id", "block", "pos", "pos_total")
 
 
@@ -296,7 +298,7 @@ def chain_topology(spark, sf_dir):
     "SELECT block, CAST(round(max(gap) * 1000) AS BIGINT) AS gap_mm, CAST(arg_max(i, gap * 1000000 - i) - 1 AS BIGINT) AS at FROM steps WHERE gap IS NOT NULL GROUP BY block"
 )
 def side_gap(spark, sf_dir):
-    c = L.compile_rows(tracker_rows(spark, sf_dir), FARM)
+    c = C.compile_rows(tracker_rows(spark, sf_dir), FARM)
     out = T.largest_gap(c, "block", F.round((F.col("ay") + F.col("by")) / 2, 3), "row_ord")
     return out.select("block", mm(F.col("gap")).alias("gap_mm"), F.col("at").cast("long").alias("at"))
 
@@ -328,11 +330,28 @@ def crs_guess(spark, sf_dir):
     return head.agg(F.when(F.bool_and(F.abs(y) <= 90), "wgs84").otherwise("utm").alias("crs"), F.when(F.avg(y) > 5_000_000, "S").otherwise("N").alias("hemisphere"))
 
 
+def _series(coefficients, outer: str, inner: str, u: str, v: str) -> str:
+    """A sum of coefficient * outer(2 j u) * inner(2 j v) in SQL; without an inner function only the first."""
+    return " + ".join(f"CAST({c!r} AS DOUBLE) * {outer}({2 * j} * {u})" + (f" * {inner}({2 * j} * {v})" if inner else "") for j, c in enumerate(coefficients, 1))
+
+
+@query(
+    f"""SELECT p_partkey, CAST(round(degrees(chi + {_series(geo.DELTA, 'sin', '', 'chi', '')}) * 1e7) AS BIGINT) AS lat_e7, CAST(round((153 + degrees(atan2(sinh(v), cos(u)))) * 1e7) AS BIGINT) AS lon_e7
+    FROM (SELECT *, asin(sin(u) / cosh(v)) AS chi FROM (SELECT p_partkey, xi - ({_series(geo.BETA, 'sin', 'cosh', 'xi', 'eta')}) AS u, eta - ({_series(geo.BETA, 'cos', 'sinh', 'xi', 'eta')}) AS v
+    FROM (SELECT p_partkey, (6965000 + p_partkey * 11 - 10000000) / CAST({geo.K0 * geo.RADIUS!r} AS DOUBLE) AS xi, (470000 + p_partkey * 7 - 500000) / CAST({geo.K0 * geo.RADIUS!r} AS DOUBLE) AS eta FROM part)))""",
+    base=False,
+)
 def utm_inverse(spark, sf_dir):
-    """UTM coordinates around a farm to degrees; held against a forward projection in the tests."""
+    """UTM coordinates around a farm to degrees."""
     k = F.col("p_partkey")
     lat, lon = utm_to_wgs84(F.lit(470_000.0) + k * 7, F.lit(6_965_000.0) + k * 11, F.lit(56), F.lit(True))
     return read(spark, sf_dir, "part").select("p_partkey", e7(lat).alias("lat_e7"), e7(lon).alias("lon_e7"))
 
 
-QUERIES["utm_inverse"] = utm_inverse
+@query(
+    f"""SELECT fix_id, CAST(round((CAST({geo.K0 * geo.RADIUS!r} AS DOUBLE) * (v + {_series(geo.ALPHA, 'cos', 'sinh', 'u', 'v')}) + 500000) * 100) AS BIGINT) AS east_cm, CAST(round((CAST({geo.K0 * geo.RADIUS!r} AS DOUBLE) * (u + {_series(geo.ALPHA, 'sin', 'cosh', 'u', 'v')}) + 10000000) * 100) AS BIGINT) AS north_cm
+    FROM (SELECT fix_id, atan2(t, cos(turn)) AS u, atanh(sin(turn) / sqrt(1 + t * t)) AS v FROM (SELECT fix_id, radians(lon - 153) AS turn, sinh(atanh(sin(radians(lat))) - CAST({geo.E2**0.5!r} AS DOUBLE) * atanh(CAST({geo.E2**0.5!r} AS DOUBLE) * sin(radians(lat)))) AS t FROM fixes))"""
+)
+def utm_forward(spark, sf_dir):
+    east, north, _, _ = wgs84_to_utm(F.col("lat"), F.col("lon"))
+    return fixes(spark, sf_dir).select("fix_id", F.round(east * 100).cast("long").alias("east_cm"), F.round(north * 100).cast("long").alias("north_cm"))

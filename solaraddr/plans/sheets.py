@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.coords import parse_coordinate
 from ..functions.geo import utm_to_wgs84, wgs84_to_utm
 from ..operators.checks import check_summary, profile_issues
+from ..operators import strings as S
 from ..operators.sheets import build_rows, capabilities, skip_summary
-from ..operators.strings import canon_row, match_entries
 from .driver import ORACLES, QUERIES, e7, fixes, query, read
 
 COORDINATES = """CASE p_partkey % 8 WHEN 0 THEN '-' || p_partkey % 90 || '.5, ' || p_partkey % 180 || '.25' WHEN 1 THEN p_partkey % 90 || '°30''15.6"S ' || p_partkey % 180 || '°45''0"E'
@@ -37,24 +37,25 @@ def utm_roundtrip(spark, sf_dir):
 
 
 def sheet(spark, sf_dir):
-    """A sheet of text cells from line items, with empty coordinates, empty blocks and stakes at one point among them."""
-    line, k = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_partkey")
+    """A sheet of text cells from orders, with empty coordinates, empty blocks and stakes at one point among them."""
+    k = F.col("o_orderkey") * 31 + F.col("o_custkey")
     text = lambda c: c.cast("string")
-    return read(spark, sf_dir, "lineitem").select(
-        line.alias("ord"),
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ord"),
         F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("152,"), text(k % 9000 + 1000))).alias("start_x"),
         F.lit("-27.4").alias("start_y"),
         F.concat(F.lit("152,"), text(k % 9000 + 1000)).alias("end_x"),
         F.when(k % 5 == 0, "-27.4").otherwise("-27.5").alias("end_y"),
-        F.when(k % 3 == 0, " ").otherwise(text(F.col("l_suppkey") % 10)).alias("block"),
+        F.when(k % 3 == 0, " ").otherwise(text(k % 10)).alias("block"),
         text(k % 100).alias("tracker"),
         F.when(k % 2 == 0, "R1").alias("tracker_row"),
         F.when(k % 2 == 0, "Norte").when(k % 3 == 1, " s").otherwise("?").alias("side"),
     )
 
 
-SHEET = """WITH sheet AS (SELECT l_orderkey * 8 + l_linenumber AS ord, CASE WHEN l_partkey % 7 = 0 THEN 'missing-coordinates' WHEN l_partkey % 3 = 0 THEN 'missing-block-or-tracker' WHEN l_partkey % 5 = 0 THEN 'same-point' END AS reason,
-    l_suppkey % 10 || '-' || l_partkey % 100 || CASE WHEN l_partkey % 2 = 0 THEN '-R1' ELSE '' END AS base, CASE WHEN l_partkey % 2 = 0 THEN 'north' WHEN l_partkey % 3 = 1 THEN 'south' END AS side FROM lineitem) """
+SHEET = """WITH sheet AS (SELECT ord, CASE WHEN k % 7 = 0 THEN 'missing-coordinates' WHEN k % 3 = 0 THEN 'missing-block-or-tracker' WHEN k % 5 = 0 THEN 'same-point' END AS reason,
+    k % 10 || '-' || k % 100 || CASE WHEN k % 2 = 0 THEN '-R1' ELSE '' END AS base, CASE WHEN k % 2 = 0 THEN 'north' WHEN k % 3 = 1 THEN 'south' END AS side
+    FROM (SELECT o_orderkey AS ord, o_orderkey * 31 + o_custkey AS k FROM orders)) """
 
 
 @query(SHEET + "SELECT ord, reason, side, CASE WHEN reason IS NULL THEN base || CASE WHEN n > 1 THEN '#' || n ELSE '' END END AS row_id FROM (SELECT *, row_number() OVER (PARTITION BY reason IS NULL, base ORDER BY ord) AS n FROM sheet)", base=False)
@@ -63,7 +64,7 @@ def sheet_rows(spark, sf_dir):
 
 
 @query(
-    SHEET + "SELECT reason, count(*) AS n, min(ord) AS first, max(ord) AS last, max(CASE WHEN i = c // 2 THEN ord END) AS middle FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY reason) AS c FROM sheet WHERE reason IS NOT NULL) GROUP BY reason",
+    SHEET + "SELECT reason, count(*) AS n, min(ord) AS first, max(ord) AS last, max(CASE WHEN i = c // 2 THEN ord END) AS middle, max(ord) - min(ord) + 1 = count(*) AS contiguous FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY reason) AS c FROM sheet WHERE reason IS NOT NULL) GROUP BY reason",
     base=False,
 )
 def sheet_skips(spark, sf_dir):
@@ -82,18 +83,52 @@ def capability_report(spark, sf_dir):
     return capabilities(rows)
 
 
-@query(
-    "SELECT 2 AS tier, o_orderkey AS ord, 'r' || o_orderkey % 60 AS row_id FROM orders WHERE o_orderkey % 60 < 40",
-    base=False,
-)
-def string_match(spark, sf_dir):
-    """Entries of 60 trackers against rows of 40 that carry other row labels: block and tracker decide."""
+MATCH = """WITH entries AS (SELECT o_orderkey AS ord, CAST(o_orderkey % 50 AS VARCHAR) AS block, CAST(o_orderkey // 50 % {trackers} AS VARCHAR) AS tracker, {entry_row} AS label_row FROM orders),
+rows AS (SELECT p_partkey AS row_ord, 'r' || p_partkey AS row_id, CAST(p_partkey % 50 AS VARCHAR) AS block, CAST(p_partkey // 50 % 30 AS VARCHAR) AS tracker, {row_row} AS label_row FROM part),
+keys_e AS (SELECT ord, 1 AS tier, block || '|' || tracker || '|' || label_row AS key FROM entries UNION ALL SELECT ord, 2, block || '|' || tracker FROM entries UNION ALL SELECT ord, 3, tracker || '|' || label_row FROM entries UNION ALL SELECT ord, 4, tracker FROM entries),
+keys_r AS (SELECT row_id, 1 AS tier, block || '|' || tracker || '|' || label_row AS key FROM rows UNION ALL SELECT row_id, 2, block || '|' || tracker FROM rows UNION ALL SELECT row_id, 3, tracker || '|' || label_row FROM rows UNION ALL SELECT row_id, 4, tracker FROM rows),
+once AS (SELECT tier, key, min(row_id) AS row_id FROM keys_r WHERE key IS NOT NULL GROUP BY tier, key HAVING count(*) = 1),
+labels AS (SELECT block, tracker, label_row, min(ord) AS seen, coalesce(CAST(nullif(regexp_extract(label_row, '[0-9]+'), '') AS DOUBLE), CAST('inf' AS DOUBLE)) AS number FROM entries WHERE label_row IS NOT NULL GROUP BY block, tracker, label_row),
+ours AS (SELECT *, row_number() OVER (PARTITION BY block, tracker ORDER BY number, seen) AS i, count(*) OVER (PARTITION BY block, tracker) AS n FROM labels),
+theirs AS (SELECT *, row_number() OVER (PARTITION BY block, tracker ORDER BY CASE label_row WHEN 'motorizada' THEN 1 WHEN 'esclava' THEN 2 ELSE 3 END, row_ord) AS i, count(*) OVER (PARTITION BY block, tracker) AS n FROM rows),
+pairs AS (SELECT o.block, o.tracker, o.label_row, t.row_id, t.row_ord, t.label_row AS geometry_row, o.i, o.n FROM ours o JOIN theirs t USING (block, tracker, i, n)),
+found AS (SELECT tier, ord, row_id FROM keys_e JOIN once USING (tier, key) UNION ALL SELECT 5, ord, row_id FROM entries JOIN pairs USING (block, tracker, label_row)),
+best AS (SELECT tier FROM found GROUP BY tier ORDER BY count(*) DESC, tier LIMIT 1),
+matches AS (SELECT tier, ord, row_id FROM found JOIN best USING (tier)) """
+BY_NAME = MATCH.format(trackers=40, entry_row="'r' || (o_orderkey % 4)", row_row="CASE WHEN p_partkey % 5 > 0 THEN 'r' || (p_partkey % 3) END")
+BY_ORDER_SQL = MATCH.format(trackers=30, entry_row="'r' || (2 + o_orderkey // 1500 % 2)", row_row="CASE WHEN p_partkey // 1500 % 2 = 1 THEN 'motorizada' ELSE 'esclava' END")
+
+
+def match_entries_of(spark, sf_dir, by_order=False):
+    """Entries from orders: ord, label, tracker, tracker_row, dc_box and their reference."""
     k = F.col("o_orderkey")
-    entries = read(spark, sf_dir, "orders").select(k.alias("ord"), F.lit("1").alias("block"), (k % 60).cast("string").alias("tracker"), canon_row(F.concat(F.lit("R"), (k % 3).cast("string"))).alias("label_row"))
-    rows = read(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 40").select((F.col("p_partkey") - 1).alias("k")).select(
-        F.col("k").alias("row_ord"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("row_id"), F.lit("1").alias("block"), F.col("k").cast("string").alias("tracker"), canon_row(F.lit("Motorizada")).alias("label_row")
-    )
-    return match_entries(entries, rows)
+    label = F.concat(F.lit("R"), (2 + F.floor(k / 1500) % 2).cast("string")) if by_order else F.concat(F.lit("R"), (k % 4).cast("string"))
+    tracker = F.concat_ws("-", (k % 50).cast("string"), F.lpad((F.floor(k / 50) % (30 if by_order else 40)).cast("string"), 3, "0"))
+    sheet = read(spark, sf_dir, "orders").select(k.alias("ord"), F.format_string("S-%d.%d", k % 9, k).alias("label"), tracker.alias("tracker"), label.alias("tracker_row"), F.when(k % 3 == 0, F.concat(F.lit("DC"), (k % 17).cast("string"))).otherwise(" ").alias("dc_box"))
+    return S.read_entries(sheet)
+
+
+def match_rows_of(spark, sf_dir, by_order=False):
+    k = F.col("p_partkey")
+    label = F.when(F.floor(k / 1500) % 2 == 1, "Motorizada").otherwise("ESCLAVA") if by_order else F.when(k % 5 > 0, F.concat(F.lit("R"), (k % 3).cast("string")))
+    rows = read(spark, sf_dir, "part").select(k.alias("row_ord"), F.concat(F.lit("r"), k.cast("string")).alias("row_id"), (k % 50).cast("string").alias("block"), (F.floor(k / 50) % 30).cast("string").alias("tracker"), label.alias("tracker_row"))
+    return S.row_keys(rows)
+
+
+def matched(spark, sf_dir, by_order=False):
+    entries = match_entries_of(spark, sf_dir, by_order)
+    return S.match_entries(entries.withColumn("tracker", F.col("tracker_no")), match_rows_of(spark, sf_dir, by_order))
+
+
+@query(BY_NAME + "SELECT * FROM matches", base=False)
+def string_match(spark, sf_dir):
+    return matched(spark, sf_dir)
+
+
+@query(BY_ORDER_SQL + "SELECT * FROM matches", base=False)
+def string_match_by_order(spark, sf_dir):
+    """Labels and rows that share no vocabulary: the n-th label of a tracker goes to its n-th row."""
+    return matched(spark, sf_dir, by_order=True)
 
 
 @query(

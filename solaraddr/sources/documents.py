@@ -1,18 +1,74 @@
-"""Farms and inspections kept as JSON documents, one folder for each key."""
+"""Farms and inspections kept as JSON documents, one folder for each key; fixtures; sheets as text with separators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def save_documents(docs: DataFrame, path: str, key: str) -> None:
-    """Writes documents into the folders of their keys; of a key that is there already only the new document stays."""
+def save_documents(docs: DataFrame, path: str, key: str, order: str | None = None) -> None:
+    """Writes documents into the folders of their keys; of a key that is there already only the new document stays.
+
+    Of two documents of one key in `docs` the later by `order` stays; without an order both do.
+    """
+    if order is not None:
+        last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+        docs = docs.withColumn("_last", last).where("_last = 1").drop("_last")
     kept = docs.withColumn("_key", F.col(key))
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_key").json(path)
 
 
-def load_documents(spark: SparkSession, path: str, schema: str, order: str | None = None, descending: bool = False) -> DataFrame:
-    """All documents under `path` with the given schema; in order of a column if one is named."""
-    docs = spark.read.schema(schema).json(path, recursiveFileLookup=True)
+def delete_documents(spark: SparkSession, path: str, schema: str, keys: DataFrame, key: str) -> None:
+    """Empties the folders of the keys in `keys` (one column, `key`); other documents are not touched."""
+    gone = keys.select(F.col(key).alias("_key")).distinct()
+    there = spark.read.schema(f"{schema}, _key string").json(path).join(gone, "_key", "left_semi").select("_key").distinct()
+    # a line without any field is no document: load_documents skips it
+    there.select("_key", F.lit(None).cast("string").alias("_gone")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_key").json(path)
+
+
+def load_documents(spark: SparkSession, path: str, schema: str, order: str | None = None, descending: bool = False, where=None, key: str | None = None) -> DataFrame:
+    """Documents under `path` with the given schema, those that fit `where` (such as one farm's), in order of a column if one is named.
+
+    With `key` only the folder of that key is read: the key is the folder's name.
+    """
+    docs = spark.read.schema(f"{schema}, _key string").json(path)
+    fields = docs.drop("_key").columns
+    docs = docs.where(F.coalesce(*[F.col(c).cast("string") if not docs.schema[c].dataType.typeName() in ("struct", "array", "map") else F.to_json(c) for c in fields]).isNotNull())
+    docs = docs if key is None else docs.where(F.col("_key") == key)
+    docs = docs if where is None else docs.where(where)
+    docs = docs.drop("_key")
     return docs if order is None else docs.orderBy(F.desc(order) if descending else F.asc(order))
+
+
+def exported(docs: DataFrame) -> DataFrame:
+    """Each document as one text in a readable layout."""
+    return docs.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
+
+
+def load_fixtures(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON fixtures under `path`, one a file, with their file; those whose name begins with an underscore are left out. Ordered by file."""
+    docs = spark.read.schema(schema).option("multiLine", True).json(path, pathGlobFilter="[!_]*.json", recursiveFileLookup=True)
+    return docs.withColumn("file", F.input_file_name()).orderBy("file")
+
+
+def read_text_sheets(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """(path, sheet, ord, cells) of text files with a header line, such as CSV or TSV: cells from header to text, empty ones null.
+
+    Lines are numbered from 0 in the order of a file. A file is read in one task, so that its lines keep their order.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("_text"))
+
+    def parse(batches):
+        import csv
+        import io
+
+        import pandas as pd
+
+        for pdf in batches:
+            for name, text in zip(pdf["path"], pdf["_text"], strict=True):
+                lines = csv.reader(io.StringIO(text.removeprefix("﻿")), delimiter=separator)
+                head = [h.strip() for h in next(lines, [])]
+                rows = [{h: v if v != "" else None for h, v in zip(head, line, strict=False) if h} for line in lines if any(line)]
+                yield pd.DataFrame({"path": name, "sheet": name.rsplit("/", 1)[-1], "ord": range(len(rows)), "cells": rows})
+
+    return files.mapInPandas(parse, "path string, sheet string, ord long, cells map<string,string>")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.locate import Farm, locate
+from ..operators.compiled import Farm
+from ..operators.locate import locate
 
 
 def locate_stream(fixes: DataFrame, rows: DataFrame, farm: Farm, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from solaraddr.functions.coords import parse_coordinate
-from solaraddr.operators.locate import Farm
+from solaraddr.operators.compiled import Farm
 from solaraddr.operators.sheets import build_rows, flag_labels, skip_summary
 from solaraddr.operators.strings import canon_row, match_entries
 from solaraddr.sources.documents import load_documents, save_documents
