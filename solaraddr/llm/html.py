@@ -21,19 +21,26 @@ STOP_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta",
 }
 _STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
-#: Characters of a long block and of a surely good one, shares of links and of stop words.
+#: Characters of a long block and of a surely good one, shares of links and of stop words, and blocks of links that make a menu.
 LONG, SURE = 70, 200
-LINKS, STOPS_LOW, STOPS_HIGH = 0.33, 0.08, 0.16
+LINKS, STOPS_LOW, STOPS_HIGH, MENU = 0.33, 0.08, 0.16, 3
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
 _DROP = frozenset("nav footer aside form head select button menu dialog header".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(["article", "main"])
-#: Words of class, id or role that mark what is not the article; fixed values.
+#: Elements that hold text: their class is evidence on their own block; that of others is on all they hold.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote td th dt dd figcaption caption pre".split())
+# Words of a class, id or role that mark what is not the article, words that say nothing beside them, and words
+# that make a header one of the article.
 _AWAY = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related recommended search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget contentinfo complementary".split()
 )
+_NEUTRAL = frozenset(
+    "article area bar block body bottom box button buttons col column component container content entry form global group heading inner item items left link links list main module outer page panel post posts reader region right root row section site slot text title top unit user wrap wrapper zone".split()
+)
+_OWN_HEADER = frozenset("article entry post content".split())
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*.?true|display\s*:\s*none", re.I)
@@ -45,6 +52,19 @@ class Block:
     text: str
     linked: int
     inside: bool
+    marked: bool
+
+
+def _names_it(attributes: str, inside: bool) -> bool:
+    """Whether a class, id or role says that an element is no part of an article: by words of that kind and none that say something else."""
+    for name in (n for found in _NAMES.findall(attributes) for n in "".join(found).split()):
+        words = {w.lower() for w in _CUT.split(name) if w}
+        away = words & _AWAY
+        if "header" in away and (inside or words & _OWN_HEADER):
+            away = away - {"header"}
+        if away and words <= _AWAY | _NEUTRAL:
+            return True
+    return False
 
 
 def _set_apart(tag: str, attributes: str, inside: bool) -> bool:
@@ -53,24 +73,21 @@ def _set_apart(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-    return any(w.lower() in _AWAY for w in _CUT.split(names))
+    return bool(_HIDDEN.search(attributes)) or tag not in _TEXT and _names_it(attributes, inside)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, without the elements that are set apart by tag, class, id or role."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    apart, depth, links, mains, at, end = "", 0, 0, 0, 0, len(page)
+    apart, depth, links, mains, marked, at, end = "", 0, 0, 0, False, 0, len(page)
 
     def flush() -> None:
         if parts:
             texts = [(html.unescape(t), a) for t, a in parts]
             whole = " ".join("".join(t for t, _ in texts).split())
             if whole:
-                out.append(Block(whole, sum(len("".join(t.split())) for t, a in texts if a), mains > 0))
+                out.append(Block(whole, sum(len("".join(t.split())) for t, a in texts if a), mains > 0, marked))
             parts.clear()
 
     while at < end:
@@ -101,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
                 continue
         if tag in _BLOCK:
             flush()
-            links = 0
+            links, marked = 0, tag in _TEXT and not closing and bool(m[3]) and _names_it(m[3], mains > 0)
         if tag in _MAIN:
             mains = max(0, mains + (-1 if closing else 1))
         elif tag == "a":
@@ -114,36 +131,51 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def labels_of(blocks: list[Block]) -> list[bool]:
-    """First pass: each block by its links, length and stop words, or undecided. Second: undecided ones take the nearest decided neighbour's label."""
-    first: list[int] = []
-    for b in blocks:
-        length = len(b.text)
-        if b.linked > LINKS * max(1, length):
-            first.append(0)
+def first_pass(blocks: list[Block]) -> list[int]:
+    """Each block by its links, length and stop words: 1 good, 0 bad, -1 undecided. An article or main element is evidence for its blocks.
+
+    Bad: blocks of links that follow each other like a menu, marked blocks without prose, and, outside of an article, blocks of links
+    and long ones without stop words. Good: long blocks of an article, and long prose elsewhere.
+    """
+    linked = [b.linked > LINKS * max(1, len(b.text)) and len(b.text) < LONG for b in blocks]
+    out = []
+    for i, b in enumerate(blocks):
+        length, words = len(b.text), b.text.lower().split()
+        stops = sum(w in _STOP for w in words) / max(1, len(words))
+        links = b.linked > LINKS * max(1, length)
+        run = 0
+        if linked[i]:
+            low, high = i, i
+            while low > 0 and linked[low - 1]:
+                low -= 1
+            while high + 1 < len(blocks) and linked[high + 1]:
+                high += 1
+            run = high - low + 1
+        if run >= MENU or b.marked and (links or length < LONG or stops < STOPS_HIGH):
+            out.append(0)
         elif b.inside:
-            first.append(1 if length >= LONG else -1)
+            out.append(1 if length >= LONG and not links else -1)
+        elif links:
+            out.append(0)
         elif length < LONG:
-            first.append(-1 if not b.linked else 0)
+            out.append(-1 if not b.linked else 0)
         else:
-            words = b.text.lower().split()
-            stops = sum(w in _STOP for w in words) / len(words)
-            first.append(1 if stops >= STOPS_HIGH and length >= SURE else -1 if stops >= STOPS_LOW else 0)
-    out = []
+            out.append(1 if stops >= STOPS_HIGH and length >= SURE else -1 if stops >= STOPS_LOW else 0)
+    return out
+
+
+def labels_of(blocks: list[Block]) -> list[bool]:
+    """The first pass's labels; undecided blocks take that of the nearest decided one, the good one of two, and good without any."""
+    first = first_pass(blocks)
     decided = [i for i, x in enumerate(first) if x >= 0]
-    left = -1
+    out, left = [], -1
     for i, x in enumerate(first):
         while left + 1 < len(decided) and decided[left + 1] <= i:
             left += 1
         if x < 0:
-            before = decided[left] if left >= 0 else None
-            after = decided[left + 1] if left + 1 < len(decided) else None
-            if before is None and after is None:
-                x = 1
-            elif before is None or after is None:
-                x = first[after if before is None else before]
-            else:
-                x = max(first[before], first[after]) if i - before == after - i else first[before if i - before < after - i else after]
+            near = ([decided[left]] if left >= 0 else []) + ([decided[left + 1]] if left + 1 < len(decided) else [])
+            least = min((abs(i - j) for j in near), default=0)
+            x = max((first[j] for j in near if abs(i - j) == least), default=1)
         out.append(bool(x))
     return out
 
@@ -152,15 +184,19 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if any(b.inside for b in blocks):
         blocks = [b for b in blocks if b.inside]
-    return "\n".join(b.text for b, good in zip(blocks, labels_of(blocks), strict=True) if good)
+    labels = labels_of(blocks)
+    if blocks and blocks[0].inside and not any(labels):
+        labels = [True] * len(blocks)  # an article is never emptied
+    return "\n".join(b.text for b, good in zip(blocks, labels, strict=True) if good)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds `text`, the main text, to every row of `pages`; all other columns stay (one named text is replaced).
 
     The whole page is read. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by their
-    element, class, id or role; so does what is hidden. If the page has an article or main element, only that counts. Of the
-    blocks left, links, length and stop words decide the clear ones; short unclear ones follow their nearest decided neighbour.
+    element, or by a class, id or role that says so and nothing else; so does what is hidden. If the page has an article or main
+    element, only that counts. Of the blocks left, links, length and stop words decide the clear ones, on every page; unclear ones
+    follow their nearest decided neighbour. In an article long blocks stay, so do single links, and no article is emptied.
     Character references are decoded, white space becomes one space, blocks are joined by a line feed. Null, empty or cut pages
     give what text they have (or ""); repeated rows give equal rows.
     """
