@@ -11,16 +11,26 @@ from pyspark.sql import functions as F
 
 from .tables import load, written
 
-#: Vectors that the forest is fitted on at most (by hash), trees, levels of a tree, and leaves that a query visits over all trees.
-FIT_ROWS, TREES, DEPTH, VISITS = 8192, 4, 6, 84
+#: Vectors that the forest is fitted on at most (by hash), trees, and rows of a leaf that the depth aims at.
+FIT_ROWS, TREES, LEAF_ROWS = 32_768, 4, 800
+#: Fitted vectors that each leaf needs at least: the depth stops there.
+FIT_LEAF = 8
+#: Queries that are answered exactly to see how many leaves have to be visited, and the share of true neighbours these have to hold.
+TRIALS, HELD = 64, 0.95
 #: Rows of a leaf that one task holds; larger leaves are split into blocks.
 BLOCK_ROWS = 4096
 
 
+def depth_for(rows: int) -> int:
+    """Levels of a tree: one more for each doubling of the rows, as far as the fitted sample goes. A small table is one leaf."""
+    depth = max(0, int(np.ceil(np.log2(max(1, rows) / LEAF_ROWS))))
+    return min(depth, int(np.log2(FIT_ROWS / FIT_LEAF)))
+
+
 class Forest:
-    """Trees of DEPTH levels: node n splits by direction n at its median; its children are 2n + 1 and 2n + 2. A fixed size, whatever the input."""
+    """Trees of `depth` levels: node n splits by direction n at its median; its children are 2n + 1 and 2n + 2."""
 
-    def __init__(self, sample: np.ndarray, longest: float, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
+    def __init__(self, sample: np.ndarray, longest: float, depth: int, trees: int = TREES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.trees, self.depth, self.longest = trees, depth, longest
         self.leaves, inner = 1 << depth, (1 << depth) - 1
@@ -55,20 +65,37 @@ class Forest:
             out[t] = node - (self.leaves - 1) + t * self.leaves
         return out
 
-    def search(self, q: np.ndarray, visits: int) -> list[int]:
-        """The leaves to visit, best first: all trees share a queue ordered by the squared margins that lead away from the query."""
+    def search(self, q: np.ndarray, rows: np.ndarray, visits: int, least: int) -> list[int]:
+        """The leaves to visit, best first: all trees share a queue ordered by the squared margins that lead away from the query.
+
+        rows: the rows of each leaf; empty leaves are no visits. The search goes on until one tree's leaves hold `least` rows.
+        """
         q = np.append(q, 0.0)
         margin = self.direction @ q - self.cut
-        queue, found, inner = [(-np.inf, t, 0) for t in range(self.trees)], [], self.leaves - 1
-        while queue and len(found) < visits:
+        queue, found, inner, held = [(-np.inf, t, 0) for t in range(self.trees)], [], self.leaves - 1, np.zeros(self.trees)
+        while queue and (len(found) < visits or held.max() < least):
             away, t, n = heapq.heappop(queue)
             while n < inner:
                 m = margin[t, n]
                 heapq.heappush(queue, ((0 if away == -np.inf else away) + m * m, t, 2 * n + 1 if m >= 0 else 2 * n + 2))
                 n = 2 * n + 2 if m >= 0 else 2 * n + 1
-            found.append(n - inner + t * self.leaves)
+            leaf = n - inner + t * self.leaves
+            if rows[leaf]:
+                found.append(leaf)
+                held[t] += rows[leaf]
         return found
 
+    def visits_for(self, queries: np.ndarray, neighbours: list[np.ndarray], rows: np.ndarray, share: float) -> int:
+        """Leaves to visit so that `share` of the true neighbours of some queries lie in them."""
+        needed = []
+        for q, x in zip(queries, neighbours, strict=True):
+            if len(x):
+                place = np.full(self.trees * self.leaves, len(rows))
+                order = self.search(q, rows, len(rows), 0)
+                place[order] = np.arange(1, len(order) + 1)
+                needed.extend(place[self.route(x)].min(axis=0))
+        return int(np.sort(needed)[max(0, int(np.ceil(share * len(needed))) - 1)]) if needed else 1
+
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of all pairs in double precision, summed component by component."""
@@ -86,15 +113,18 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int = 20, visits: int = VISITS) -> DataFrame:
+def nearest(points: DataFrame, queries: DataFrame, k: int = 20, held: float = HELD) -> DataFrame:
     """The k rows of `points` (vec_id, embedding) with the largest inner products for each row of `queries` (same columns).
 
     Returns query_id, rank from 1, vec_id, score: nearest first, ties to the smaller id, a query's own id left out. Vectors that
     are null, empty, zero, or hold a null or non-finite component take no part, nor do null ids; vectors of a length other than
     the commonest one neither. Extra columns are ignored; repeated rows of an id count once. No queries or no points: no rows.
 
-    The forest is fitted on FIT_ROWS vectors; every row is routed to a leaf of each tree. Of equal vectors the k + 1 smallest ids
-    are kept before anything is shuffled (no query can name more), and equal queries are searched once.
+    The forest is fitted on FIT_ROWS vectors; its depth grows with the rows, and every row is routed to a leaf of each tree. TRIALS
+    queries are answered exactly, against all rows in blocks; as many leaves are visited as hold the share `held` of their true
+    neighbours, so that the recall is the same at every size and no more is read than the vectors ask for. A table of one leaf is
+    answered exactly. Of equal vectors the k + 1 smallest ids are kept before anything is shuffled (no query can name more), and
+    equal queries are searched once.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -103,7 +133,9 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 20, visits: int = VI
         return df.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & fine)
 
     lengths = valid(points).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = lengths[0]["n"] if lengths else 0
+    if not lengths:
+        return points.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = lengths[0]["n"]
     alike = valid(points).where(F.size("v") == dim).distinct()
     kept = written(
         alike.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1).select("vec_id", "v", "copy"), "ann-points"
@@ -114,26 +146,53 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 20, visits: int = VI
     share = FIT_ROWS / max(1, facts["n"])
     picked = distinct.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * FIT_ROWS).select("v").toPandas()
     sample = np.array(picked["v"].tolist(), float).reshape(-1, dim)
-    forest = Forest(sample, float(facts["longest"] or 0.0) ** 0.5)
-    blocks = max(1, -(-facts["n"] // ((1 << DEPTH) * BLOCK_ROWS)))
+    forest = Forest(sample, float(facts["longest"] or 0.0) ** 0.5, depth_for(facts["n"]))
 
     def route(batches):
         for pdf in batches:
             if len(pdf):
                 x = np.array(pdf["v"].tolist(), float)
                 for leaf in forest.route(x):
-                    yield pd.DataFrame({"leaf": leaf, "block": pdf["vec_id"] % blocks, "vec_id": pdf["vec_id"], "v": pdf["v"]})
+                    yield pd.DataFrame({"leaf": leaf, "vec_id": pdf["vec_id"], "v": pdf["v"]})
+
+    routed = written(kept.mapInPandas(route, "leaf long, vec_id long, v array<double>"), "ann-leaves")
+    counts = routed.groupBy("leaf").count().toPandas()  # a row a leaf
+    rows = np.zeros(forest.trees * forest.leaves, np.int64)
+    rows[counts["leaf"]] = counts["count"]
+    trials = asked.select("v").distinct().orderBy(F.xxhash64("v")).limit(TRIALS).toPandas()
+    tried = np.array(trials["v"].tolist(), float).reshape(-1, dim)
+
+    def answered(batches):
+        for pdf in batches:
+            if len(pdf) and len(tried):
+                x = np.array(pdf["v"].tolist(), float)
+                for i, s in enumerate(inner_products(tried, x)):
+                    at = _best(pdf["vec_id"].to_numpy(np.int64), s, k + 1)
+                    yield pd.DataFrame({"trial": i, "score": s[at], "vec_id": pdf["vec_id"].iloc[at], "v": pdf["v"].iloc[at]})
+
+    exact = kept.mapInPandas(answered, "trial int, score double, vec_id long, v array<double>")
+    best_first = Window.partitionBy("trial").orderBy(F.desc("score"), "vec_id")
+    truth = exact.withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= k + 1).select("trial", "v").toPandas()
+    neighbours = [np.array(truth["v"][truth["trial"] == i].tolist(), float).reshape(-1, dim) for i in range(len(tried))]
+    visits = forest.visits_for(tried, neighbours, rows, held)
+    parts = np.maximum(1, -(-rows // BLOCK_ROWS))
 
     def probe(batches):
         for pdf in batches:
-            found = [forest.search(np.array(v, float), visits) for v in pdf["v"]]
+            found = [forest.search(np.array(v, float), rows, visits, k + 1) for v in pdf["v"]]
             out = pd.DataFrame({"leaf": found, "query": pdf["query"], "v": pdf["v"]}).explode("leaf").dropna()
-            for b in range(blocks):
-                yield out.assign(leaf=out["leaf"].astype(np.int64), block=b)
+            leaf = out["leaf"].to_numpy(np.int64)
+            out = out.iloc[np.repeat(np.arange(len(out)), parts[leaf])].assign(leaf=np.repeat(leaf, parts[leaf]))
+            # only leaves of over BLOCK_ROWS rows have more than one block
+            yield out.assign(block=np.concatenate([np.arange(n) for n in parts[leaf]] or [np.zeros(0, np.int64)]))
+
+    def dealt(batches):
+        for pdf in batches:
+            yield pdf.assign(block=pdf["vec_id"].to_numpy() % parts[pdf["leaf"].to_numpy()])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "ids": [], "scores": []})
+            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
         q, ids = np.array(left["v"].tolist(), float), right["vec_id"].to_numpy(np.int64)
         x = np.array(right["v"].tolist(), float)
         rows = []
@@ -152,7 +211,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 20, visits: int = VI
 
     vectors = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
     left = vectors.mapInPandas(probe, "leaf long, query long, v array<double>, block long")
-    right = kept.mapInPandas(route, "leaf long, block long, vec_id long, v array<double>")
+    right = routed.mapInPandas(dealt, "leaf long, vec_id long, v array<double>, block long")
     lists = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInPandas(rank, "query long, ids array<long>, scores array<double>")
     found = lists.groupBy("query").applyInPandas(merge, "query long, found array<struct<vec_id:long,score:double>>")
     answers = vectors.join(found, "query").select("v", "found")
