@@ -50,7 +50,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """Renders each maximal conversation: conv_id, n_turns, text with `<|im_start|>role`, the turn and `<|im_end|>` lines.
 
     Input: conv_id, turn, role, text; other columns are ignored. Rows without conv_id are one conversation. A null role or text
-    equals an empty one. A conversation becomes one row, so it has to fit a task; an empty table gives no rows.
+    equals an empty one. Of rows of one conversation that are equal in turn, role and text only one counts, also where turn is
+    null: without numbers a turn that is said twice cannot be told from a row logged twice. A conversation becomes one row, so it has to fit a task; an empty table gives no rows.
     """
     kept = maximal_conversations(conversations).withColumnRenamed("conv_id", "_id")
     turn = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))

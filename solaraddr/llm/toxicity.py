@@ -16,6 +16,8 @@ from .words import Words, chunks, mixed
 SLOTS = 1 << 18
 #: Labelled documents of each class that the field is fitted on (those with the smallest hashes); as many again fit the score. Counts of evidence use all.
 FIT_DOCS = 300
+#: Bytes of a text that the fit takes at most: longer ones are left to the counts of evidence, so that the sample stays small.
+FIT_BYTES = 1 << 16
 #: A word or word beginning is evidence if it is in so many toxic documents and such a share of them, and so many times likelier there.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 12.0
 STEPS = 30
@@ -236,11 +238,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, fit_docs: int = FIT_D
 
     The texts of LABEL_ROWS labels (all, where there are fewer) give the counts that label tokens (words and beginnings that mark toxic documents); the field is fitted on
     the `fit_docs` documents of each class with the smallest hash, its score on as many others. A null text counts as empty; texts without words get the
-    score of no evidence. Repeated rows get equal scores, and a repeated label counts again. Rows of labels with a null are
-    ignored. Without any toxic label every score is low.
+    score of no evidence. Repeated rows get equal scores; of several labels of one id the toxic one counts. Rows of labels with a null are
+    ignored. Columns named score, predicted or spans are replaced. Without any toxic label every score is low.
     """
     text = F.coalesce("text", F.lit(""))
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = LABEL_ROWS / max(1, known.count())
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -248,7 +251,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, fit_docs: int = FIT_D
     taught = written(taught, "toxic-taught")
     signs, share = evidence(taught)
     at = F.xxhash64("doc_id", "text")
-    picked = [taught.where(F.col("toxic") == y).withColumn("h", at).orderBy("h").limit(2 * fit_docs).select("text", "toxic").toPandas() for y in (1, 0)]
+    picked = [taught.where((F.col("toxic") == y) & (F.octet_length("text") <= FIT_BYTES)).withColumn("h", at).orderBy("h").limit(2 * fit_docs).select("text", "toxic").toPandas() for y in (1, 0)]
     sample = pd.concat(picked)
     field = fit_field([t.encode("utf-8", "replace") for t in sample["text"]], sample["toxic"].to_numpy(np.int64), signs, share)
 
@@ -277,4 +280,4 @@ def fold(doc_id="doc_id"):
 
 def op5(spark, sf_dir: str) -> DataFrame:
     scored = toxicity(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"), fold())
-    return scored.select("doc_id", fold().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", fold().alias("held_out"), "score", "predicted", "spans")
