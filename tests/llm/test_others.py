@@ -1,15 +1,23 @@
-"""Mixing, chats, pages, urls, leaks and neighbours on small cases."""
+"""Mixing, chats, pages, urls, leaks and neighbours on small cases: brute force, hand-marked pages, and odd tables."""
+
+import hashlib
 
 import numpy as np
+import pytest
 
-from solaraddr.llm.ann import nearest
+from solaraddr.llm import html, leaks, urls
+from solaraddr.llm.ann import HELD, LEAF_ROWS, nearest
 from solaraddr.llm.chat import format_chats
-from solaraddr.llm.html import main_text
-from solaraddr.llm.leaks import index_items, leaks_in
-from solaraddr.llm.mixing import mix
+from solaraddr.llm.html import extract_text, main_text
+from solaraddr.llm.leaks import index_items, leaks_in, mark_leaks
+from solaraddr.llm.mixing import mix, mixed_documents
 from solaraddr.llm.urls import filter_urls
 
 
+def words(begin, end):
+    return " ".join(hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(begin, end))
+
+
 def test_mix(corpus):
     df, texts = corpus
     rows = mix(df).collect()
@@ -18,41 +26,187 @@ def test_mix(corpus):
     assert mix(df.where("doc_id < 0")).count() == 0
 
 
+def test_mix_carries_clashing_columns(corpus):
+    df, _ = corpus
+    odd = df.selectExpr("*", "1 AS whole", "2 AS cut", "3 AS _s", "4 AS copies")
+    rows = mixed_documents(odd).collect()
+    assert rows and all(r.whole == 1 and r.cut == 2 and r._s == 3 and r.copies > 0 for r in rows)
+
+
 def test_chats(spark):
     turns = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (None, 0, None, None), (2, 1, "assistant", "b")]
-    rows = {r.conv_id: r for r in format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(rows) == {2, None}
+    turns += [(4, 0, "user", "long " * 50_000), (4, 1, "assistant", "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS k", "2 AS n_turns")
+    rows = {r.conv_id: r for r in format_chats(df).collect()}
+    assert set(rows) == {2, 4, None}
     assert rows[2].text == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+    assert format_chats(df.where("conv_id < 0")).count() == 0
+
+
+PROSE = "It was not the first time that they had been there, and it would not be the last of the days on which all of them came to see what was left of it. "
+PAGES = {
+    "A & B\nOne two\nThree": "<html><nav><a href='/'>Home</a></nav><div class='cookie-notice'>Take it</div><article><h1>A &amp; B</h1><p>One<br>two<p>Three</article><div id=comments><p>No</div><footer>c</footer>",
+    "News\nShort.\nSee the full report of the day": "<article><h2>News</h2><p>Short.</p><p>See <a href=x>the full report of the day</a></p></article>",
+    "Title\nUp by 3 %": "<article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>Up by 3 %</p></article>",
+    f"T\n{PROSE.strip()}": f"<article><h1>T</h1><p>{PROSE}</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p class=advert>Buy now</p></article>",
+    (PROSE * 2).strip(): f"<div><a>Home</a> <a>News</a></div><p>{PROSE * 2}</p><div class='related-posts'><p>{PROSE}</p></div><form>Find <input></form>",
+    "a < b\nsecond": "<main>a &lt; b<script>var x = '<p>no</p>'</script><style>p{}</style><p>second</main>",
+    f"{PROSE.strip()}\nkept": f"<article><p>{PROSE}<div hidden>secret</div><p>kept<aside>side</aside><section class='reader-comments'><p>{PROSE}</section>",
+}
+
 
+@pytest.mark.parametrize("text", PAGES)
+def test_pages(text):
+    assert main_text(PAGES[text]) == text
 
-def test_pages():
-    page = "<html><nav><a href='/'>Home</a></nav><div class='cookie-notice'>Take it</div><article><h1>A &amp; B</h1><p>One<br>two<p>Three</article><div id=comments><p>No</div><footer>c</footer>"
-    assert main_text(page) == "A & B\nOne two\nThree"
-    assert main_text(None) == main_text("") == ""
+
+def test_no_page_is_no_text():
+    assert main_text(None) == main_text("") == main_text("<p></p>") == ""
+    assert main_text("<article>" + "<p>x " * 20_000) == "\n".join(["x"] * 20_000)
+
+
+def test_both_passes_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        blocks = [html.Block(*x) for x in [(("the of " if rng.integers(2) else "zz yy ") * int(rng.integers(1, 60)), int(rng.integers(0, 2)) * 999, bool(rng.integers(2)), rng.random() < 0.1) for _ in range(int(rng.integers(1, 12)))]]
+        first = html.first_pass(blocks)
+        want = []
+        for i, x in enumerate(first):
+            near = sorted((abs(i - j), -y) for j, y in enumerate(first) if y >= 0)
+            want.append(bool(x if x >= 0 else -near[0][1] if near else 1))
+        assert html.labels_of(blocks) == want
+
+
+def test_extract_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>", "own"), (1, "<p>x</p>", "own"), (None, None, None)], "page_id long, html string, marked string")
+    assert sorted(((r.page_id or 0, r.text, r.marked or "") for r in extract_text(df).collect())) == [(0, "", ""), (1, "x", "own"), (1, "x", "own")]
+    assert extract_text(df.where("page_id > 5")).count() == 0
 
 
 def test_urls(spark):
-    urls = ["http://A.net/x?q", "http://b.example.net/en/1", "https://org/fr/", "nothing", None, "http://x.example.com/de/1#t", "http://y.com"]
-    rows = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    given = ["http://A.net/x?q", "http://b.example.net/en/1", "https://org/fr/", "nothing", None, "http://x.example.com/de/1#t", "http://y.com", "", "http://z.org/" + "long/" * 20_000]
+    rows = filter_urls(spark.createDataFrame([*enumerate(given), (0, given[0])], "page_id long, url string").selectExpr("*", "1 AS score", "2 AS rule")).collect()
+    assert len(rows) == len(given) + 1
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
     assert got[0] == ("a.net", "/x", "net/", "block") and got[1][2:] == ("example.net/en/", "allow")
     assert got[2][2:] == ("org/fr/", "allow") and got[5][2:] == ("example.com/de/", "block")
-    assert got[3][:3] == got[4][:3] == ("", "", None)
+    assert got[3][:3] == got[4][:3] == got[7][:3] == ("", "", None)
+    assert filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_model_against_brute_force(spark):
+    good, bad = [f"http://site{i}.com/news/{i}" for i in range(30)], [f"http://spam{i}.biz/win?c={i}" for i in range(30)]
+    model = urls.fit_counts(spark.createDataFrame([(u, False) for u in good] + [(u, True) for u in bad], "url string, rejected boolean"))
+
+    def log_p(url, known):
+        t, total = url.encode() + b"\0", 0.0
+        padded = [(b"\0" * 0 + u.encode() + b"\0") for u in known]
+        for i in range(len(t)):
+            p = 1 / 256
+            for k in range(urls.ORDER + 1):
+                context, whole = t[max(0, i - k) : i], i < k
+                at = [(u, j) for u in padded for j in range(len(u)) if (j < k) == whole and u[max(0, j - k) : j] == context and (not whole or j == i)]
+                p = (sum(u[j] == t[i] for u, j in at) + 2 * p) / (len(at) + 2)
+            total += np.log(p)
+        return total / len(t)
+
+    for url in ("http://site77.com/news/77", "http://spam77.biz/win?c=77"):
+        assert urls.log_ratio(model, [url])[0] == pytest.approx(log_p(url, bad) - log_p(url, good), abs=1e-9)
+    # held-out urls of both kinds are told apart
+    scores = urls.log_ratio(model, [f"http://site{i}.com/news/{i}" for i in range(50, 60)] + [f"http://spam{i}.biz/win?c={i}" for i in range(50, 60)])
+    assert (scores[:10] < 0).all() and (scores[10:] > 0).all()
+
+
+def test_a_pruned_url_model_is_smaller(spark):
+    rows = spark.createDataFrame([(f"http://site{i}.com/{i}", i % 2 == 0) for i in range(40)], "url string, rejected boolean")
+    whole, some = urls.fit_counts(rows), urls.fit_counts(rows, most=60)
+    assert len(some[0]) <= 60 < len(whole[0]) and some[1].sum(axis=0).min() >= whole[1].sum(axis=0).min()
 
 
 def test_leaks():
-    item = " ".join(f"w{i}" for i in range(30))
+    item = words(0, 30)
     index = index_items([7, 8], [item.encode(), b"too short"])
-    found = leaks_in([f"before, {item.upper()} after".encode(), b"nothing here", b""], index)
-    assert found[0] == [(7, 1, 30, 1.0)] and found[1] == found[2] == []
+    found = leaks_in([f"before, {item.upper()} after".encode(), b"nothing here", b"", words(0, 27).encode(), words(0, 20).encode()], index)
+    assert found[0] == [(7, 1, 30, 1.0)] and found[1] == found[2] == found[4] == []
+    assert [(x[0], x[1], x[2]) for x in found[3]] == [(7, 0, 27)]
+
+
+def test_leaks_against_brute_force():
+    """Items with some words changed, planted in other text: all windows of similarity 0.8 or more are found."""
+    rng = np.random.default_rng(11)
+    items = [words(1000 * k, 1000 * k + int(n)) for k, n in enumerate(rng.integers(6, 60, 120))]
+    index = index_items(list(range(len(items))), [t.encode() for t in items])
+    texts = []
+    for k in range(400):
+        w = items[k % len(items)].split()
+        for at in rng.integers(0, len(w), int(rng.integers(0, 3))):
+            w[at] = f"other{k}"
+        texts.append(f"{words(900_000 + 50 * k, 900_000 + 50 * k + 20)} {' '.join(w)} {words(990_000, 990_010)}")
+    found = leaks_in([t.encode() for t in texts], index)
+    wanted = got = 0
+    for k, t in enumerate(texts):
+        i = k % len(items)
+        own, (grams,) = leaks.item_grams([items[i].encode()])[0], leaks.item_grams([t.encode()])
+        best = max(leaks.similarity(grams[s : s + len(own)], own, index) for s in range(len(grams) - len(own) + 1))
+        if best >= leaks.SIMILAR:
+            wanted += 1
+            got += any(x[0] == i and x[3] == pytest.approx(best) for x in found[k])
+        assert all(x[3] >= leaks.SIMILAR - 1e-9 for x in found[k])
+    assert wanted > 150 and got >= 0.995 * wanted
+
+
+def test_the_index_finds_all_fingerprints_within_the_radius():
+    rng = np.random.default_rng(2)
+    index = index_items(list(range(200)), [words(50 * k, 50 * k + 20).encode() for k in range(200)])
+    (own,) = index.indexes
+    prints = own.prints[rng.integers(0, 200, 500)].copy()
+    for row in prints:
+        for bit in rng.choice(128, int(rng.integers(0, 45)), replace=False):
+            row[bit // 16] ^= np.uint16(1 << int(bit % 16))
+    apart = np.array([[sum(int(x).bit_count() for x in p ^ q) for q in own.prints] for p in prints])
+    row, item = own.near(prints)
+    assert sorted(zip(row.tolist(), item.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(apart <= leaks.RADIUS)), strict=True))
+
+
+def test_slices_do_not_change_leaks(spark, monkeypatch):
+    items = spark.createDataFrame([(k, words(40 * k, 40 * k + 25)) for k in range(30)] + [(None, "x"), (99, None), (98, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{words(7000, 7020)} {words(40 * k, 40 * k + 25)}", "kept") for k in range(0, 30, 3)] + [(50, None, ""), (51, "", "")], "doc_id long, text string, leaks string")
+    plain = lambda df: sorted((r.doc_id, [(x.item_id, x.start, round(x.similarity, 6)) for x in sorted(r.leaks)]) for r in df.collect())
+    whole = plain(mark_leaks(docs, items))
+    monkeypatch.setattr(leaks, "SLICE", 7)
+    assert plain(mark_leaks(docs, items)) == whole and sum(len(x) for _, x in whole) == 10
+    assert mark_leaks(docs.where("doc_id < 0"), items).count() == 0
+    assert all(not r.leaks for r in mark_leaks(docs, items.where("item_id < 0")).collect())
+
+
+def exact(x, ids, q, k):
+    s = x @ x[q]
+    return [ids[j] for j in np.lexsort((ids, -s)) if j != q][:k]
+
+
+@pytest.mark.parametrize("n", [1, 5, 21, 40])
+def test_small_tables_are_answered_exactly(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(q, int(j)) for q in range(0, n, 20) for j in exact(x, np.arange(n), q, 20)]
 
 
-def test_neighbours(spark):
-    x = np.random.default_rng(5).standard_normal((400, 16))
+def test_neighbours_at_the_registered_settings(spark):
+    """Clustered vectors over several leaves: the recall holds, and a query reads a part of the rows."""
+    rng = np.random.default_rng(5)
+    n = 4 * LEAF_ROWS
+    centres = rng.standard_normal((40, 32)) * 2
+    x = centres[rng.integers(0, 40, n)] + rng.standard_normal((n, 32)) * 0.5
     x[7] = x[3]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = nearest(df, df.where("vec_id % 20 = 0"), k=10, visits=120).collect()
-    best = {q: set(sorted((j for j in range(400) if j != q), key=lambda j: (-(x[q] @ x[j]), j))[:10]) for q in range(0, 400, 20)}
-    assert sum(r.vec_id in best[r.query_id] for r in got) >= 0.9 * 200
-    assert all(r.vec_id < 900 for r in got)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(n, None), (n + 1, [0.0] * 32), (n + 2, [float("nan")] * 32), (n + 3, [1.0]), (7, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS leaf", "2 AS score")
+    got = nearest(df, df.where("vec_id % 20 = 0")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), abs=1e-9)
+    hits = sum(len(found[q] & set(exact(x, np.arange(n), q, 20))) for q in range(0, n, 20))
+    assert hits >= (HELD - 0.04) * 20 * len(range(0, n, 20))
+    assert all(r.vec_id < n for r in got) and all(len(v) == 20 for v in found.values())
+    assert nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
