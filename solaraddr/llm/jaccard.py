@@ -14,14 +14,16 @@ from .tables import discard, load, partitions, parts_for, small, written
 from .words import chunks, mixed
 
 #: Token orders that candidates have to agree on; counts of a set's tokens in this many buckets bound what two sets share.
-ORDERS, BUCKETS = 3, 256
+ORDERS, BUCKETS = 3, 64
+#: Sets from this size on are also counted in so many buckets, which smaller ones leave empty.
+LARGE, FINE = 820, 256
 #: Share of all tokens, beyond the share in which two linked sets may differ, that is looked up among all sets.
 LOOKED_UP = 0.2
 #: Pairs, and bytes of the sets they name, that one task compares, about.
 BLOCK_PAIRS, BLOCK_BYTES = 8000, 32 << 20
-#: First tokens of a prefix that go with each of its tokens, so that a pair is found under one token, not under all it shares.
-HEADS = 3
-_TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("heads", "<u8", (HEADS,)), ("sketch", "u1", (BUCKETS,))]
+#: First tokens of a prefix that go with each of its tokens, so that most pairs are found under one token, not under all they share.
+HEADS = 1
+_TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("heads", "<u8", (HEADS,)), ("sketch", "u1", (BUCKETS,)), ("fine", "u1", (FINE,))]
 _PAIR_ROWS = 1 << 21
 #: Pairs of each class that are compared first.
 FIRST_PAIRS = 8
@@ -81,8 +83,13 @@ def _spelled_marks(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _counts(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return np.minimum(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets), 255).astype(np.uint8)
+
+
 def _sketch(tokens: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    fine = _counts(tokens, FINE) if len(tokens) >= LARGE else np.zeros(FINE, np.uint8)
+    return np.concatenate([_counts(tokens, BUCKETS), fine]).tobytes()
 
 
 def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
@@ -96,9 +103,13 @@ def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
         met = (heads[a][:, :, None] == heads[b][:, None, :]).any(axis=2) & (heads[a] != 0)
         own = ~met.any(axis=1) | (heads[a][np.arange(len(a)), met.argmax(axis=1)] == tokens["h"][a])
         a, b = a[own], b[own]
-        apart = np.abs(sketch[a].astype(np.int16) - sketch[b]).sum(axis=1)
-        near = apart * (1 + share) <= (1 - share) * (n[a].astype(np.int64) + n[b]) + 1e-6
-        a, b = doc[a[near]], doc[b[near]]
+        for counts in (sketch, tokens["fine"]):
+            apart = np.abs(counts[a].astype(np.int16) - counts[b]).sum(axis=1)
+            near = apart * (1 + share) <= (1 - share) * (n[a].astype(np.int64) + n[b]) + 1e-6
+            if counts is not sketch:
+                near |= np.minimum(n[a], n[b]) < LARGE
+            a, b = a[near], b[near]
+        a, b = doc[a], doc[b]
         yield np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)
 
 
@@ -115,17 +126,6 @@ def _sample(tokens: np.ndarray, share: float):
         yield from _may_link(tokens, order[at], order[other], share)
 
 
-def _across(tokens: np.ndarray, share: float):
-    """Of the rows with one prefix token, the first of each component with the last of the one before and the first of all."""
-    order = np.lexsort((tokens["doc"], tokens["comp"], tokens["h"]))
-    h, comp = tokens["h"][order], tokens["comp"][order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(order) else np.zeros(0, bool)
-    at = np.flatnonzero(~new & np.concatenate([[False], comp[1:] != comp[:-1]])) if len(order) else np.zeros(0, np.int64)
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    for other in (first[at], at - 1):
-        yield from _may_link(tokens, order[at], order[other], share)
-
-
 def _pairs(tokens: np.ndarray, share: float):
     """Candidate pairs of documents that share a prefix token and are in different components.
 
@@ -179,8 +179,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     class with more tokens of its own than a link allows is linked with nothing, and only the others go on. Those that share a
     token in their prefixes under the first order become candidates; sizes and bucket counts bound what a pair can share, and the
     prefixes under the other orders have to share a token too, before any set is sent. Each class is first compared with a few others,
-    then components with each other, then every candidate pair whose classes are still in different components: no link between
-    components is lost, and a group of near copies costs about its size. Pairs are dealt by one of their classes, split where it has many.
+    then every candidate pair whose classes are still in different components: no link between components is lost, and a group of
+    near copies costs about its size. Pairs are dealt by one of their classes, split where it has many.
 
     Null texts are empty. A null doc_id counts as the smallest. Equal rows are in one class; different texts under one id are
     separate. Extra columns are ignored. Classes are told apart by 64 bits of their sets where pairs are formed.
@@ -221,7 +221,7 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     # `doc` names a class in the exchange: 40 bits of one digest, beside 31 of the other
     name, tag = F.shiftright("d1", 24), F.col("d2").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     sent = base.mapInPandas(one_each, "id long, d1 long, d2 long, text binary").select(name.alias("doc"), tag.alias("tag"), "id", "d1", "d2", "text").repartition(parts, "doc")
-    texts = sent.groupBy("doc", "tag", "d1", "d2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    texts = sent.groupBy("doc", "tag", "d1", "d2").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("doc", "tag", "id", "d1", "text")
     rows = written(base.mapInPandas(profile, "doc long, t long, n int, d1 long, d2 long"), "jaccard-rows")
 
     def pool_tokens(part, doc, pdf):
@@ -230,14 +230,14 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return _records("anchor", h=np.concatenate([*pools, np.zeros(0, np.uint64)]), doc=np.repeat(doc, count), tag=np.repeat(pdf["tag"].to_numpy(), count), at=place)
 
-    met = _exchange(texts.select("doc", "tag", "text"), pool_tokens, "anchor", _anchor_messages, parts)
+    # both uses read the same columns of `texts`, so that its exchange is made once
+    met = _exchange(texts, pool_tokens, "anchor", _anchor_messages, parts)
 
     def survivors(batches):
         """Classes that may be linked: their texts, prefix tokens, bucket counts and marks."""
         for pdf in batches:
             found = []
-            raw = plain(pdf["text"])
-            for begin, part in chunks(raw):
+            for begin, part in chunks(plain(pdf["text"])):
                 for i, s in enumerate(shingle_sets(part, size), begin):
                     blobs = pdf["blobs"].iloc[i]
                     own = [np.frombuffer(b, "<i4") for b in map(bytes, blobs if blobs is not None else ())]
@@ -247,7 +247,7 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
                         found.append((pdf["d1"].iloc[i], pdf["id"].iloc[i], len(s), p.tobytes(), _sketch(s), _marks(s, percent), bytes(pdf["text"].iloc[i])))
             yield pd.DataFrame(found, columns=["doc", "id", "n", "prefix", "sketch", "marks", "text"])
 
-    near = texts.join(met.hint("shuffle_hash"), "doc", "left").select("id", "d1", "tag", "text", "blobs")
+    near = texts.join(met.hint("shuffle_hash"), "doc", "left").select(*texts.columns, "blobs")
     nodes = written(near.mapInPandas(survivors, "doc long, id long, n int, prefix binary, sketch binary, marks binary, text binary"), "jaccard-nodes")
 
     def spread(batches):
@@ -257,7 +257,8 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
                 for r in pdf.iloc[piece].itertuples():
                     h = np.frombuffer(bytes(r.prefix), "<u8")
                     x = np.empty(len(h), _TOKENS)
-                    x["h"], x["doc"], x["comp"], x["n"], x["sketch"] = h, r.doc, r.comp, r.n, np.frombuffer(bytes(r.sketch), np.uint8)
+                    counts = np.frombuffer(bytes(r.sketch), np.uint8)
+                    x["h"], x["doc"], x["comp"], x["n"], x["sketch"], x["fine"] = h, r.doc, r.comp, r.n, counts[:BUCKETS], counts[BUCKETS:]
                     x["heads"] = 0
                     x["heads"][:, : len(h)] = h[:HEADS]
                     found.append(x)
@@ -288,18 +289,20 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     def judged(pairs: DataFrame, payload: str, each, check, label: str) -> DataFrame:
         """The written `pairs` that `check` accepts, by what `each` makes of the payload of their nodes."""
-        facts = pairs.join(nodes.select(F.col("doc").alias("a"), F.octet_length(payload).alias("size")), "a").agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-        blocks = max(partitions(spark), -(-facts["n"] // BLOCK_PAIRS), -(-2 * (facts["size"] or 0) // BLOCK_BYTES))
+        n, each_bytes = pairs.count(), int(nodes.agg(F.avg(F.octet_length(payload))).first()[0] or 0)
+        blocks = max(partitions(spark), -(-n // BLOCK_PAIRS), -(-2 * n * each_bytes // BLOCK_BYTES))
         many = pairs.groupBy("b").count().where(F.col("count") > BLOCK_PAIRS).select(F.col("b").alias("_b"), F.ceil(F.col("count") / BLOCK_PAIRS).alias("_cuts"))
         keyed = pairs.join(small(many), F.col("b") == F.col("_b"), "left")
         cut = F.pmod(F.xxhash64("a"), F.coalesce("_cuts", F.lit(1)))
         keyed = keyed.select(F.pmod(F.xxhash64("b", cut), F.lit(blocks)).alias("key"), "a", "b")
         needed = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct()
-        needed = needed.join(nodes.select(F.col("doc").alias("node"), F.col(payload).alias("data")), "node").select((F.col("key") + 0).alias("at"), "node", "data")
+        held = nodes.select(F.col("doc").alias("node"), F.col(payload).alias("data"))
+        held = held.join(small(needed.select("node").distinct()), "node", "left_semi")
+        needed = needed.join(held, "node").select((F.col("key") + 0).alias("at"), "node", "data")
 
         def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            held = dict(zip(right["node"], each([bytes(x) for x in right["data"]]), strict=True))
-            ok = [check(held[a], held[b]) for a, b in zip(left["a"], left["b"], strict=True)]
+            own = dict(zip(right["node"], each([bytes(x) for x in right["data"]]), strict=True))
+            ok = [check(own[a], own[b]) for a, b in zip(left["a"], left["b"], strict=True)]
             return left.loc[np.array(ok, bool), ["a", "b"]]
 
         return written(keyed.groupBy("key").cogroup(needed.groupBy("at")).applyInPandas(compare, "a long, b long"), label)
@@ -311,13 +314,12 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         discard(spark, agreed, pairs)
         return links
 
-    # first each class against those with which it shares most tokens, then components against each other, then all that are still apart
+    # first each class against those with which it shares most tokens, then all that are still apart
     first = proposed(None, _sample).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, FIRST_PAIRS).alias("all"))
     known = components(verified(written(first.select("a", F.explode("all.b").alias("b")), "jaccard-first")))
-    for make in (_across, _pairs):
-        more = verified(written(proposed(known, make).select("a", "b"), "jaccard-apart"))
-        if more.limit(1).count():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    more = verified(written(proposed(known, _pairs).select("a", "b"), "jaccard-apart"))
+    if more.limit(1).count():
+        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     discard(spark, nodes)
     reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("rep"))
     inside = written(reps.join(small(known.select(F.col("node").alias("d1"), "component")), "d1"), "jaccard-inside")
