@@ -171,7 +171,7 @@ def placed_rows(spark, sf_dir):
     high = low + 0.00058 + (i % 5) * 0.000001
     lon = F.lit(152.7) + (i % 12) * 0.00006
     swap = k % 2 == 0
-    name = F.when(shape == 3, k.cast("string")).otherwise(block.cast("string"))
+    name = F.when(shape == 3, F.concat(F.lit("x"), k.cast("string"))).otherwise(block.cast("string"))
     return read(spark, sf_dir, "part").select(
         k.alias("row_ord"), F.concat(F.lit("p"), k.cast("string")).alias("row_id"), name.alias("block"), F.when(k % 10 > 0, F.concat(F.lit("box"), block.cast("string"))).alias("dc_box"),
         F.when(swap, high).otherwise(low).alias("lat_a"), lon.alias("lon_a"), F.when(swap, low).otherwise(high).alias("lat_b"), lon.alias("lon_b"), F.when(k % 9 == 0, "east").alias("side"),
@@ -184,7 +184,7 @@ def _placed_sql(key: str, where: str = "true") -> str:
     d = "CAST({} AS DOUBLE)".format
     return f"""WITH keyed AS (SELECT p_partkey AS k, p_partkey // 24 AS b, p_partkey % 24 AS i FROM part),
     shaped AS (SELECT *, {d(-27.4)} + b * {d(0.01)} + CASE b % 4 WHEN 0 THEN CASE WHEN i < 12 THEN {d(0.00066)} ELSE {d(0)} END WHEN 1 THEN {d(0)} WHEN 2 THEN CASE WHEN i < 5 THEN {d(0.0004)} ELSE {d(0)} END ELSE i * {d(0.00062)} END + (i % 3) * {d(0.000005)} AS low FROM keyed),
-    ends AS (SELECT *, low + {d(0.00058)} + (i % 5) * {d(0.000001)} AS high, {d(152.7)} + (i % 12) * {d(0.00006)} AS lon, CASE WHEN b % 4 = 3 THEN CAST(k AS VARCHAR) ELSE CAST(b AS VARCHAR) END AS block, CASE WHEN k % 10 > 0 THEN 'box' || b END AS dc_box FROM shaped),
+    ends AS (SELECT *, low + {d(0.00058)} + (i % 5) * {d(0.000001)} AS high, {d(152.7)} + (i % 12) * {d(0.00006)} AS lon, CASE WHEN b % 4 = 3 THEN 'x' || k ELSE CAST(b AS VARCHAR) END AS block, CASE WHEN k % 10 > 0 THEN 'box' || b END AS dc_box FROM shaped),
     anchored AS (SELECT *, first_value(CASE WHEN k % 2 = 0 THEN high ELSE low END) OVER w AS lat0, first_value(lon) OVER w AS lon0 FROM ends WHERE {where} WINDOW w AS (PARTITION BY {key} ORDER BY k)),
     scaled AS (SELECT *, {A} / sqrt(1 - {E2} * power(sin(radians(lat0)), 2)) * cos(radians(lat0)) AS east, {A * (1 - E2)} / power(1 - {E2} * power(sin(radians(lat0)), 2), 1.5) AS north FROM anchored),
     placed AS (SELECT *, radians((low + high) / 2 - lat0) * north AS along, radians(high - low) * north AS length, -radians(lon - lon0) * east AS across FROM scaled)"""

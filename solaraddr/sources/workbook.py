@@ -63,9 +63,10 @@ def _lines(raw: bytes) -> Iterator[tuple[str, int, int, dict[int, str]]]:
 
 
 def read_workbooks(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
-    """(path, sheet, sheet_ord, ord, cells, error) of the files under `path`, one task input a file; empty cells are left out.
+    """(path, sheet, sheet_ord, ord, cells, error) of the files under `path`, one task input a file; empty cells are null, cells without a header are left out.
 
-    Headers come from line `header_row`; later lines are rows, numbered from 0. A file that cannot be read is one row with its error.
+    Headers come from line `header_row`; later lines are rows, numbered from 0. A file that cannot be read is one row with its error. Cells
+    come as text as they are stored. A file is read whole by one task, so it has to fit its memory.
     """
 
     def parse(batches):
@@ -78,9 +79,8 @@ def read_workbooks(spark: SparkSession, path: str, header_row: int = 1) -> DataF
                         if line == header_row:
                             headers[number] = {k: v.strip() for k, v in cells.items() if v.strip()}
                         elif line > header_row:
-                            own = {headers.get(number, {}).get(k): v for k, v in cells.items()}
-                            own.pop(None, None)
-                            if own:
+                            own = {h: cells.get(k) for k, h in headers.get(number, {}).items()}
+                            if any(v is not None for v in own.values()):
                                 rows.append((name, sheet, number, ords.setdefault(number, 0), own, None))
                                 ords[number] += 1
                         if len(rows) >= _BATCH:

@@ -17,14 +17,15 @@ from solaraddr.streaming.locate import locate_stream
 @pytest.mark.parametrize(
     ("text", "lat", "lon", "error"),
     [
-        ("-27.5, 152.75", -27.5, 152.75, None),
-        ("27°30'15.6\"S 152°45'10.2\"E", -27.5043333, 152.7528333, None),
-        ("S 27 30 15.6  E 152 45 10.2", -27.5043333, 152.7528333, None),
-        ("27 30.26 S, 152 45.17 E", -27.5043333, 152.7528333, None),
-        ("152°45'10.2\"E 27°30'15.6\"S", -27.5043333, 152.7528333, None),
-        ("-0 30 0 10 0 0", -0.5, 10.0, None),
-        ("-27.5 S 10 E", 27.5, 10.0, None),
-        ("27 30 15 152", 27.5, 17.5333333, "range"),
+        ("-33.8688, 151.2093", -33.8688, 151.2093, None),
+        ("33°52'7.68\"S 151°12'33.48\"E", -33.8688, 151.2093, None),
+        ("S 33 52 7.68  E 151 12 33.48", -33.8688, 151.2093, None),
+        ("33 52.128 S, 151 12.558 E", -33.8688, 151.2093, None),
+        ("151°12'33.48\"E 33°52'7.68\"S", -33.8688, 151.2093, None),
+        ("48 51 24 N 2 21 3 E", 48.8566667, 2.3508333, None),
+        ("-0 15 0 20 0 0", -0.25, 20.0, None),
+        ("-33.5 S 20 E", 33.5, 20.0, None),
+        ("33 30 15 200", 33.5, 18.3333333, "range"),
         ("1 2 3", None, None, "syntax"),
         ("1 2 3 4 S 5 E", None, None, "syntax"),
         ("27 60 S 10 E", None, None, "range"),
@@ -60,7 +61,7 @@ def test_workbooks(spark, tmp_path):
     (tmp_path / "broken.xlsx").write_bytes(b"no zip")
     rows = read_workbooks(spark, str(tmp_path))
     got = {(r.sheet, r.ord): r.cells for r in rows.where("error IS NULL").collect()}
-    assert got == {("Rows", 0): {"Block": "01", "X": "1.5"}, ("Rows", 1): {"X": "2"}}
+    assert got == {("Rows", 0): {"Block": "01", "X": "1.5"}, ("Rows", 1): {"Block": None, "X": "2"}}
     assert rows.where("error IS NOT NULL").count() == 1
     assert largest_sheet(rows).count() == 2
 
