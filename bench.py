@@ -1,4 +1,4 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one line of JSON."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one line of JSON. A warm-up, then the median of three runs."""
 
 import json
 import os
@@ -23,11 +23,16 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from solaraddr.plans.reports import QUERIES as known
 
-    took = {}
-    for name in QUERIES:
+    def run(name: str) -> float:
         began = time.time()
         known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - began, 3)
+        return time.time() - began
+
+    # one run warms up the JVM and the file cache; of the next three the median counts
+    took = {}
+    for name in QUERIES:
+        run(name)
+        took[name] = round(sorted(run(name) for _ in range(3))[1], 3)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 

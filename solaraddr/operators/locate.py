@@ -73,16 +73,9 @@ def _placed(near: DataFrame, farm: Farm) -> DataFrame:
     return out.withColumns({"reach": reach, "outside": (F.col("raw") < 1) | (F.col("raw") > farm.layout.total)})
 
 
-def candidates(near: DataFrame, farm: Farm) -> DataFrame:
-    """Modules around each fix on its nearest rows, with rank by distance and Gaussian confidence.
-
-    All rows take the reach of the nearest one's pitch. Of rows that share an id the nearest keeps a position that both have.
-    """
+def _addressed(out: DataFrame, farm: Farm) -> DataFrame:
+    """What an address says of the module at `position`."""
     layout = _layout(farm)
-    out = _placed(near, farm)
-    low, high = F.greatest(F.lit(1), F.col("centre") - F.col("reach")), F.least(F.lit(farm.layout.total), F.col("centre") + F.col("reach"))
-    out = out.withColumn("position", F.explode(F.sequence(low, high)))
-    out = out.withColumn("twin", F.row_number().over(Window.partitionBy("fix_id", "row_id", "position").orderBy("row_rank"))).where("twin = 1").drop("twin")
     out = out.withColumn("chunk", layout.chunk(F.col("position"))).withColumn("turned", F.coalesce(F.get("inverted", F.col("chunk")), F.lit(False)))
     start = _from_origin(layout.distance_at(F.col("position")))
     out = out.withColumns(
@@ -96,7 +89,41 @@ def candidates(near: DataFrame, farm: Farm) -> DataFrame:
         }
     )
     lat, lon = to_geo(F.col("mx"), F.col("my"), F.lit(farm.lat), F.lit(farm.lon))
-    out = out.withColumns({"module_distance": F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")), "module_lat": lat, "module_lon": lon})
+    return out.withColumns({"module_distance": F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")), "module_lat": lat, "module_lon": lon})
+
+
+def _spread(near: DataFrame, farm: Farm) -> tuple[DataFrame, Column, Column]:
+    """Fixes on their rows, and the first and last position that is a candidate there."""
+    low, high = F.greatest(F.lit(1), F.col("centre") - F.col("reach")), F.least(F.lit(farm.layout.total), F.col("centre") + F.col("reach"))
+    return _placed(near, farm), low, high
+
+
+def best_modules(near: DataFrame, farm: Farm) -> DataFrame:
+    """The first of `candidates` for each fix, without its confidence: only the modules next to the fix are looked at, not all in reach.
+
+    They are the one at the fix and its neighbours and, for a fix in a gap, the last and first of the strings beside it. Row ids
+    have to be unique.
+    """
+    n, layout = farm.layout.modules, _layout(farm)
+    out, low, high = _spread(near, farm)
+    string = layout.chunk(F.col("centre")) * n
+    places = F.array(*[F.least(F.greatest(p, low), high) for p in (F.col("centre") - 1, F.col("centre"), F.col("centre") + 1, string, string + 1)])
+    d = F.col("from_origin")
+    nearest = F.array_min(F.transform(places, lambda p: F.struct(F.abs(layout.distance_at(p) - d).alias("off"), p.cast("int").alias("position"))))
+    out = _addressed(out.withColumn("position", nearest["position"]), farm)
+    first = F.row_number().over(Window.partitionBy("fix_id").orderBy("module_distance", "row_rank", "position"))
+    return out.withColumn("rank", first).where("rank = 1")
+
+
+def candidates(near: DataFrame, farm: Farm) -> DataFrame:
+    """Modules around each fix on its nearest rows, with rank by distance and Gaussian confidence.
+
+    All rows take the reach of the nearest one's pitch. Of rows that share an id the nearest keeps a position that both have.
+    """
+    out, low, high = _spread(near, farm)
+    out = out.withColumn("position", F.explode(F.sequence(low, high)))
+    out = out.withColumn("twin", F.row_number().over(Window.partitionBy("fix_id", "row_id", "position").orderBy("row_rank"))).where("twin = 1").drop("twin")
+    out = _addressed(out, farm)
     w = F.exp(-0.5 * F.pow(F.col("module_distance") / F.col("sigma"), 2))
     total = F.sum("weight").over(Window.partitionBy("fix_id"))
     out = out.withColumn("weight", w).withColumn("confidence", F.when(total > 0, F.col("weight") / total).otherwise(0.0))

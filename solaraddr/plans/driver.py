@@ -179,7 +179,8 @@ def nearest_rows_topk(spark, sf_dir):
 
 @query("SELECT fix_id, row_id, position, module, CASE WHEN turned THEN 'far-end' ELSE 'near-dc' END AS counted_from, CAST(round(module_distance * 1000) AS BIGINT) AS distance_mm FROM found WHERE rank = 1")
 def locate_best(spark, sf_dir):
-    return located(spark, sf_dir).where("rank = 1").select("fix_id", "row_id", "position", "module", "counted_from", mm(F.col("module_distance")).alias("distance_mm"))
+    best = L.best_modules(L.near_rows(fixes(spark, sf_dir), tracker_rows(spark, sf_dir), FARM), FARM)
+    return best.select("fix_id", "row_id", "position", "module", "counted_from", mm(F.col("module_distance")).alias("distance_mm"))
 
 
 @query("SELECT fix_id, row_id, CAST(chunk AS INT) AS chunk, position, module, CAST(rank AS INT) AS rank, CAST(round(confidence * 1000) AS BIGINT) AS confidence_pm FROM found")

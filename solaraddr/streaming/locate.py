@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.compiled import Farm
-from ..operators.locate import locate
+from ..operators.locate import best_modules, near_rows
 
 
 def locate_stream(fixes: DataFrame, rows: DataFrame, farm: Farm, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Appends the best module of every fix to Parquet under `path`, in a folder for each batch, so that a batch run again replaces itself."""
 
     def put(batch: DataFrame, number: int) -> None:
-        locate(batch, rows, farm).where("rank = 1").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        best_modules(near_rows(batch, rows, farm), farm).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = fixes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
