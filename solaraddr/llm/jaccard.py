@@ -341,3 +341,15 @@ def _table(pairs: np.ndarray) -> pd.DataFrame:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return similar_groups(load(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE listed AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM listed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, root) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT b.y, r.root FROM reached r JOIN both_ways b ON b.x = r.doc_id)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c.root, l.doc_id) AS component_id FROM listed l LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS root FROM reached GROUP BY doc_id) c USING (doc_id)
+"""

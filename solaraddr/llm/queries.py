@@ -3,10 +3,10 @@
 from .ann import op7
 from .chat import OP10_SQL, op10
 from .html import op9
-from .jaccard import op8
+from .jaccard import OP8_SQL, op8
 from .leaks import op4
 from .mixing import OP1_SQL, op1
-from .substrings import op6
+from .substrings import OP6_SQL, op6
 from .suffixes import op2
 from .toxicity import op5
 from .urls import op3
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_html_text": op9,
     "op10_chat_format": op10,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op10_chat_format": OP10_SQL}
