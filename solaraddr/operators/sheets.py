@@ -105,3 +105,19 @@ def capabilities(rows: DataFrame, needs_side: bool = True, needs_chain: bool = T
     lines += [("origin-end", share("side"), whole("side") if needs_side else F.lit(True)), ("string-of-row", share("chain"), whole("chain") if needs_chain else F.lit(True))]
     lines += [("string-number", share("strings"), F.col("strings") > 0), ("serial", F.lit(0), F.lit(False))]
     return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("capability"), p.alias("percent"), a.alias("available")) for k, p, a in lines])))
+
+
+#: Rows whose coordinates tell what they are, and the zone that metres are taken to be in.
+CRS_ROWS, ZONE = 40, 56
+
+
+def guess_crs(places: DataFrame, zone: int = ZONE) -> DataFrame:
+    """One row (crs, zone, hemisphere) from the first CRS_ROWS rows of (ord, x, y): wgs84 if all can be degrees or none is given, else utm.
+
+    Metres lie in the south if their mean northing is over 5,000,000, which the false northing makes so. ord counts from 0.
+    """
+    x, y = F.col("x"), F.col("y")
+    fine = places.where(F.col("ord") < CRS_ROWS).where(x.isNotNull() & y.isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    facts = fine.agg(F.coalesce(F.bool_and((F.abs(y) <= 90) & (F.abs(x) <= 180)), F.lit(True)).alias("_degrees"), F.avg(y).alias("_mean"))
+    metres = ~F.col("_degrees")
+    return facts.select(F.when(metres, "utm").otherwise("wgs84").alias("crs"), F.when(metres, zone).alias("zone"), F.when(metres, F.when(F.col("_mean") > 5_000_000, "S").otherwise("N")).alias("hemisphere"))

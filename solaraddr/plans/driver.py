@@ -16,6 +16,7 @@ from ..functions.text import numeric_fields, to_number, tracker_ref
 from ..operators import compiled as C
 from ..operators import locate as L
 from ..operators import tables as T
+from ..operators.sheets import guess_crs
 
 FARM = C.Farm(lat=-27.4, lon=152.7)
 LAYOUT = Layout()
@@ -164,7 +165,7 @@ def compile_farm(spark, sf_dir):
 
 @query("SELECT CAST(round(avg((lat_a + lat_b) / 2) * 1e7) AS BIGINT) AS lat_e7, CAST(round(avg(lon) * 1e7) AS BIGINT) AS lon_e7 FROM tracker_rows")
 def farm_centroid(spark, sf_dir):
-    return tracker_rows(spark, sf_dir).agg(e7(F.avg((F.col("lat_a") + F.col("lat_b")) / 2)).alias("lat_e7"), e7(F.avg((F.col("lon_a") + F.col("lon_b")) / 2)).alias("lon_e7"))
+    return C.centroid(tracker_rows(spark, sf_dir)).select(e7(F.col("lat")).alias("lat_e7"), e7(F.col("lon")).alias("lon_e7"))
 
 
 @query("SELECT fix_id, row_id, CAST(round(distance * 1000) AS BIGINT) AS distance_mm FROM pairs")
@@ -324,11 +325,19 @@ def findings_csv(spark, sf_dir):
     return read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.concat_ws(",", T.csv_cell(F.col("o_orderkey")), T.csv_cell(cell)).alias("line"))
 
 
-@query("SELECT CASE WHEN bool_and(abs(c_acctbal) <= 90) THEN 'wgs84' ELSE 'utm' END AS crs, CASE WHEN avg(c_acctbal) > 5000000 THEN 'S' ELSE 'N' END AS hemisphere FROM customer WHERE c_custkey < 40", base=False)
+@query(
+    "SELECT crs, CASE WHEN crs = 'utm' THEN 56 END AS zone, CASE WHEN crs = 'utm' THEN CASE WHEN mean > 5000000 THEN 'S' ELSE 'N' END END AS hemisphere, shift FROM (SELECT shift, CASE WHEN bool_and(abs(y) <= 90 AND abs(x) <= 180) THEN 'wgs84' ELSE 'utm' END AS crs, avg(y) AS mean "
+    "FROM (SELECT shift, c_acctbal / 1000 + shift AS x, c_acctbal / 1000 + shift AS y FROM customer, (SELECT unnest([0, 300000, 6000000]) AS shift) WHERE c_custkey < 40) GROUP BY shift)",
+    base=False,
+)
 def crs_guess(spark, sf_dir):
-    head = read(spark, sf_dir, "customer").where("c_custkey < 40")
-    y = F.col("c_acctbal")
-    return head.agg(F.when(F.bool_and(F.abs(y) <= 90), "wgs84").otherwise("utm").alias("crs"), F.when(F.avg(y) > 5_000_000, "S").otherwise("N").alias("hemisphere"))
+    """Degrees, metres in the north and metres in the south."""
+    y, out = F.col("c_acctbal") / 1000, None
+    for shift in (0, 300_000, 6_000_000):
+        places = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), (y + shift).alias("x"), (y + shift).alias("y"))
+        one = guess_crs(places).withColumn("shift", F.lit(shift))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _series(coefficients, outer: str, inner: str, u: str, v: str) -> str:
