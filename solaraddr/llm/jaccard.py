@@ -245,10 +245,12 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
                     p = _prefix(s, np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64), percent)
                     if len(p):
                         found.append((pdf["d1"].iloc[i], pdf["id"].iloc[i], len(s), p.tobytes(), _sketch(s), _marks(s, percent), bytes(pdf["text"].iloc[i])))
-            yield pd.DataFrame(found, columns=["doc", "id", "n", "prefix", "sketch", "marks", "text"])
+            yield pd.DataFrame(found, columns=["d1", "id", "n", "prefix", "sketch", "marks", "text"])
 
     near = texts.join(met.hint("shuffle_hash"), "doc", "left").select(*texts.columns, "blobs")
-    nodes = written(near.mapInPandas(survivors, "doc long, id long, n int, prefix binary, sketch binary, marks binary, text binary"), "jaccard-nodes")
+    found = near.mapInPandas(survivors, "d1 long, id long, n int, prefix binary, sketch binary, marks binary, text binary")
+    # short numbers, fixed once they are written
+    nodes = written(found.withColumn("doc", F.monotonically_increasing_id()), "jaccard-nodes")
 
     def spread(batches):
         for pdf in batches:
@@ -320,9 +322,10 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     more = verified(written(proposed(known, _pairs).select("a", "b"), "jaccard-apart"))
     if more.limit(1).count():
         known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    discard(spark, nodes)
     reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("rep"))
-    inside = written(reps.join(small(known.select(F.col("node").alias("d1"), "component")), "d1"), "jaccard-inside")
+    named = known.join(nodes.select(F.col("doc").alias("node"), "d1"), "node").select("d1", "component")
+    inside = written(reps.join(small(named), "d1"), "jaccard-inside")
+    discard(spark, nodes)
     least = written(inside.groupBy("component").agg(F.min("rep").alias("least")), "jaccard-least")
     inside = inside.join(small(least), "component").select("d1", "d2", "least")
     by_class = written(reps.join(inside.hint("shuffle_hash"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "rep").alias("least")), "jaccard-groups")
