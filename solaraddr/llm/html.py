@@ -138,19 +138,18 @@ def first_pass(blocks: list[Block]) -> list[int]:
     and long ones without stop words. Good: long blocks of an article, and long prose elsewhere.
     """
     linked = [b.linked > LINKS * max(1, len(b.text)) and len(b.text) < LONG for b in blocks]
+    runs, at = [0] * len(blocks), 0
+    while at < len(blocks):
+        end = at
+        while end < len(blocks) and linked[end]:
+            end += 1
+        runs[at:end] = [end - at] * (end - at)
+        at = max(end, at + 1)
     out = []
-    for i, b in enumerate(blocks):
+    for b, run in zip(blocks, runs, strict=True):
         length, words = len(b.text), b.text.lower().split()
         stops = sum(w in _STOP for w in words) / max(1, len(words))
         links = b.linked > LINKS * max(1, length)
-        run = 0
-        if linked[i]:
-            low, high = i, i
-            while low > 0 and linked[low - 1]:
-                low -= 1
-            while high + 1 < len(blocks) and linked[high + 1]:
-                high += 1
-            run = high - low + 1
         if run >= MENU or b.marked and (links or length < LONG or stops < STOPS_HIGH):
             out.append(0)
         elif b.inside:

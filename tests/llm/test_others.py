@@ -63,6 +63,7 @@ def test_pages(text):
 def test_no_page_is_no_text():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
     assert main_text("<article>" + "<p>x " * 20_000) == "\n".join(["x"] * 20_000)
+    assert main_text(f"<p>{PROSE * 2}" + "<p><a>x</a>" * 20_000) == (PROSE * 2).strip()
 
 
 def test_both_passes_against_brute_force():
