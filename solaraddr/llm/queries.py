@@ -1,10 +1,11 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from .ann import op7
 from .chat import OP10_SQL, op10
 from .html import op9
 from .jaccard import OP8_SQL, op8
 from .leaks import op4
+from .merkle import OP13_SQL, op13
 from .mixing import OP1_SQL, op1
 from .substrings import OP6_SQL, op6
 from .suffixes import op2
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_jaccard_join": op8,
     "op9_html_text": op9,
     "op10_chat_format": op10,
+    "op13_merkle_manifest": op13,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op10_chat_format": OP10_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -63,3 +63,9 @@ def ascii_lower(c: Column) -> Column:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text."""
+    byte = "list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({x}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: {byte}, 4294967295), 4294967295)"
