@@ -7,6 +7,7 @@ from .jaccard import OP8_SQL, op8
 from .leaks import op4
 from .merkle import OP13_SQL, op13
 from .mixing import OP1_SQL, op1
+from .prefixes import OP12_SQL, op12
 from .substrings import OP6_SQL, op6
 from .suffixes import op2
 from .toxicity import op5
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_jaccard_join": op8,
     "op9_html_text": op9,
     "op10_chat_format": op10,
+    "op12_prefix_trie": op12,
     "op13_merkle_manifest": op13,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op10_chat_format": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op10_chat_format": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
