@@ -8,6 +8,7 @@ from .leaks import op4
 from .merkle import OP13_SQL, op13
 from .mixing import OP1_SQL, op1
 from .prefixes import OP12_SQL, op12
+from .secrets import op11
 from .substrings import OP6_SQL, op6
 from .suffixes import op2
 from .toxicity import op5
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard_join": op8,
     "op9_html_text": op9,
     "op10_chat_format": op10,
+    "op11_secret_scan": op11,
     "op12_prefix_trie": op12,
     "op13_merkle_manifest": op13,
 }
