@@ -33,7 +33,7 @@ SHORTEST = 20
 #: Share of false discoveries among the tokens added, in each class of encoding and length.
 FALSE_SHARE = 0.01
 #: Level at which the battery calls a token no noise after all.
-NOISE_LEVEL = 0.001
+NOISE_LEVEL = 0.05
 #: Tenths of a decimal order of p that are told apart when the level is chosen.
 STEPS = 3000
 
@@ -70,20 +70,25 @@ def character_pairs(documents: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Text:
-    """An encoding's symbols as ordinary text uses them: rank by frequency, shares by rank, how often halves change, correlation of neighbours.
+    """An encoding as ordinary text uses it. By symbol in the alphabet's order: class (letter case or digit), rank within the class by
+    frequency, whether it is of the rarer half of all, share; then how often halves change between neighbours, and the correlation
+    of neighbouring places in the alphabet.
 
     Encodings without small letters are held against text in capitals, that is against all letters of both cases.
     """
 
+    place: np.ndarray
+    kind: np.ndarray
     rank: np.ndarray
+    rare: np.ndarray
     share: np.ndarray
     change: float
     correlation: float
 
     @classmethod
     def of(cls, pairs: np.ndarray, alphabet: str) -> Text:
-        own = _CODE[np.frombuffer(alphabet.encode(), np.uint8)]
-        k = len(own)
+        symbols = np.frombuffer(alphabet.encode(), np.uint8)
+        own, k = _CODE[symbols], len(symbols)
         if alphabet == alphabet.upper():
             small, capital = _CODE[np.frombuffer(_LOWER.encode(), np.uint8)], _CODE[np.frombuffer(_UPPER.encode(), np.uint8)]
             pairs = pairs.copy()
@@ -91,20 +96,34 @@ class Text:
             pairs[:, capital] += pairs[:, small]
         table = pairs[np.ix_(own, own)] + 1 / k  # one pair in all for each symbol, so that nothing is impossible
         weight = table.sum(0) + table.sum(1)
+        table = table / table.sum()
+        place = np.zeros(256, np.int64)
+        place[symbols] = np.arange(k)
         order = np.argsort(-weight, kind="stable")
-        rank = np.full(256, 255, np.uint8)
-        rank[np.frombuffer(alphabet.encode(), np.uint8)[order]] = np.arange(k)
-        table = table[np.ix_(order, order)] / table.sum()
-        half = np.arange(k) >= k // 2
-        score = _scores(k)
+        kind = np.array([0 if chr(c) in _LOWER else 1 if chr(c) in _UPPER else 2 for c in symbols])
+        rank, rare = np.zeros(k, np.int64), np.zeros(k, bool)
+        for one in range(3):
+            inside = order[kind[order] == one]
+            rank[inside] = np.arange(len(inside))
+        rare[order[k // 2 :]] = True
+        score = np.arange(k) / k
         a, b = table.sum(1), table.sum(0)
-        ma, mb = a @ score, b @ score
-        spread = math.sqrt((a @ (score - ma) ** 2) * (b @ (score - mb) ** 2))
-        return cls(rank, weight[order] / weight.sum(), float(table[half[:, None] != half[None, :]].sum()), float((score - ma) @ table @ (score - mb) / spread) if spread else 0.0)
-
-
-def _scores(k: int) -> np.ndarray:
-    return (np.arange(k) + 0.5) / k - 0.5
+        left, right = score - a @ score, score - b @ score
+        spread = math.sqrt((a @ left**2) * (b @ right**2))
+        return cls(place, kind, rank, rare, weight / weight.sum(), float(table[rare[:, None] != rare[None, :]].sum()), float(left @ table @ right / spread) if spread else 0.0)
+
+    def classes(self, n: int) -> np.ndarray:
+        """The class of each symbol for tokens of n: small letters, capitals, and the rest, each cut by frequency into 1, 2 or 4 with five symbols a class."""
+        out, k, first = np.zeros(len(self.kind), np.int64), len(self.kind), 0
+        for one in range(3):
+            inside = self.kind == one
+            size = int(inside.sum())
+            if not size:
+                continue
+            parts = next(p for p in (4, 2, 1) if p == 1 or (n * size >= 5 * p * k and size >= 2 * p))
+            out[inside] = first + self.rank[inside] * parts // size
+            first += parts
+        return out
 
 
 def _upper(z: float) -> float:
@@ -127,39 +146,34 @@ def _together(ps: tuple[float, float, float]) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def battery(token: str, text: Text, size: int) -> tuple[float, float]:
+def battery(token: str, text: Text) -> tuple[float, float]:
     """(p if the token were noise, p if it were text) from uniformity, runs and serial correlation.
 
-    Symbols are ranked by their frequency in text. Uniformity: chi-squared over 2 to 16 classes of ranks, as many as leave five
-    symbols a class. Runs: changes between the frequent and the rare half. Correlation: of neighbouring ranks. Under noise each
-    has its usual law; under text the laws have the corpus's shares, changes and correlation, and noise shows by classes that
-    are too even, by more changes or by another correlation.
+    Uniformity: chi-squared over classes of symbols. Runs: changes between the half of the symbols that text prefers and the
+    other. Correlation: of neighbours' places in the alphabet. Under noise each has its usual law, and the least p counts three
+    times (Bonferroni): one fault is enough. Under text the laws have the corpus's shares, changes and correlation; noise shows by
+    classes that are too even, by more changes or by another correlation, which add up (Fisher).
     """
-    r = text.rank[np.frombuffer(token.encode(), np.uint8)].astype(np.int64)
-    n = len(r)
-    classes = 2
-    while classes * 2 <= min(16, size // 2) and n >= 10 * classes:
-        classes *= 2
-    of = np.arange(size) * classes // size
-    expected = np.bincount(of, minlength=classes) / size
-    seen = np.bincount(of[r], minlength=classes)
+    at = text.place[np.frombuffer(token.encode(), np.uint8)]
+    n, k = len(at), len(text.kind)
+    of = text.classes(n)
+    expected = np.bincount(of) / k
+    seen = np.bincount(of[at], minlength=len(expected))
     chi = float((((seen - n * expected) ** 2) / (n * expected)).sum())
     # the same sum under text: mean, and variance by the linear part and the multinomial's own
-    share = np.bincount(of, text.share, minlength=classes)
+    share = np.bincount(of, text.share)
     gap = (share - expected) / expected
     mean = float((share * (1 - share) / expected).sum() + n * (gap * (share - expected)).sum())
-    spread = math.sqrt(max(4 * n * float((share * gap**2).sum() - (share * gap).sum() ** 2) + 2 * (classes - 1), 1e-9))
-    half = r >= size // 2
-    changes, t = int((half[1:] != half[:-1]).sum()), (size // 2) / size
-    fair = 2 * t * (1 - t)
+    spread = math.sqrt(max(4 * n * float((share * gap**2).sum() - (share * gap).sum() ** 2) + 2 * (len(expected) - 1), 1e-9))
+    half = text.rare[at]
+    changes, t = int((half[1:] != half[:-1]).sum()), (k // 2) / k
     runs = lambda c: (changes - (n - 1) * c) / math.sqrt((n - 1) * c * (1 - c))
-    score = _scores(size)[r]
-    score = score - score.mean()
+    score = at - at.mean()
     power = float(score @ score)
     serial = float(score[1:] @ score[:-1]) / power if power else 1.0
-    noise = (_chi_tail(chi, classes - 1), _both(runs(fair)), _both((serial + 1 / n) * math.sqrt(n)))
+    noise = (_chi_tail(chi, len(expected) - 1), _both(runs(2 * t * (1 - t))), _both((serial + 1 / n) * math.sqrt(n)))
     plain = (_upper((mean - chi) / spread), _upper(runs(min(max(text.change, 1e-3), 0.999))), _both((serial + 1 / n - text.correlation) * math.sqrt(n)))
-    return _together(noise), _together(plain)
+    return min(1.0, 3 * min(noise)), _together(plain)
 
 
 def encoding_of(token: str) -> str | None:
@@ -201,7 +215,7 @@ def _search(batches: Iterator[pa.RecordBatch], texts: dict[str, Text]) -> Iterat
             tried = []
             for start, end, token in _free_tokens(text or "", base):
                 if name := encoding_of(token):
-                    noise, plain = battery(token, texts[name], len(ENCODINGS[name]))
+                    noise, plain = battery(token, texts[name])
                     # a token that is no noise counts among those tried, as one that no level lets pass
                     step = min(int(-10 * math.log10(max(plain, 1e-300))), STEPS) if noise >= NOISE_LEVEL else -1
                     tried.append((start, end, f"{name}:{int(2 * math.log2(len(token) / SHORTEST))}", step))
