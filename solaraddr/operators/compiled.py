@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ OPTIONAL = {
 
 @dataclass(frozen=True)
 class Farm:
-    """How a farm counts: layout, origin of the local plane, matching limits (metres), and rules.
+    """How a farm counts: layout, origin of the local plane, matching limits (metres), and rules. Numbers and names may be columns, where
+    one table holds rows of many farms: see `operators.farms`.
 
     origin: fixed-end (towards `fixed_end`), dc-box-end (at the road, or at the outer edge) or per-row-flag. inversion: none,
     piercing-chain or per-string-flag. offset_mode: whether the layout's offset holds at both ends, at the origin or nowhere.
@@ -35,7 +38,7 @@ class Farm:
     neighbourhood: int = 2
     rows: int = 3
     accuracy: float = 3.0
-    cell: float = 64.0
+    cell: float | None = None
     origin: str = "dc-box-end"
     fixed_end: str | None = None
     dc_box: str = "center-road"
@@ -44,6 +47,34 @@ class Farm:
     pitch: float | str | None = None
     tolerance: float = 15.0
 
+    #: Columns that tell farms apart, beside the ids of fixes and rows.
+    by: ClassVar[tuple[str, ...]] = ()
+
+    def attached(self, df: DataFrame, *fields: str) -> DataFrame:
+        """`df` with the columns that these fields of the farm need: none for a single farm."""
+        return df
+
+    @property
+    def stated_pitch(self) -> tuple[Column, Column]:
+        """(mode, metres): nominal, derive or explicit, and the pitch if explicit."""
+        mode = "nominal" if self.pitch is None else "derive" if self.pitch == "derive" else "explicit"
+        return F.lit(mode), F.lit(float(self.pitch) if mode == "explicit" else None).cast("double")
+
+    @property
+    def cell_size(self) -> float | Column:
+        """Metres of a cell's side: `cell`, or the power of two that holds a circle of `max_distance`, 64 at least."""
+        return self.cell or 2.0 ** max(6, math.ceil(math.log2(2 * max(self.max_distance, 1))))
+
+    @property
+    def most_rows(self) -> int:
+        """No fix is held against more of its nearest rows than this."""
+        return max(1, self.rows)
+
+
+def fix_key(df: DataFrame) -> list[str]:
+    """What tells fixes apart: their id, and the farm where there is one."""
+    return [c for c in ("farm_id", "fix_id") if c in df.columns]
+
 
 def opposite_end(end: Column) -> Column:
     return F.when(end == "start", "end").when(end == "end", "start")
@@ -58,35 +89,23 @@ def end_towards(direction: Column) -> Column:
 
 def origin_end(farm: Farm) -> tuple[Column, Column]:
     """The end where a row's count begins, and the warning of the rule that lacks its datum (the start is taken then)."""
-    if farm.origin == "fixed-end":
-        found, code = end_towards(F.lit(farm.fixed_end)), "missing-flag"
-    elif farm.origin == "per-row-flag":
-        found, code = F.nullif("origin_flag", F.lit("")), "missing-flag"
-    else:
-        side = F.col("side")
-        if farm.dc_box == "center-road":
-            side = F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair])[side]
-        found, code = end_towards(side), "missing-side"
-    return F.coalesce(found, F.lit("start")), F.when(found.isNull(), code)
+    rule, side = F.lit(farm.origin), F.col("side")
+    across = F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair])[side]
+    box = end_towards(F.when(F.lit(farm.dc_box) == "center-road", across).otherwise(side))
+    found = F.when(rule == "fixed-end", end_towards(F.lit(farm.fixed_end))).when(rule == "per-row-flag", F.nullif("origin_flag", F.lit(""))).otherwise(box)
+    return F.coalesce(found, F.lit("start")), F.when(found.isNull(), F.when(rule.isin("fixed-end", "per-row-flag"), "missing-flag").otherwise("missing-side"))
 
 
 def inversions(farm: Farm) -> tuple[Column, Column]:
     """For each string of a row whether it is counted from its far end, and a warning for each that lacks its datum."""
-    chunks = F.sequence(F.lit(0), F.lit(farm.layout.strings - 1))
-    if farm.inversion == "none":
-        known = lambda c: F.lit(False)
-        code = "missing-flag"
-    elif farm.inversion == "per-string-flag":
-        known = lambda c: F.get("string_inverted", c)
-        code = "missing-flag"
-    else:
-        known = lambda c: F.when(c == 0, False).otherwise(F.col("pos") < F.col("pos_total"))
-        code = "missing-chain-position"
-    flags = F.transform(chunks, known)
-    return F.transform(flags, lambda x: F.coalesce(x, F.lit(False))), F.transform(F.filter(flags, lambda x: x.isNull()), lambda _: F.lit(code))
-
-
-def string_names(strings: int) -> tuple[Column, Column, Column]:
+    rule, strings = F.lit(farm.inversion), F.lit(farm.layout.strings)
+    known = lambda c: F.when(rule == "none", False).when(rule == "per-string-flag", F.get("string_inverted", c)).when(c == 0, False).otherwise(F.col("pos") < F.col("pos_total"))
+    flags = F.transform(F.sequence(F.lit(0), strings - 1), known)
+    code = F.when(rule == "piercing-chain", "missing-chain-position").otherwise("missing-flag")
+    return F.transform(flags, lambda x: F.coalesce(x, F.lit(False))), F.transform(F.filter(flags, lambda x: x.isNull()), lambda _: code)
+
+
+def string_names(strings: int | Column) -> tuple[Column, Column, Column]:
     """Numbers of a row's strings from the origin on, their labels (null without any), and whether there are too few or too many.
 
     Given numbers are sorted with their labels, cut to `strings`, or go on by one; without any they are 1, 2 and so on.
@@ -109,12 +128,14 @@ def compile_rows(rows: DataFrame, farm: Farm, strict: bool = True) -> DataFrame:
     string numbers, length-mismatch where the length asks for another pitch. An empty table gives no rows; see `require_rows`.
     """
     layout = farm.layout
+    rows = farm.attached(rows)
     rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in rows.columns})
     lat0, lon0 = F.lit(farm.lat), F.lit(farm.lon)
     ax, ay = to_local(F.col("lat_a"), F.col("lon_a"), lat0, lon0)
     bx, by = to_local(F.col("lat_b"), F.col("lon_b"), lat0, lon0)
     out = rows.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by}).withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-    near, far = (0.0 if farm.offset_mode == "none" else layout.offset), (layout.offset if farm.offset_mode == "both" else 0.0)
+    mode, offset = F.lit(farm.offset_mode), F.lit(layout.offset)
+    near, far = F.when(mode == "none", 0.0).otherwise(offset), F.when(mode == "both", offset).otherwise(0.0)
     room = F.col("length") - near - far
     reason = F.when(F.col("length") == 0, "zero-length").when(room <= 0, "no-room")
     out = out.withColumn("reason", reason)
@@ -122,21 +143,22 @@ def compile_rows(rows: DataFrame, farm: Farm, strict: bool = True) -> DataFrame:
         out = out.withColumn("length", F.when(F.col("reason").isNull(), F.col("length")).otherwise(F.raise_error(F.concat("reason", F.lit(": "), "row_id")).cast("double")))
     length = F.nullif(F.col("length"), F.lit(0.0))
     derived = (room - (layout.strings - 1) * layout.string_gap + layout.strings * layout.gap) / layout.total
-    stated = derived if farm.pitch == "derive" else F.lit(layout.pitch if farm.pitch is None else float(farm.pitch))
+    pitch_mode, pitch = farm.stated_pitch
+    stated = F.when(pitch_mode == "derive", derived).when(pitch_mode == "explicit", pitch).otherwise(F.lit(layout.pitch))
     origin, origin_warning = origin_end(farm)
     inverted, inversion_warnings = inversions(farm)
     numbers, labels, odd_count = string_names(layout.strings)
     pad = farm.max_distance
     out = out.withColumns({"pitch": F.coalesce(F.col("pitch_mm") / 1000, stated), "derived_pitch": derived})
     residual = (F.col("derived_pitch") - F.col("pitch")) * 1000
-    own = layout.of_rows(F.col("pitch"), F.lit(near))
+    own = layout.of_rows(F.col("pitch"), near)
     codes = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
     return out.withColumns(
         {
             "ux": (F.col("bx") - F.col("ax")) / length,
             "uy": (F.col("by") - F.col("ay")) / length,
-            "origin_offset": F.lit(near),
-            "far_offset": F.lit(far),
+            "origin_offset": near,
+            "far_offset": far,
             "predicted_length": near + own.extent + far,
             "residual_mm": residual,
             "origin_end": origin,
@@ -161,14 +183,15 @@ def require_rows(rows: DataFrame) -> DataFrame:
 
 
 def repeated_ids(rows: DataFrame) -> DataFrame:
-    """One row (row_id, row_ord, code missing-flag) for every occurrence of an id after its first, by row_ord."""
-    firsts = rows.groupBy("row_id").agg(F.min("row_ord").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(firsts, "row_id").where("row_ord > _first").select("row_id", "row_ord", F.lit("missing-flag").alias("code"))
+    """One row (row_id, row_ord, code missing-flag, and farm_id where there is one) for every occurrence of an id after its first, by row_ord."""
+    key = [c for c in ("farm_id", "row_id") if c in rows.columns]
+    firsts = rows.groupBy(key).agg(F.min("row_ord").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(firsts, key).where("row_ord > _first").select(*key, "row_ord", F.lit("missing-flag").alias("code"))
 
 
 def row_warnings(compiled: DataFrame) -> DataFrame:
     """The warnings of each row that has any: row_id, codes (first those of building, then of rules), grouped over repeated ids."""
-    return compiled.groupBy("row_id").agg(F.flatten(F.collect_list(F.concat("build_warnings", "strategy_warnings"))).alias("codes")).where("size(codes) > 0")
+    return compiled.groupBy([c for c in ("farm_id", "row_id") if c in compiled.columns]).agg(F.flatten(F.collect_list(F.concat("build_warnings", "strategy_warnings"))).alias("codes")).where("size(codes) > 0")
 
 
 def lat_lon_bounds(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import sides as D
 from ..operators import strings as S
 from ..operators.sheets import build_rows, skip_samples, skip_summary
 from ..operators.sheets import string_numbers as numbers_in
+from . import batch  # noqa: F401
 from .driver import ORACLES, QUERIES, mm, query, read
 from .farms import LOCATED, located, slanted_fixes, slanted_rows
 from .sheets import BY_NAME, BY_ORDER_SQL, SHEET, match_entries_of, match_rows_of, matched, sheet
