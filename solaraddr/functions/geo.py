@@ -66,15 +66,17 @@ def central_meridian(zone: Column) -> Column:
     return zone * 6 - 183
 
 
-def utm_to_wgs84(easting: Column, northing: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees of UTM coordinates; null outside zones 1 to 60."""
+def utm_to_wgs84(easting: Column, northing: Column, zone: Column, south: Column, strict: bool = False) -> tuple[Column, Column]:
+    """Latitude and longitude in degrees of UTM coordinates; for what is no whole zone from 1 to 60 null or, if `strict`, an error."""
     xi = (northing - F.when(south, FALSE_NORTH).otherwise(0)) / (K0 * RADIUS)
     eta = (easting - FALSE_EAST) / (K0 * RADIUS)
     u = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
     v = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
     chi = F.asin(F.sin(u) / F.cosh(v))
     lat = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
-    fine = zone.between(1, 60)
+    fine = zone.between(1, 60) & (zone == F.floor(zone))
+    if strict:
+        fine = fine | F.raise_error(F.concat(F.lit("no UTM zone: "), F.coalesce(zone.cast("string"), F.lit("null")))).cast("boolean")
     return F.when(fine, F.degrees(lat)), F.when(fine, central_meridian(zone) + F.degrees(F.atan2(F.sinh(v), F.cos(u))))
 
 

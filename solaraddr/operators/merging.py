@@ -41,12 +41,12 @@ def offset_advice(lengths: DataFrame, layout, key: str | None = None, stated_mm:
     """The stake offset that rows' lengths (metres) imply, on the whole or for each `key`: n, median, p10, p90, spread_mm, offset_mm.
 
     Also `suggest` (over 50 mm from `stated_mm`) and `uneven` (a spread over 500 mm). Order statistics are by number, found by
-    counts of millimetres: each group's lengths are summed up to their distinct millimetres first, so no group is sorted as a whole.
+    counts of millimetres: equal lengths are counted first, and only lengths of the millimetre that holds a number are ranked.
     """
     from .tables import order_statistics
 
     keyed = lengths.withColumn("_key", F.lit(0) if key is None else F.col(key))
-    stats = order_statistics(keyed, "_key", "length")
+    stats = order_statistics(keyed, "_key", "length", width=0.001)
     out = stats.withColumns({"spread_mm": (F.col("p90") - F.col("p10")) * 1000, "offset_mm": (F.col("median") - layout.extent) * 500})
     out = out.withColumns({"suggest": F.abs(F.col("offset_mm") - stated_mm) > 50, "uneven": F.col("spread_mm") > 500})
     return out.drop("_key") if key is None else out.withColumnRenamed("_key", key)

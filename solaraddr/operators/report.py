@@ -129,19 +129,10 @@ def report_rows(found: DataFrame) -> DataFrame:
 
 
 def write_report(found: DataFrame, path: str, order: str = "fix_id") -> None:
-    """The report as text files: lines in the order of `order`, a header at the head of each file."""
-    lines = report_rows(found).orderBy(order).select("line")
-    header = ",".join(CSV_COLUMNS)
+    """The report as one text file: a header, then lines in the order of `order`, dealt into ranges that tasks write; no line feed at the end."""
+    from ..sources.report import write_document
 
-    def headed(batches):
-        first = True
-        for pdf in batches:
-            if first and len(pdf):
-                pdf, first = pdf.astype(object), False
-                pdf.iloc[0, 0] = f"{header}\n{pdf.iloc[0, 0]}"
-            yield pdf
-
-    lines.mapInPandas(headed, "line string").write.mode("overwrite").text(path)
+    write_document(report_rows(found).orderBy(order).select("line"), path, ",".join(CSV_COLUMNS))
 
 
 def check_records(best: DataFrame, verdicts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -185,7 +176,16 @@ def farm_cards(rows: DataFrame, key: str = "farm_id") -> DataFrame:
     )
 
 
-def last_mismatches(checks: DataFrame, most: int = 4) -> DataFrame:
+# How many of each a screen shows.
+SHOWN = {"preview rows": 6, "warnings": 8, "collisions": 5, "chain reports": 12, "mismatches": 4, "photo problems": 5}
+
+
+def shown(rows: DataFrame, what: str, *order) -> DataFrame:
+    """The first rows by `order`, as many as a screen shows of `what` (see SHOWN)."""
+    return rows.orderBy(*order).limit(SHOWN[what])
+
+
+def last_mismatches(checks: DataFrame, most: int = SHOWN["mismatches"]) -> DataFrame:
     """The latest mismatches, newest first."""
     return checks.where("outcome = 'mismatch'").orderBy(F.desc("at"), F.desc("check_id")).limit(most)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import to_local
+from .tables import METRES, largest_gap, order_statistics, ranked
 
 
 def along_axis(rows: DataFrame, key: str, order: str = "row_ord") -> DataFrame:
@@ -29,14 +30,8 @@ def along_axis(rows: DataFrame, key: str, order: str = "row_ord") -> DataFrame:
     return out.drop("_o", "_ax", "_ay", "_bx", "_by", "_ux", "_uy")
 
 
-def _upper_median(value: str, place: str, count: str) -> Column:
-    return F.max(F.when(F.col(place) == F.floor(F.col(count) / 2), F.col(value)))
-
-
-def _medians(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy("length")) - 1, "_n": F.count("*").over(w)})
-    return ranked.groupBy(*keys).agg(_upper_median("length", "_i", "_n").alias(name))
+def _medians(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return order_statistics(rows, key, "length", width=0.001).select(key, F.col("median").alias(name))
 
 
 def side_report(rows: DataFrame, key: str = "block", order: str = "row_ord") -> tuple[DataFrame, DataFrame]:
@@ -45,24 +40,21 @@ def side_report(rows: DataFrame, key: str = "block", order: str = "row_ord") ->
     Rows are split at the widest step between neighbours along the axis (the first of equal ones). Report: block, rows, status,
     gap, lower, upper. Status: ambiguo (fewer than two rows), un-solo-lado (the step is below half the median length),
     escalonado (below 0.95 of the mean of both groups' median lengths: no road fits between), dos-lados. Only the last gives sides.
-    A block is ranked in one task; its rows number hundreds.
+    Places, steps and medians come by stretches of the axis and by counts, so no block is one task's.
     """
     placed = along_axis(rows, key, order)
-    w = Window.partitionBy(key).orderBy("along", order)
-    placed = placed.withColumns({"_place": F.row_number().over(w), "_step": F.col("along") - F.lag("along").over(w)})
-    cut = placed.groupBy(key).agg(
-        F.count("*").alias("rows"), F.max("_step").alias("gap"), F.max_by("_place", F.struct("_step", -F.col("_place"))).alias("_at")
-    )
-    parted = placed.join(cut.select(key, "_at"), key).withColumn("_upper", F.col("_place") >= F.col("_at"))
-    halves = _medians(parted, [key, "_upper"], "_half").groupBy(key).agg(F.avg("_half").alias("_facing"))
+    numbered = ranked(placed, key, F.floor(F.col("along") / METRES), "along", order, name="_place")
+    cut = placed.groupBy(key).agg(F.count("*").alias("rows")).join(largest_gap(placed, key, F.col("along"), order).withColumnRenamed("at", "_at"), key, "left")
+    parted = numbered.join(cut.select(key, "_at"), key).withColumn("_upper", F.col("_place") > F.col("_at"))
+    halves = _medians(parted.withColumn("_part", F.struct(key, "_upper")), "_part", "_half").select(F.col(f"_part.{key}").alias(key), "_half").groupBy(key).agg(F.avg("_half").alias("_facing"))
     sizes = parted.groupBy(key).agg(F.count_if(~F.col("_upper")).alias("lower"), F.count_if("_upper").alias("upper"))
-    report = cut.join(_medians(placed, [key], "_median"), key).join(halves, key).join(sizes, key)
+    report = cut.join(_medians(placed, key, "_median"), key).join(halves, key).join(sizes, key)
     status = F.when(F.col("rows") < 2, "ambiguo").when(~(F.col("gap") > 0) | (F.col("gap") < 0.5 * F.col("_median")), "un-solo-lado")
     status = status.when(F.col("gap") < 0.95 * F.col("_facing"), "escalonado").otherwise("dos-lados")
     report = report.withColumn("status", status)
     sides = parted.join(report.select(key, "status"), key)
     derived = F.when(F.col("status") == "dos-lados", F.when(F.col("_upper"), "north").otherwise("south"))
-    return sides.withColumn("derived_side", derived).drop("_place", "_step", "_at", "_upper"), report.select(key, "rows", "status", "gap", "lower", "upper")
+    return sides.withColumn("derived_side", derived).drop("_place", "_total", "_at", "_upper"), report.select(key, "rows", "status", "gap", "lower", "upper")
 
 
 def with_sides(rows: DataFrame, derived: DataFrame) -> DataFrame:
@@ -75,7 +67,7 @@ def chain_report(rows: DataFrame, key: str = "dc_box", order: str = "row_ord") -
 
     Rows behind each other along their axis (over more than half their mean length and wider than across it) are a chain
     (cadena), counted from the south; rows beside each other (paralelas) are chains of one; else (mixta) there is no place. A box
-    of one row is a chain. Rows without a box are left out. A box is ranked in one task; it holds a few rows.
+    of one row is a chain. Rows without a box are left out. Places come by stretches of the axis, so no box is one task's.
     """
     placed = along_axis(rows.where(F.col(key).isNotNull()), key, order)
     spread = lambda c: F.max(c) - F.min(c)
@@ -83,7 +75,7 @@ def chain_report(rows: DataFrame, key: str = "dc_box", order: str = "row_ord") -
     chain = (F.col("rows") == 1) | ((F.col("along_m") > 0.5 * F.col("_mean")) & (F.col("along_m") > F.col("across_m")))
     boxes = boxes.withColumn("shape", F.when(chain, "cadena").when(F.col("across_m") > F.col("along_m"), "paralelas").otherwise("mixta")).drop("_mean")
     own = placed.join(boxes.select(key, "rows", "shape"), key)
-    pos = F.row_number().over(Window.partitionBy(key).orderBy("along", order))
+    own = ranked(own, key, F.floor(F.col("along") / METRES), "along", order, name="_place")
     line = F.col("shape") == "cadena"
-    places = own.withColumns({"pos": F.when(line, pos).otherwise(1), "pos_total": F.when(line, F.col("rows").cast("int")).otherwise(1)})
+    places = own.withColumns({"pos": F.when(line, F.col("_place")).otherwise(1), "pos_total": F.when(line, F.col("rows").cast("int")).otherwise(1)})
     return places.where("shape <> 'mixta'").select("row_id", "pos", "pos_total"), boxes

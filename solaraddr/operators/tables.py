@@ -59,17 +59,17 @@ def unique_matches(left: DataFrame, right: DataFrame, key: str, value: str) -> D
 def order_statistics(df: DataFrame, key: str, value: str, width: float = 1.0) -> DataFrame:
     """Upper median and floor-index tenth and ninetieth parts for each key.
 
-    Counts by buckets of `width` tell which bucket holds each of them; only rows of those buckets are ranked.
+    Equal values are counted first. Counts by buckets of `width` tell which bucket holds each of them; only values of those buckets are ranked.
     """
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_bucket"))
+    rows = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_bucket", F.floor(F.col("_v") / width))
     own = Window.partitionBy(key)
-    counts = rows.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(key, "_bucket").agg(F.sum("_c").alias("_n"))
     counts = counts.withColumns({"n": F.sum("_n").over(own), "_before": F.sum("_n").over(own.orderBy("_bucket")) - F.col("_n")})
     wanted = counts.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("name"), F.lit(s).alias("share")) for x, s in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))])))
     wanted = wanted.withColumn("_place", F.floor(F.col("n") * F.col("share")) - F.col("_before")).where((F.col("_place") >= 0) & (F.col("_place") < F.col("_n"))).select(key, "_bucket", "n", "name", "_place")
     some = rows.join(wanted.select(key, "_bucket").distinct(), [key, "_bucket"])
-    placed = some.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy("_v")) - 1)
-    found = placed.join(wanted, [key, "_bucket", "_place"])
+    placed = some.withColumn("_upto", F.sum("_c").over(Window.partitionBy(key, "_bucket").orderBy("_v")))
+    found = placed.join(wanted, [key, "_bucket"]).where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_c")))
     return found.groupBy(key).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == x, F.col("_v"))).alias(x) for x in ("p10", "median", "p90")])
 
 
@@ -92,6 +92,23 @@ def largest_gap(df: DataFrame, key: str, along: Column, order: str) -> DataFrame
     return steps.groupBy(key).agg(F.max("gap").alias("gap"), F.max_by("_i", F.struct("gap", -F.col("_i"))).alias("at")).withColumn("at", F.col("at") - 1)
 
 
+def in_order(df: DataFrame, bucket: Column, *order: str | Column) -> DataFrame:
+    """Adds `place`, from 1, in an order over all rows. `bucket` has to rise with the order (a prefix of a text, a number's range)."""
+    return ranked(df.withColumn("_all", F.lit(0)), "_all", bucket, *order, name="place").drop("_all", "_total")
+
+
+def by_text(df: DataFrame, key: str) -> DataFrame:
+    """Adds `place` in the order of reports by group: by the key's text and a comma after it, byte by byte; no key comes last."""
+    text = F.concat(F.col(key).cast("string"), F.lit(","))
+    return in_order(df, F.struct(text.isNull(), F.left(text, F.lit(3))), text.asc_nulls_last())
+
+
+def by_locale(df: DataFrame, column: str) -> DataFrame:
+    """Adds `place` in the order of names as people write them: accents and case count last. Equal names keep the bytes' order."""
+    name = F.collate(F.col(column), "UNICODE")
+    return in_order(df, F.collate(F.left(F.col(column), F.lit(1)), "UNICODE_CI_AI"), name.asc_nulls_first(), F.col(column))
+
+
 def csv_cell(c: Column) -> Column:
     text = F.coalesce(c.cast("string"), F.lit(""))
     return F.when(text.rlike('[",;\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)

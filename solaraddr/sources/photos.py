@@ -84,6 +84,12 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
     Thumbnails are not made. A photo has to fit a task's memory.
     """
 
+    return parsed(spark.read.format("binaryFile").load(path, recursiveFileLookup=True).repartition("path"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """The same for files (path, content) of a table or a stream."""
+
     def parse(batches):
         for pdf in batches:
             rows = []
@@ -97,5 +103,13 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["path", "file_name", "lat", "lon", "accuracy", "altitude", "taken_at", "error"])
             yield out.astype({c: "float64" for c in ("lat", "lon", "accuracy", "altitude")} | {"taken_at": "datetime64[us]"})
 
-    files = spark.read.format("binaryFile").load(path, recursiveFileLookup=True).select("path", "content")
-    return files.repartition("path").mapInPandas(parse, _SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, _SCHEMA)
+
+
+#: Columns of a stream of files.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def photo_stream(spark: SparkSession, path: str, most_files: int = 1000) -> DataFrame:
+    """The rows of `read_photos` as a stream: each file that is put under `path` once, up to `most_files` a batch. Bad files are rows too."""
+    return parsed(spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most_files).load(path))
