@@ -24,10 +24,15 @@ _STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 #: Characters of a long block and of a surely good one, shares of links and of stop words, and blocks of links that make a menu.
 LONG, SURE = 70, 200
 LINKS, STOPS_LOW, STOPS_HIGH, MENU = 0.33, 0.08, 0.16, 3
+#: Share of stop words in a page's long blocks from which it is taken to be in a language of the lists.
+LISTED = 0.12
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
 _DROP = frozenset("nav footer aside form head select button menu dialog header".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end where another of their kind follows.
+_ENDS = frozenset("p li td th tr dt dd option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(["article", "main"])
 #: Elements that hold text: their class is evidence on their own block; that of others is on all they hold.
@@ -53,6 +58,7 @@ class Block:
     linked: int
     inside: bool
     marked: bool
+    heading: bool = False
 
 
 def _names_it(attributes: str, inside: bool) -> bool:
@@ -77,22 +83,36 @@ def _set_apart(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, without the elements that are set apart by tag, class, id or role."""
+    """Blocks of text in page order, without the elements that are set apart by tag, class, id or role.
+
+    Open elements are kept as a stack: an end tag closes what is open inside its element, so an element that is never closed ends
+    with its parent, and one that its like follows (a list item, a cell, a paragraph) ends there. A slash at the end of a tag means nothing.
+    """
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    apart, depth, links, mains, marked, at, end = "", 0, 0, 0, False, 0, len(page)
+    stack: list[str] = []
+    # how many elements are open around the one set apart; -1: none is
+    apart, links, mains, marked, heading, at, end = -1, 0, 0, False, False, 0, len(page)
 
     def flush() -> None:
         if parts:
             texts = [(html.unescape(t), a) for t, a in parts]
             whole = " ".join("".join(t for t, _ in texts).split())
             if whole:
-                out.append(Block(whole, sum(len("".join(t.split())) for t, a in texts if a), mains > 0, marked))
+                out.append(Block(whole, sum(len("".join(t.split())) for t, a in texts if a), mains > 0, marked, heading))
             parts.clear()
 
+    def close(to: int) -> None:
+        nonlocal apart, mains
+        if apart < 0:
+            mains -= sum(t in _MAIN for t in stack[to:])
+        del stack[to:]
+        if len(stack) <= apart:
+            apart = -1
+
     while at < end:
         m = _MARKUP.search(page, at)
-        if not apart:
+        if apart < 0:
             piece = page[at : m.start() if m else end]
             if piece:
                 parts.append((piece, links > 0))
@@ -101,42 +121,62 @@ def blocks_of(page: str) -> list[Block]:
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1])
-        if tag in _RAW and not closing and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+        closing, was = bool(m[1]), apart
+        if tag in _RAW and not closing:
+            ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = ended.end() if ended else end
             continue
-        if apart:
-            if tag in _MAIN and not closing and apart not in ("form", *_MAIN):
-                apart = ""  # an element that was never closed ends where the article begins
-            elif tag == apart:
-                depth += -1 if closing else 1
-                if not depth:
-                    apart = ""
-                continue
-            else:
-                continue
-        if tag in _BLOCK:
+        if tag in _BLOCK and apart < 0:
             flush()
-            links, marked = 0, tag in _TEXT and not closing and bool(m[3]) and _names_it(m[3], mains > 0)
-        if tag in _MAIN:
-            mains = max(0, mains + (-1 if closing else 1))
-        elif tag == "a":
+            links, heading = 0, tag in _HEADINGS and not closing
+            marked = tag in _TEXT and not closing and bool(m[3]) and _names_it(m[3], mains > 0)
+        if closing:
+            if tag in stack:
+                close(len(stack) - 1 - stack[::-1].index(tag))
+        elif tag not in _VOID:
+            if tag in _MAIN and apart >= 0 and stack[apart] not in ("form", *_MAIN):
+                close(apart)  # an element that was never closed ends where the article begins
+            elif stack and (stack[-1] == tag and tag in _ENDS or stack[-1] == "p" and tag in _BLOCK):
+                close(len(stack) - 1)
+            if apart < 0 and _set_apart(tag, m[3], mains > 0):
+                apart = len(stack)
+            elif apart < 0 and tag in _MAIN:
+                mains += 1
+            stack.append(tag)
+        if apart >= 0 or was >= 0:
+            continue
+        if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
             parts.append((" ", links > 0))
-        if not closing and tag not in _VOID and not m[3].endswith("/") and _set_apart(tag, m[3], mains > 0):
-            apart, depth = tag, 1
     flush()
     return out
 
 
+def _signed(b: Block) -> bool:
+    """Whether a block outside of an article is short and has a copyright sign."""
+    return not b.inside and len(b.text) < SURE and "©" in b.text
+
+
+def _other_script(text: str) -> bool:
+    """Whether most letters are none of the Latin script."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
+
+
+def _in_listed_language(blocks: list[Block]) -> bool:
+    words = [w for b in blocks if len(b.text) >= LONG and b.linked <= LINKS * len(b.text) for w in b.text.lower().split()]
+    return sum(w in _STOP for w in words) >= LISTED * max(1, len(words))
+
+
 def first_pass(blocks: list[Block]) -> list[int]:
     """Each block by its links, length and stop words: 1 good, 0 bad, -1 undecided. An article or main element is evidence for its blocks.
 
-    Bad: blocks of links that follow each other like a menu, marked blocks without prose, and, outside of an article, blocks of links
-    and long ones without stop words. Good: long blocks of an article, and long prose elsewhere.
+    Bad: blocks of links that follow each other like a menu, marked blocks without prose, and, outside of an article, blocks of links,
+    shorter ones with a copyright sign, and long ones without stop words. Good: long blocks of an article, and long prose elsewhere. Stop
+    words count only where the page is in a language of the lists, and not for a block in another script; else length and links decide.
     """
+    listed = _in_listed_language(blocks)
     linked = [b.linked > LINKS * max(1, len(b.text)) and len(b.text) < LONG for b in blocks]
     runs, at = [0] * len(blocks), 0
     while at < len(blocks):
@@ -154,27 +194,36 @@ def first_pass(blocks: list[Block]) -> list[int]:
             out.append(0)
         elif b.inside:
             out.append(1 if length >= LONG and not links else -1)
-        elif links:
+        elif links or _signed(b):
             out.append(0)
         elif length < LONG:
             out.append(-1 if not b.linked else 0)
+        elif not listed or _other_script(b.text):
+            out.append(1 if length >= SURE else -1)
         else:
             out.append(1 if stops >= STOPS_HIGH and length >= SURE else -1 if stops >= STOPS_LOW else 0)
     return out
 
 
 def labels_of(blocks: list[Block]) -> list[bool]:
-    """The first pass's labels; undecided blocks take that of the nearest decided one, the good one of two, and good without any."""
+    """The first pass's labels; undecided blocks take that of the nearest decided one, the good one of two, and good where no block is good.
+
+    A heading begins a part of the page: it and undecided blocks after it do not look back over it, as long as a decided block
+    follows. A bad block with a copyright sign says nothing of its neighbours.
+    """
     first = first_pass(blocks)
-    decided = [i for i, x in enumerate(first) if x >= 0]
-    out, left = [], -1
+    decided = [i for i, x in enumerate(first) if x > 0 or x == 0 and not _signed(blocks[i])]
+    out, left, part, any_good = [], -1, 0, 1 in first
     for i, x in enumerate(first):
         while left + 1 < len(decided) and decided[left + 1] <= i:
             left += 1
+        if blocks[i].heading:
+            part = i
         if x < 0:
-            near = ([decided[left]] if left >= 0 else []) + ([decided[left + 1]] if left + 1 < len(decided) else [])
+            before, after = decided[left : left + 1] if left >= 0 else [], decided[left + 1 : left + 2]
+            near = after if after and before and before[0] < part else before + after
             least = min((abs(i - j) for j in near), default=0)
-            x = max((first[j] for j in near if abs(i - j) == least), default=1)
+            x = max((first[j] for j in near if abs(i - j) == least), default=1) if any_good else 1
         out.append(bool(x))
     return out
 

@@ -66,16 +66,78 @@ def test_no_page_is_no_text():
     assert main_text(f"<p>{PROSE * 2}" + "<p><a>x</a>" * 20_000) == (PROSE * 2).strip()
 
 
+def plain_labels(blocks):
+    """Both passes as they are stated: densities of each block, runs of links, then the nearest decided block."""
+    words = lambda b: b.text.lower().split()
+    stops = lambda w: sum(x in html._STOP for x in w) / max(1, len(w))
+    linky = lambda b: b.linked > 0.33 * max(1, len(b.text))
+    listed = stops([w for b in blocks if len(b.text) >= 70 and not linky(b) for w in words(b)]) >= 0.12 or not any(len(b.text) >= 70 and not linky(b) and words(b) for b in blocks)
+    first = []
+    for i, b in enumerate(blocks):
+        low = high = i
+        menu = lambda c: linky(c) and len(c.text) < 70
+        if menu(b):
+            while low and menu(blocks[low - 1]):
+                low -= 1
+            while high + 1 < len(blocks) and menu(blocks[high + 1]):
+                high += 1
+        n, foreign = len(b.text), 2 * sum(c > "\u024f" for c in b.text if c.isalpha()) > sum(c.isalpha() for c in b.text)
+        if menu(b) and high - low >= 2 or b.marked and (linky(b) or n < 70 or stops(words(b)) < 0.16):
+            first.append(0)
+        elif b.inside:
+            first.append(1 if n >= 70 and not linky(b) else None)
+        elif linky(b) or n < 200 and "©" in b.text or n < 70 and b.linked:
+            first.append(0)
+        elif n < 70:
+            first.append(None)
+        elif foreign or not listed:
+            first.append(1 if n >= 200 else None)
+        else:
+            first.append(1 if stops(words(b)) >= 0.16 and n >= 200 else None if stops(words(b)) >= 0.08 else 0)
+    votes = [j for j, x in enumerate(first) if x is not None and not (x == 0 and not blocks[j].inside and len(blocks[j].text) < 200 and "©" in blocks[j].text)]
+    out = []
+    for i, x in enumerate(first):
+        if x is None:
+            part = max([j for j in range(i + 1) if blocks[j].heading], default=0)
+            before, after = max([j for j in votes if j < i], default=None), min([j for j in votes if j > i], default=None)
+            if before is not None and before < part and after is not None:
+                before = None
+            near = sorted((abs(i - j), -first[j]) for j in (before, after) if j is not None)
+            x = 1 if 1 not in first or not near else -near[0][1]
+        out.append(bool(x))
+    return out
+
+
 def test_both_passes_against_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        blocks = [html.Block(*x) for x in [(("the of " if rng.integers(2) else "zz yy ") * int(rng.integers(1, 60)), int(rng.integers(0, 2)) * 999, bool(rng.integers(2)), rng.random() < 0.1) for _ in range(int(rng.integers(1, 12)))]]
-        first = html.first_pass(blocks)
-        want = []
-        for i, x in enumerate(first):
-            near = sorted((abs(i - j), -y) for j, y in enumerate(first) if y >= 0)
-            want.append(bool(x if x >= 0 else -near[0][1] if near else 1))
-        assert html.labels_of(blocks) == want
+    texts = ("the of ", "zz yy ", "это слово ", "© 2026 ", "la de que ")
+    for _ in range(600):
+        blocks = [
+            html.Block((texts[rng.integers(len(texts))] * int(rng.integers(1, 60))).strip(), int(rng.integers(0, 2)) * int(rng.integers(0, 300)), bool(rng.random() < 0.2), rng.random() < 0.1, rng.random() < 0.2)
+            for _ in range(int(rng.integers(1, 12)))
+        ]
+        assert html.labels_of(blocks) == plain_labels(blocks)
+
+
+JAPANESE, RUSSIAN = "これは記事の本文であり、長い段落なので残すべきものです。" * 8, "Это длинный абзац, который должен остаться на странице целиком. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><a href=x>ホーム</a></div><h1>題</h1><p>{JAPANESE}</p><p>終わり。</p>", f"題\n{JAPANESE}\n終わり。"),
+        (f"<ul><li><a>Раз</a><li><a>Два</a><li><a>Три</a></ul><p>{RUSSIAN}</p><p>Конец.</p>", f"{RUSSIAN.strip()}\nКонец."),
+        ("<div><aside><p>ad</div><div><p>prose</p></div>", "prose"),
+        ("<article><p>one</p><div>x<nav>menu</div><p>two</p></article>", "one\nx\ntwo"),
+        ('<article><p>a</p><script src="a.js"/>var leak=1;</script><p>b</p></article>', "a\nb"),
+        ("<ul><li hidden>no<li>yes</ul>", "yes"),
+        ("<div><nav><ul><li>menu</ul></nav></div></div></p><p>after stray ends</p>", "after stray ends"),
+        (f"<div><a>A</a></div><div><a>B</a></div><div><a>C</a></div><h1>Title</h1><p>Short.</p><p>{PROSE * 2}</p><div>© 2026 Site</div>", f"Title\nShort.\n{(PROSE * 2).strip()}"),
+    ],
+)
+def test_pages_by_densities(page, text):
+    """Other languages, elements that are not closed, slashes that mean nothing, and pages without article, nav and footer."""
+    assert main_text(page) == text
 
 
 def test_extract_keeps_columns(spark):
