@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-QUERIES = ("bbox_range_join", "nearest_rows_topk", "locate_best", "locate_candidates", "chain_topology", "forward_fill", "unique_key_match", "length_order_stats", "findings_csv")
+QUERIES = ("bbox_range_join", "nearest_rows_topk", "locate_best", "locate_candidates", "chain_topology", "forward_fill", "unique_key_match", "length_order_stats", "findings_report", "locate_many_farms", "adaptive_range_join")
 
 
 def main() -> None:

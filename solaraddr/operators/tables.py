@@ -100,7 +100,7 @@ def in_order(df: DataFrame, bucket: Column, *order: str | Column) -> DataFrame:
 def by_text(df: DataFrame, key: str) -> DataFrame:
     """Adds `place` in the order of reports by group: by the key's text and a comma after it, byte by byte; no key comes last."""
     text = F.concat(F.col(key).cast("string"), F.lit(","))
-    return in_order(df, F.struct(text.isNull(), F.left(text, F.lit(3))), text.asc_nulls_last())
+    return in_order(df, F.coalesce(F.left(text, F.lit(3)), F.lit("\U0010ffff")), text.asc_nulls_last())
 
 
 def by_locale(df: DataFrame, column: str) -> DataFrame:

@@ -168,3 +168,20 @@ def adaptive_range_join(spark, sf_dir):
     crowd = fixes(spark, sf_dir).withColumn("lon", F.lit(152.7000003) + F.when(e % 10 < 9, e * 104729 % 307).otherwise(e * 104729 % 100003) * F.lit(0.000001))
     pairs = adaptive_rows_in_range(crowd, C.compile_rows(tracker_rows(spark, sf_dir), FARM), FARM, least=200)
     return pairs.select("fix_id", "row_id", mm(F.col("distance")).alias("distance_mm"))
+
+
+@query(
+    SQL_BASE.split("pairs AS (")[0].replace("'r' || p_partkey AS row_id", "'r' || p_partkey // 2 AS row_id") + "pairs AS (" + SQL_BASE.split("pairs AS (")[1].replace("FROM spread)", "FROM (SELECT * FROM spread QUALIFY row_number() OVER (PARTITION BY fix_id, row_id, position ORDER BY row_rank) = 1))")
+    + "SELECT fix_id, row_ord, row_id, position, CAST(rank AS INT) AS rank, CAST(round(confidence * 1000) AS BIGINT) AS confidence_pm FROM found",
+    base=False,
+)
+def locate_repeated_ids(spark, sf_dir):
+    """Candidates where two rows share each id: of a position that both have the nearer row's stays."""
+    rows = tracker_rows(spark, sf_dir).withColumn("row_id", F.concat(F.lit("r"), F.floor(F.col("row_ord") / 2).cast("string")))
+    return L.locate(fixes(spark, sf_dir), rows, FARM).select("fix_id", "row_ord", "row_id", "position", "rank", F.round(F.col("confidence") * 1000).cast("long").alias("confidence_pm"))
+
+
+@query("SELECT fix_id, CASE WHEN coalesce(accuracy, 0) < 1 THEN 1 ELSE CAST(floor(accuracy + 0.5) AS BIGINT) END AS metres FROM fixes")
+def device_accuracy(spark, sf_dir):
+    """What a receiver says of its accuracy, in whole metres and one at least."""
+    return fixes(spark, sf_dir).select("fix_id", F.greatest(F.lit(1), F.floor(F.coalesce("accuracy", F.lit(0.0)) + 0.5)).alias("metres"))

@@ -12,6 +12,7 @@ from ..operators import profiles as P
 from ..operators import report as R
 from ..operators import sides as D
 from ..operators import strings as S
+from ..operators import tables as T
 from ..operators.sheets import build_rows, skip_samples, skip_summary
 from ..operators.sheets import string_numbers as numbers_in
 from . import batch  # noqa: F401
@@ -467,3 +468,31 @@ def last_mismatches(spark, sf_dir):
 
 
 __all__ = ["ORACLES", "QUERIES"]
+
+
+@query(
+    CHAINS + ", sided AS (SELECT DISTINCT CAST(p_partkey // 24 AS VARCHAR) AS block FROM part WHERE p_partkey // 24 % 4 <> 3 UNION SELECT 'x' || p_partkey FROM part WHERE p_partkey // 24 % 4 = 3) "
+    "SELECT 'sides' AS report, block AS name, CAST(row_number() OVER (ORDER BY block || ',') AS INT) AS place FROM sided UNION ALL SELECT 'chains', dc_box, CAST(row_number() OVER (ORDER BY dc_box || ',') AS INT) FROM shaped_boxes",
+    base=False,
+)
+def reports_in_order(spark, sf_dir):
+    """The reports of sides and chains with the place of each line."""
+    rows = placed_rows(spark, sf_dir)
+    sides, chains = T.by_text(D.side_report(rows)[1], "block"), T.by_text(D.chain_report(rows)[1], "dc_box")
+    return sides.select(F.lit("sides").alias("report"), F.col("block").alias("name"), "place").unionByName(chains.select(F.lit("chains").alias("report"), F.col("dc_box").alias("name"), "place"))
+
+
+@query(
+    CHAINS + " SELECT dc_box, shape FROM shaped_boxes ORDER BY dc_box || ',' LIMIT 12",
+    base=False,
+)
+def shown_chains(spark, sf_dir):
+    """The chain reports that a screen shows: the first twelve in their order."""
+    return R.shown(D.chain_report(placed_rows(spark, sf_dir))[1], "chain reports", F.concat("dc_box", F.lit(","))).select("dc_box", "shape")
+
+
+@query(SHEET + " SELECT reason, n, CAST(row_number() OVER (ORDER BY n DESC, first) AS INT) AS place FROM (SELECT reason, count(*) AS n, min(ord) AS first FROM sheet WHERE reason IS NOT NULL GROUP BY reason)", base=False)
+def skips_in_order(spark, sf_dir):
+    """Groups of rejected lines, the largest first, equal ones by their first line."""
+    summary = skip_summary(build_rows(sheet(spark, sf_dir)).where("reason IS NOT NULL"))
+    return T.in_order(summary, F.floor(-F.log2("n")), F.desc("n"), "first").select("reason", "n", "place")
