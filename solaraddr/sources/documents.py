@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import read_separated
+
 
 def save_documents(docs: DataFrame, path: str, key: str, order: str | None = None) -> None:
     """Writes documents into the folders of their keys; of a key that is there already only the new document stays.
@@ -27,7 +29,7 @@ def delete_documents(spark: SparkSession, path: str, schema: str, keys: DataFram
 
 
 def load_documents(spark: SparkSession, path: str, schema: str, order: str | None = None, descending: bool = False, where=None, key: str | None = None) -> DataFrame:
-    """Documents under `path` with the given schema, those that fit `where` (such as one farm's), in order of a column if one is named.
+    """Documents under `path` with the given schema, those that fit `where` (such as one farm's), in order of a column if one is named (texts by locale).
 
     With `key` only the folder of that key is read: the key is the folder's name.
     """
@@ -37,7 +39,10 @@ def load_documents(spark: SparkSession, path: str, schema: str, order: str | Non
     docs = docs if key is None else docs.where(F.col("_key") == key)
     docs = docs if where is None else docs.where(where)
     docs = docs.drop("_key")
-    return docs if order is None else docs.orderBy(F.desc(order) if descending else F.asc(order))
+    if order is None:
+        return docs
+    by = F.collate(order, "UNICODE") if docs.schema[order].dataType.typeName() == "string" else F.col(order)
+    return docs.orderBy(by.desc() if descending else by.asc())
 
 
 def exported(docs: DataFrame) -> DataFrame:
@@ -52,23 +57,5 @@ def load_fixtures(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_text_sheets(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """(path, sheet, ord, cells) of text files with a header line, such as CSV or TSV: cells from header to text, empty ones null.
-
-    Lines are numbered from 0 in the order of a file. A file is read in one task, so that its lines keep their order.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("_text"))
-
-    def parse(batches):
-        import csv
-        import io
-
-        import pandas as pd
-
-        for pdf in batches:
-            for name, text in zip(pdf["path"], pdf["_text"], strict=True):
-                lines = csv.reader(io.StringIO(text.removeprefix("﻿")), delimiter=separator)
-                head = [h.strip() for h in next(lines, [])]
-                rows = [{h: v if v != "" else None for h, v in zip(head, line, strict=False) if h} for line in lines if any(line)]
-                yield pd.DataFrame({"path": name, "sheet": name.rsplit("/", 1)[-1], "ord": range(len(rows)), "cells": rows})
-
-    return files.mapInPandas(parse, "path string, sheet string, ord long, cells map<string,string>")
+    """(path, sheet, ord, cells) of text files with a header line, such as CSV or TSV, read in splits; see `lines.read_separated`."""
+    return read_separated(spark, path, separator)
