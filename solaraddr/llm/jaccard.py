@@ -17,6 +17,8 @@ from .words import chunks, mixed
 ORDERS, BUCKETS = 3, 64
 #: Sets from this size on are also counted in so many buckets, which smaller ones leave empty.
 LARGE, FINE = 820, 256
+#: Sets of up to so many tokens send 16 bits of each with their marks, which bound closely what two of them share.
+SHORT = 512
 #: Share of all tokens, beyond the share in which two linked sets may differ, that is looked up among all sets.
 LOOKED_UP = 0.2
 #: Pairs, and bytes of the sets they name, that one task compares, about.
@@ -64,14 +66,15 @@ def _prefix(tokens: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _marks(tokens: np.ndarray, percent: int) -> bytes:
-    """16 bits of each token of the prefixes under the other orders, and how many there are."""
+    """16 bits of each token of the prefixes under the other orders, and how many there are; then of all tokens of a short set."""
     size, out = prefix_size(len(tokens), percent), []
     for k in range(1, ORDERS):
         key = order_keys(tokens, k)
         first = tokens[np.argpartition(key, size - 1)[:size]] if size < len(tokens) else tokens
         own = np.unique((mixed(first) >> np.uint64(48)).astype("<u2"))
         out.append(len(own).to_bytes(4, "little") + own.tobytes())
-    return b"".join(out)
+    own = (mixed(tokens) >> np.uint64(48)).astype("<u2") if len(tokens) <= SHORT else np.zeros(0, "<u2")
+    return b"".join([*out, len(own).to_bytes(4, "little"), own.tobytes()])
 
 
 def _spelled_marks(data: bytes) -> list[np.ndarray]:
@@ -80,7 +83,7 @@ def _spelled_marks(data: bytes) -> list[np.ndarray]:
         n = int.from_bytes(data[at : at + 4], "little")
         out.append(np.frombuffer(data, "<u2", n, at + 4))
         at += 4 + 2 * n
-    return out
+    return [*out, np.unique(out[-1])]
 
 
 def _counts(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -153,9 +156,18 @@ def _pairs(tokens: np.ndarray, share: float):
             yield from _may_link(tokens, rank[i[wanted]], rank[j[wanted]], share)
 
 
-def agree(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
-    """Whether two sets' prefixes share a token under every other order, as far as their marks tell."""
-    return all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True))
+def agree(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> bool:
+    """Whether two sets' prefixes share a token under every other order and, if both are short, enough tokens at all, as far as marks tell.
+
+    Tokens of one set that are equal in 16 bits may all be shared, so as many as either set has more are granted.
+    """
+    *first, x, ux = a
+    *second, y, uy = b
+    if len(x) and len(y):
+        both = len(np.intersect1d(ux, uy, assume_unique=True)) + min(len(x) - len(ux), len(y) - len(uy))
+        if (100 + percent) * both < percent * (len(x) + len(y)):
+            return False
+    return all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(first, second, strict=True))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -311,17 +323,51 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among `pairs`: first their prefixes have to meet under all orders, then whole sets are compared."""
-        agreed = judged(pairs, "marks", lambda x: [_spelled_marks(m) for m in x], agree, "jaccard-agreed")
+        agreed = judged(pairs, "marks", lambda x: [_spelled_marks(m) for m in x], lambda a, b: agree(a, b, percent), "jaccard-agreed")
         links = judged(agreed, "text", lambda x: sets_in(plain(x)), lambda a, b: linked(a, b, percent), "jaccard-links")
         discard(spark, agreed, pairs)
         return links
 
+    def between(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Those of the pairs whose ends are still in different components, with these as ca and cb."""
+        for end in ("a", "b"):
+            name = small(known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")))
+            pairs = pairs.drop(f"c{end}").join(name, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        return pairs.where("ca <> cb").select("a", "b", "shared", "ca", "cb")
+
+    def joined(known: DataFrame, apart: DataFrame) -> DataFrame:
+        """The components after all links among the pairs `apart` (a, b, shared).
+
+        While there are more pairs than classes, each component's pair with most shared tokens goes first (as Boruvka's trees grow):
+        where one in eight of these is linked, components grow together, and many pairs need no look any more. Where fewer are, all pairs
+        that are left are compared.
+        """
+        classes, whole = nodes.count(), False
+        while True:
+            left = written(between(apart, known), "jaccard-left")
+            discard(spark, apart)
+            n = left.count()
+            if not n:
+                return known
+            whole, best = whole or n <= classes, left
+            if not whole:
+                pick = F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")
+                best = left.groupBy("ca").agg(pick).select("p.*").union(left.groupBy("cb").agg(pick).select("p.*")).distinct()
+            best = written(best.select("a", "b"), "jaccard-best")
+            tried = best.count()
+            apart = left if whole else written(left.join(best, ["a", "b"], "left_anti"), "jaccard-rest")
+            links = verified(best)
+            found = links.count()
+            if found:
+                known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+            if whole:
+                return known
+            whole = 8 * found < tried
+
     # first each class against those with which it shares most tokens, then all that are still apart
     first = proposed(None, _sample).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, FIRST_PAIRS).alias("all"))
     known = components(verified(written(first.select("a", F.explode("all.b").alias("b")), "jaccard-first")))
-    more = verified(written(proposed(known, _pairs).select("a", "b"), "jaccard-apart"))
-    if more.limit(1).count():
-        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    known = joined(known, written(proposed(known, _pairs), "jaccard-apart"))
     reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("rep"))
     named = known.join(nodes.select(F.col("doc").alias("node"), "d1"), "node").select("d1", "component")
     inside = written(reps.join(small(named), "d1"), "jaccard-inside")
