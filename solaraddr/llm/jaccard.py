@@ -309,7 +309,8 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         keyed = pairs.join(small(many), F.col("b") == F.col("_b"), "left")
         cut = F.pmod(F.xxhash64("a"), F.coalesce("_cuts", F.lit(1)))
         keyed = keyed.select(F.pmod(F.xxhash64("b", cut), F.lit(blocks)).alias("key"), "a", "b")
-        needed = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct()
+        # each side's nodes are collapsed in its tasks before they meet, so a dense group sends nodes, not pairs
+        needed = keyed.select("key", F.col("a").alias("node")).distinct().union(keyed.select("key", "b").distinct()).distinct()
         held = nodes.select(F.col("doc").alias("node"), F.col(payload).alias("data"))
         held = held.join(small(needed.select("node").distinct()), "node", "left_semi")
         needed = needed.join(held, "node").select((F.col("key") + 0).alias("at"), "node", "data")
