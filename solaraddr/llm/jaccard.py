@@ -191,8 +191,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     class with more tokens of its own than a link allows is linked with nothing, and only the others go on. Those that share a
     token in their prefixes under the first order become candidates; sizes and bucket counts bound what a pair can share, and the
     prefixes under the other orders have to share a token too, before any set is sent. Each class is first compared with a few others,
-    then every candidate pair whose classes are still in different components: no link between components is lost, and a group of
-    near copies costs about its size. Pairs are dealt by one of their classes, split where it has many.
+    then every candidate pair whose classes are still in different components, one pair a class and direction before the others: no link
+    between components is lost, and a group of near copies costs about its size in comparisons of sets. Pairs are dealt by one of their classes, split where it has many.
 
     Null texts are empty. A null doc_id counts as the smallest. Equal rows are in one class; different texts under one id are
     separate. Extra columns are ignored. Classes are told apart by 64 bits of their sets where pairs are formed.
@@ -322,19 +322,39 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
         return written(keyed.groupBy("key").cogroup(needed.groupBy("at")).applyInPandas(compare, "a long, b long"), label)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links among `pairs`: first their prefixes have to meet under all orders, then whole sets are compared."""
-        agreed = judged(pairs, "marks", lambda x: [_spelled_marks(m) for m in x], lambda a, b: agree(a, b, percent), "jaccard-agreed")
-        links = judged(agreed, "text", lambda x: sets_in(plain(x)), lambda a, b: linked(a, b, percent), "jaccard-links")
-        discard(spark, agreed, pairs)
-        return links
+    def agreed(pairs: DataFrame) -> DataFrame:
+        """Those of the written `pairs` whose prefixes meet under all orders, as far as marks tell."""
+        out = judged(pairs, "marks", lambda x: [_spelled_marks(m) for m in x], lambda a, b: agree(a, b, percent), "jaccard-agreed")
+        discard(spark, pairs)
+        return out
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The links among the written `pairs`, by their whole sets."""
+        return judged(pairs, "text", lambda x: sets_in(plain(x)), lambda a, b: linked(a, b, percent), "jaccard-links")
+
+    def grown(known: DataFrame, more: DataFrame) -> DataFrame:
+        return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     # first each class against those with which it shares most tokens, then all that are still apart
     first = proposed(None, _sample).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, FIRST_PAIRS).alias("all"))
-    known = components(verified(written(first.select("a", F.explode("all.b").alias("b")), "jaccard-first")))
-    more = verified(written(proposed(known, _pairs).select("a", "b"), "jaccard-apart"))
-    if more.limit(1).count():
-        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    close = agreed(written(first.select("a", F.explode("all.b").alias("b")), "jaccard-first"))
+    known = components(links(close))
+    apart = agreed(written(proposed(known, _pairs).select("a", "b"), "jaccard-apart"))
+    if apart.limit(1).count():
+        # of these, each node's pair with one smaller and one larger node (by hash) joins most of a dense group
+        by = F.xxhash64("a", "b")
+        tree = apart.groupBy("a").agg(F.min_by("b", by).alias("b")).union(apart.groupBy("b").agg(F.min_by("a", by).alias("a")).select("a", "b"))
+        tree = written(tree.distinct(), "jaccard-tree")
+        known = grown(known, links(tree))
+        # every other pair whose nodes are still in different components
+        ends = [known.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in "ab"]
+        rest = apart.join(tree, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        rest = written(rest.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"), "jaccard-rest")
+        more = links(rest)
+        if more.limit(1).count():
+            known = grown(known, more)
+        discard(spark, tree, rest)
+    discard(spark, close, apart)
     reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "t")).alias("rep"))
     named = known.join(nodes.select(F.col("doc").alias("node"), "d1"), "node").select("d1", "component")
     inside = written(reps.join(small(named), "d1"), "jaccard-inside")

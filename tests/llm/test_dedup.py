@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+
 from solaraddr.llm.jaccard import similar_groups
 from solaraddr.llm.substrings import dedup_substrings
 from solaraddr.llm.suffixes import dedup_bytes
@@ -50,3 +52,33 @@ def test_empty_tables(corpus):
     df, _ = corpus
     none = df.where("doc_id < 0")
     assert dedup_substrings(none).count() == dedup_bytes(none).count() == similar_groups(none).count() == 0
+
+
+def test_dense_group_around_the_limit(spark):
+    """Variants of one text whose similarities lie on both sides of the limit: components as by brute force."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(160):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            w[at] = f"x{i}-{at}"
+        docs.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in docs)]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(docs))}
+    assert 1 < len(set(want.values())) < len(docs)
+    got = similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=3, percent=90)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
