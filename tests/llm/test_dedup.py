@@ -34,9 +34,38 @@ def test_byte_dedup(corpus):
             if first.setdefault(b[s : s + 50], i) < i:
                 gone[s : s + 50] = [True] * 50
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        want[i] = (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
+        want[i] = (len(b), sum(gone), spans_of(gone), hashlib.sha256(kept).hexdigest())
     rows = dedup_bytes(df).collect()
-    assert all(want[r.doc_id] == (r.n_bytes, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows)
+    assert all(want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows)
+
+
+def spans_of(gone):
+    return sum(g and not before for g, before in zip(gone, [False, *gone], strict=False))
+
+
+def test_byte_dedup_of_null_and_repeated_ids(spark):
+    """A null id is the smallest; texts under one id remove nothing from each other; a short common phrase removes nothing."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    filler = lambda n: "".join(rng.choice(letters, n))
+    passage, phrase = filler(90), "this phrase has fewer than 50 bytes"
+    rows = [(None, f"{passage} {filler(60)}"), (3, f"{filler(70)}{passage}{filler(80)}{passage[:60]}"), (3, f"{filler(30)}{passage}"), (4, filler(200)), (9, "")]
+    rows += [(4, f"{filler(20)}{rows[1][1]}"), (8, None)] + [(100 + k, f"{filler(40)}{phrase}{filler(40)}") for k in range(40)]
+    docs = [(-1 if i is None else i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, b in docs:
+        for s in range(len(b) - 49):
+            first[b[s : s + 50]] = min(i, first.get(b[s : s + 50], i))
+    want = []
+    for i, b in docs:
+        gone = [False] * len(b)
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < i:
+                gone[s : s + 50] = [True] * 50
+        want.append((i, len(b), sum(gone), spans_of(gone), bytes(c for c, g in zip(b, gone, strict=True) if not g)))
+    got = dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
+    assert max(w[3] for w in want) > 1
 
 
 def test_similar_groups(corpus):
