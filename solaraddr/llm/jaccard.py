@@ -23,8 +23,8 @@ SHORT = 512
 LOOKED_UP = 0.2
 #: Pairs, and bytes of the sets they name, that one task compares, about.
 BLOCK_PAIRS, BLOCK_BYTES = 8000, 32 << 20
-#: First tokens of a prefix that go with each of its tokens, so that most pairs are found under one token, not under all they share.
-HEADS = 1
+#: First tokens of a prefix that go with each of its tokens, so that nearly all pairs are found under one token, not under all they share.
+HEADS = 8
 _TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("heads", "<u8", (HEADS,)), ("sketch", "u1", (BUCKETS,)), ("fine", "u1", (FINE,))]
 _PAIR_ROWS = 1 << 21
 #: Pairs of each class that are compared first.
@@ -96,24 +96,25 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
-    """The pairs of rows x and y (each of one token), as documents, that their sizes and bucket counts do not rule out.
+    """The pairs of rows x and y (each of one token), as documents, that their sizes and bucket counts do not rule out; third, a weight.
 
-    A pair whose first tokens meet is left to the first token they have in common.
+    A pair whose first tokens meet is left to the first token they have in common, and weighs as much as they have in common.
     """
     doc, n, sketch, heads = tokens["doc"], tokens["n"], tokens["sketch"], tokens["heads"]
     for part in np.array_split(np.arange(len(x)), max(1, len(x) >> 16)):
         a, b = x[part], y[part]
         met = (heads[a][:, :, None] == heads[b][:, None, :]).any(axis=2) & (heads[a] != 0)
-        own = ~met.any(axis=1) | (heads[a][np.arange(len(a)), met.argmax(axis=1)] == tokens["h"][a])
-        a, b = a[own], b[own]
+        weight = met.sum(axis=1)
+        own = (weight == 0) | (heads[a][np.arange(len(a)), met.argmax(axis=1)] == tokens["h"][a])
+        a, b, weight = a[own], b[own], np.maximum(weight[own], 1)
         for counts in (sketch, tokens["fine"]):
             apart = np.abs(counts[a].astype(np.int16) - counts[b]).sum(axis=1)
             near = apart * (1 + share) <= (1 - share) * (n[a].astype(np.int64) + n[b]) + 1e-6
             if counts is not sketch:
                 near |= np.minimum(n[a], n[b]) < LARGE
-            a, b = a[near], b[near]
+            a, b, weight = a[near], b[near], weight[near]
         a, b = doc[a], doc[b]
-        yield np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)
+        yield np.stack([np.maximum(a, b), np.minimum(a, b), weight], axis=1)
 
 
 def _sample(tokens: np.ndarray, share: float):
@@ -371,8 +372,8 @@ def marked_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
 
 def _table(pairs: np.ndarray) -> pd.DataFrame:
-    pairs, shared = np.unique(pairs, axis=0, return_counts=True)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "shared": shared})
+    ends, at = np.unique(pairs[:, :2], axis=0, return_inverse=True)
+    return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1], "shared": np.bincount(at, pairs[:, 2], len(ends)).astype(np.int64)})
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
