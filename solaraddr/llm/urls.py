@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ascii_lower, load, written
+from .tables import ascii_lower, load, partitions, written
 from .words import mixed
 
 #: Rules of the registered query: (verdict, host/path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Longest context in bytes, and n-grams that a task holds at most: beyond, the rarest counts are pruned (see `fit_counts`).
+#: Longest context in bytes, and n-grams of a model that is sent to every task: a larger one stays a table that urls are joined with (see `filter_urls`).
 ORDER, MODEL_GRAMS = 5, 4_000_000
+#: Bytes of distinct urls that one task scores against a joined model, about.
+CHUNK_BYTES = 1 << 19
 #: Bins of the score histogram that the threshold is calibrated on, over scores from -SPAN to SPAN a byte.
 BINS, SPAN = 400, 4.0
 
@@ -68,22 +70,19 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"g": keys.view(np.int64), "good": np.bincount(at, ~bad, len(keys)).astype(np.int64), "bad": np.bincount(at, bad, len(keys)).astype(np.int64)})
 
 
-def fit_counts(labelled: DataFrame, most: int = MODEL_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Exact counts of contexts and n-grams in accepted and rejected urls, over all rows of (url, rejected): sorted keys, counts (2, n).
+def fit_counts(labelled: DataFrame) -> DataFrame:
+    """Exact counts of contexts and n-grams in accepted and rejected urls, over all rows of (url, rejected): g, good, bad.
 
-    Counted in tasks and summed in Spark by n-gram, so they grow with the corpus. The model is broadcast: if it has over `most`
-    n-grams, those with the smallest counts go, by the least count that brings it down. An n-gram that went counts as unseen, and
-    a context that went falls back to the next shorter one.
+    Counted in tasks and summed in Spark by n-gram, so they grow with the corpus; none is dropped at any size.
     """
-    counts = written(labelled.mapInPandas(_count, "g long, good long, bad long").groupBy("g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
-    total = F.col("good") + F.col("bad")
-    sizes = counts.groupBy(F.least(total, F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).toPandas()
-    fits = sizes["n"][np.cumsum(sizes["count"]) <= most]
-    floor = int(fits.min()) if len(fits) else 1001
-    rows = counts.where(total >= (1 if len(fits) == len(sizes) else floor)).toPandas()
-    keys = rows["g"].to_numpy(np.int64).view(np.uint64)
+    return written(labelled.mapInPandas(_count, "g long, good long, bad long").groupBy("g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
+
+
+def as_model(counts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of fit_counts as sorted keys and counts (2, n)."""
+    keys = counts["g"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.stack([rows["good"].to_numpy(float), rows["bad"].to_numpy(float)])[:, order]
+    return keys[order], np.stack([counts["good"].to_numpy(float), counts["bad"].to_numpy(float)])[:, order]
 
 
 def _seen(model: tuple[np.ndarray, np.ndarray], label: int, keys: np.ndarray) -> np.ndarray:
@@ -123,6 +122,29 @@ def _scored(model, keep: list[str], out: list[str]):
     return run
 
 
+def joined_scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(url, score) of each distinct url, where the model is too large for a task.
+
+    Distinct urls are dealt by hash to chunks of about CHUNK_BYTES. A chunk asks for the n-grams that it holds, each once, and is
+    scored with those alone: they are all that its urls look up. An n-gram that every url has is asked for once a chunk.
+    """
+    urls = urls.distinct()
+    total = urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+    chunks = max(partitions(urls.sparkSession), -(-total // CHUNK_BYTES))
+    dealt = written(urls.withColumn("chunk", F.pmod(F.xxhash64("url"), F.lit(chunks))), "url-chunks")
+
+    def asks(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, grams = _grams(pdf["url"].tolist())
+        keys = np.unique(np.concatenate([k for pair in grams for k in pair]))
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "g": keys.view(np.int64)})
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"url": left["url"], "score": log_ratio(as_model(right), left["url"].tolist())})
+
+    known = dealt.groupBy("chunk").applyInPandas(asks, "chunk long, g long").join(counts, "g").select("chunk", "g", "good", "bad")
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, "url string, score double")
+
+
 def calibrate(hist: pd.DataFrame) -> float:
     """The threshold with the least balanced error on held-out labelled urls; the middle one of equals. 0 without both labels."""
     table = np.zeros((2, BINS))
@@ -137,13 +159,17 @@ def calibrate(hist: pd.DataFrame) -> float:
     return float(best[len(best) // 2]) / BINS * 2 * SPAN - SPAN
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_col: str = "page_id") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_col: str = "page_id", most: int = MODEL_GRAMS) -> DataFrame:
     """Judges the url of every row of `pages`: id, url, host, path, rule, score, verdict (allow or block).
 
     A rule decides where one fits. The urls that rules decide are the accepted and rejected examples: four fifths of them (by
     hash) train two smoothed Markov models of variable order, the rest calibrates the threshold on the length-normalised log-likelihood ratio.
     Urls that no rule decides are blocked above that threshold. Null urls have empty parts and are judged as empty texts.
-    Repeated rows stay and get equal verdicts; with no labelled urls the score is 0 and the verdict allow.
+    Repeated rows stay and get equal verdicts; with no labelled urls the score is 0 and the verdict allow; no pages, no rows. Very long
+    urls are scored whole. Extra columns are ignored.
+
+    A model of up to `most` n-grams is broadcast; a larger one is joined with the urls (`joined_scores`). Both hold the same counts, so
+    scores and verdicts do not depend on which of them runs.
     """
     rules = tuple(rules)
     host, path = url_parts(F.col("url"))
@@ -152,9 +178,13 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_c
     parts = written(parts, "url-parts")
     labelled = parts.where(F.col("rule").isNotNull()).select("url", F.col("rule").isin(blocks).alias("rejected"))
     fold = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    model = fit_counts(labelled.where(~fold))
+    counts = fit_counts(labelled.where(~fold))
+    fits = counts.limit(most + 1).count() <= most
+    model = as_model(counts.toPandas()) if fits else None
 
     def scored(df: DataFrame, columns: list[str]) -> DataFrame:
+        if not fits:
+            return df.select(columns).join(joined_scores(df.select("url"), counts), "url").select(*columns, "score")
         kinds = dict(df.dtypes)
         schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double"
 

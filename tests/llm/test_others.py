@@ -159,7 +159,7 @@ def test_urls(spark):
 
 def test_url_model_against_brute_force(spark):
     good, bad = [f"http://site{i}.com/news/{i}" for i in range(30)], [f"http://spam{i}.biz/win?c={i}" for i in range(30)]
-    model = urls.fit_counts(spark.createDataFrame([(u, False) for u in good] + [(u, True) for u in bad], "url string, rejected boolean"))
+    model = urls.as_model(urls.fit_counts(spark.createDataFrame([(u, False) for u in good] + [(u, True) for u in bad], "url string, rejected boolean")).toPandas())
 
     def log_p(url, known):
         t, total = url.encode() + b"\0", 0.0
@@ -180,10 +180,81 @@ def test_url_model_against_brute_force(spark):
     assert (scores[:10] < 0).all() and (scores[10:] > 0).all()
 
 
-def test_a_pruned_url_model_is_smaller(spark):
-    rows = spark.createDataFrame([(f"http://site{i}.com/{i}", i % 2 == 0) for i in range(40)], "url string, rejected boolean")
-    whole, some = urls.fit_counts(rows), urls.fit_counts(rows, most=60)
-    assert len(some[0]) <= 60 < len(whole[0]) and some[1].sum(axis=0).min() >= whole[1].sum(axis=0).min()
+def test_url_verdicts_do_not_depend_on_the_size_of_the_model(spark):
+    given = [f"http://site{i}.org/fr/{i}" for i in range(40)] + [f"https://ads{i}.net/win?c={i}" for i in range(40)] + [f"ftp://other{i}.com/p{i}/" for i in range(60)]
+    given += ["http://a.com/" + "x" * 30_000, "", None, "no scheme", "http://\u00fc.de/\u65e5\u672c", *(["http://hot.com/"] * 50)]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    sent, joined = (sorted(map(tuple, filter_urls(pages, most=most).collect())) for most in (urls.MODEL_GRAMS, 0))
+    assert len(sent) == len(given) and sent == joined
+
+
+def test_urls_of_no_rule_leave_verdicts_alone(spark):
+    given = [f"http://site{i}.org/fr/{i}" for i in range(40)] + [f"https://ads{i}.net/win?c={i}" for i in range(40)] + [f"ftp://other{i}.com/p{i}/" for i in range(20)]
+    few = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    many = spark.createDataFrame(list(enumerate(given + [f"http://unrelated{i}.io/{i * 7919}" for i in range(3000)])), "page_id long, url string")
+    assert sorted(map(tuple, filter_urls(few).collect())) == sorted(map(tuple, filter_urls(many).where(f"page_id < {len(given)}").collect()))
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Counts by dictionaries, every threshold between the bins tried, host, path and rule by hand."""
+    given = [f"http://Site{i % 23}.ORG/fr/{i}" for i in range(90)] + [f"https://ads{i % 17}.net/win{i}?c={i}" for i in range(90)] + [f"http://x{i}.com/news/{i}" for i in range(30)]
+    given += [f"http://x{i}.com/win{i}?c=1" for i in range(30)] + ["http://example.net/en/x", "http://example.net/de/x", "http://sub.example.com/de/?q", "a.net/", "http://notnet/", None]
+    rows = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    folds = {r.url: r.fold for r in rows.selectExpr("url", "pmod(xxhash64(url), 5) = 0 AS fold").distinct().collect()}
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host, rest = rest[:cut].lower(), rest[cut:]
+        return host, rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+
+    def rule(host, path):
+        fitting = [r for _, r in urls.RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fitting, key=len, default=None)
+
+    verdict = {r: v for v, r in urls.RULES}
+    known = [(u, verdict[rule(*parts(u))] == "block") for u in given if rule(*parts(u))]
+    counts = {}
+    for u, bad in known:
+        if not folds[u]:
+            t = u.encode() + b"\0"
+            for i in range(len(t)):
+                for k in range(urls.ORDER + 1):
+                    context = (k, tuple(t[j] if j >= 0 else None for j in range(i - k, i)))
+                    for key in (context, (context, t[i])):
+                        counts[key, bad] = counts.get((key, bad), 0) + 1
+
+    def score(u):
+        t, total = (u or "").encode() + b"\0", 0.0
+        for i in range(len(t)):
+            logs = []
+            for bad in (True, False):
+                p = 1 / 256
+                for k in range(urls.ORDER + 1):
+                    context = (k, tuple(t[j] if j >= 0 else None for j in range(i - k, i)))
+                    p = (counts.get(((context, t[i]), bad), 0) + 2 * p) / (counts.get((context, bad), 0) + 2)
+                logs.append(np.log(p))
+            total += logs[0] - logs[1]
+        return total / len(t)
+
+    held = [(score(u), bad) for u, bad in known if folds[u]]
+    steps = [i * 2 * urls.SPAN / urls.BINS - urls.SPAN for i in range(urls.BINS + 1)]
+    good, bad = [s for s, b in held if not b], [s for s, b in held if b]
+    assert good and bad
+    # a score falls short of a step if its bin does; the first and the last bin take what lies beyond them
+    errors = [sum(s < x for s in bad) / len(bad) + sum(s >= x for s in good) / len(good) for x in steps]
+    errors[0], errors[-1] = 1.0, 1.0
+    best = [x for x, e in zip(steps, errors, strict=True) if e <= min(errors) + 1e-12]
+    limit = best[len(best) // 2]
+    found = {r.page_id: r for r in filter_urls(rows).collect()}
+    for i, u in enumerate(given):
+        host, path = parts(u)
+        own = rule(host, path)
+        assert (found[i].host, found[i].path, found[i].rule) == (host, path, own)
+        assert found[i].score == pytest.approx(score(u), abs=1e-9)
+        assert found[i].verdict == (verdict[own] if own else "block" if score(u) > limit else "allow")
 
 
 def test_leaks():
