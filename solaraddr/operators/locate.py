@@ -22,13 +22,14 @@ def rows_in_range(fixes: DataFrame, compiled: DataFrame, farm: Farm, carried: tu
 
     An equi-join on grid cells: a row is listed in each cell that its bounds touch, a fix in its own one, so each pair meets once
     and no nested loop is needed, however many rows there are. A crowded cell is a skewed key, which the planner splits. Only
-    what the join needs and `carried` is copied to the cells.
+    what the join needs and `carried` is copied to the cells. Both sides are shuffled: the planner takes the cells for no larger
+    than the table that they come from and would gather them on the driver to broadcast them.
     """
     cell = lambda c: F.floor(F.col(c) / farm.cell_size)
     points = on_plane(fixes, farm, "cell_size").withColumns({"cx": cell("x"), "cy": cell("y")}).select(*fixes.columns, "x", "y", "cx", "cy")
     slim = compiled.select(*farm.by, "row_id", "row_ord", *dict.fromkeys((*_BOUNDS, *carried)))
     cells = farm.attached(slim, "cell_size").withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
-    pairs = points.join(cells.select(*slim.columns, "cx", "cy"), [*farm.by, "cx", "cy"])
+    pairs = points.join(cells.select(*slim.columns, "cx", "cy").hint("merge"), [*farm.by, "cx", "cy"])
     return measured(pairs).drop("cx", "cy")
 
 
