@@ -26,6 +26,11 @@ def frame_scale(lat: Column) -> tuple[Column, Column]:
     return F.lit(A) / F.sqrt(w) * F.cos(F.radians(lat)), F.lit(A * (1 - E2)) / (w * F.sqrt(w))
 
 
+def norm(x: Column, y: Column) -> Column:
+    """The length of a vector by squares and a root: each of them is rounded once, in any engine, so equally far places tie in all of them."""
+    return F.sqrt(x * x + y * y)
+
+
 def to_local(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
     east, north = frame_scale(lat0)
     return F.radians(lon - lon0) * east, F.radians(lat - lat0) * north
@@ -39,15 +44,15 @@ def to_geo(x: Column, y: Column, lat0: Column, lon0: Column) -> tuple[Column, Co
 def distance_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, lat0: Column) -> Column:
     """Metres between two places on the local plane of a latitude."""
     east, north = frame_scale(lat0)
-    return F.hypot(F.radians(lon_b - lon_a) * east, F.radians(lat_b - lat_a) * north)
+    return norm(F.radians(lon_b - lon_a) * east, F.radians(lat_b - lat_a) * north)
 
 
 def project(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
     """Unclamped distance along the segment a-b, and distance from its line (from a, if a = b)."""
-    length = F.hypot(bx - ax, by - ay)
+    length = norm(bx - ax, by - ay)
     flat = length == 0
     along, off = project_on_unit(px - ax, py - ay, (bx - ax) / length, (by - ay) / length)
-    return F.when(flat, 0.0).otherwise(along), F.when(flat, F.hypot(px - ax, py - ay)).otherwise(off)
+    return F.when(flat, 0.0).otherwise(along), F.when(flat, norm(px - ax, py - ay)).otherwise(off)
 
 
 def project_on_unit(x: Column, y: Column, ux: Column, uy: Column) -> tuple[Column, Column]:
@@ -57,7 +62,7 @@ def project_on_unit(x: Column, y: Column, ux: Column, uy: Column) -> tuple[Colum
 
 def point_along(ax: Column, ay: Column, bx: Column, by: Column, along: Column) -> tuple[Column, Column]:
     """The place at a distance from a on the line a-b; a itself if a = b."""
-    length = F.hypot(bx - ax, by - ay)
+    length = norm(bx - ax, by - ay)
     part = F.when(length == 0, 0.0).otherwise(along / length)
     return ax + (bx - ax) * part, ay + (by - ay) * part
 

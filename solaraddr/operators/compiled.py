@@ -9,7 +9,7 @@ from typing import ClassVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import to_local
+from ..functions.geo import norm, to_local
 from ..functions.layout import Layout
 
 # The sides of a road and what lies opposite.
@@ -133,7 +133,7 @@ def compile_rows(rows: DataFrame, farm: Farm, strict: bool = True) -> DataFrame:
     lat0, lon0 = F.lit(farm.lat), F.lit(farm.lon)
     ax, ay = to_local(F.col("lat_a"), F.col("lon_a"), lat0, lon0)
     bx, by = to_local(F.col("lat_b"), F.col("lon_b"), lat0, lon0)
-    out = rows.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by}).withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    out = rows.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by}).withColumn("length", norm(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
     mode, offset = F.lit(farm.offset_mode), F.lit(layout.offset)
     near, far = F.when(mode == "none", 0.0).otherwise(offset), F.when(mode == "both", offset).otherwise(0.0)
     room = F.col("length") - near - far

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import project_on_unit, to_geo, to_local
+from ..functions.geo import norm, project_on_unit, to_geo, to_local
 from ..functions.layout import Layout
 from .compiled import Farm, compile_rows, fix_key
 
@@ -46,7 +46,7 @@ def measured(pairs: DataFrame) -> DataFrame:
     along, off = project_on_unit(dx, dy, F.col("ux"), F.col("uy"))
     pairs = pairs.withColumns({"along": along, "off_axis": off})
     clamped = F.least(F.greatest(F.col("along"), F.lit(0.0)), F.col("length"))
-    return pairs.withColumn("distance", F.hypot(dx - F.col("ux") * clamped, dy - F.col("uy") * clamped)).drop("min_x", "max_x", "min_y", "max_y")
+    return pairs.withColumn("distance", norm(dx - F.col("ux") * clamped, dy - F.col("uy") * clamped)).drop("min_x", "max_x", "min_y", "max_y")
 
 
 def rows_considered(pairs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _addressed(out: DataFrame, farm: Farm) -> DataFrame:
         }
     )
     lat, lon = to_geo(F.col("mx"), F.col("my"), F.lit(farm.lat), F.lit(farm.lon))
-    return out.withColumns({"module_distance": F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")), "module_lat": lat, "module_lon": lon})
+    return out.withColumns({"module_distance": norm(F.col("x") - F.col("mx"), F.col("y") - F.col("my")), "module_lat": lat, "module_lon": lon})
 
 
 def _spread(near: DataFrame, farm: Farm) -> tuple[DataFrame, Column, Column]:
