@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,17 +54,26 @@ def coordinate_role(header: Column) -> Column:
     Words for an axis decide; compass words only where there are none of those; words for both axes decide nothing. Once one word
     has named the axis, the others name the stake, and words for the second stake go before those for the first.
     """
-    words = header_words(header)
-    among = lambda table, axis: F.arrays_overlap(words, F.array(*map(F.lit, table[axis])))
-    sy, sx, cy, cx = among(AXES, "y"), among(AXES, "x"), among(COMPASS, "y"), among(COMPASS, "x")
-    strict = sy | sx
-    y, decided = F.when(strict, sy).otherwise(cy), F.when(strict, sy != sx).otherwise(cy != cx)
-    named = lambda axis: F.when(strict, F.array(*map(F.lit, AXES[axis]))).otherwise(F.array(*map(F.lit, COMPASS[axis])))
-    spent = F.filter(words, lambda w: F.array_contains(F.when(y, named("y")).otherwise(named("x")), w))
-    at = F.array_position(words, F.get(spent, F.lit(0)))
-    others = F.filter(words, lambda w, i: i != at - 1)
-    stake = F.when(F.arrays_overlap(others, F.array(*map(F.lit, SECOND))), "end").when(F.arrays_overlap(others, F.array(*map(F.lit, FIRST))), "start")
-    return F.when(decided & stake.isNotNull(), F.concat(stake, F.when(y, "_y").otherwise("_x")))
+    among = lambda words, known: F.arrays_overlap(words, F.array(*map(F.lit, known)))
+
+    def of_words(words: Column) -> Column:
+        sy, sx, cy, cx = among(words, AXES["y"]), among(words, AXES["x"]), among(words, COMPASS["y"]), among(words, COMPASS["x"])
+        axis = F.when(sy & sx, None).when(sy, "y").when(sx, "x").when(cy & cx, None).when(cy, "Y").when(cx, "X")
+        return _with(axis, lambda axis: F.when(axis.isNotNull(), of_axis(words, axis)))
+
+    def of_axis(words: Column, axis: Column) -> Column:
+        names = F.when(axis == "y", F.array(*map(F.lit, AXES["y"]))).when(axis == "x", F.array(*map(F.lit, AXES["x"]))).when(axis == "Y", F.array(*map(F.lit, COMPASS["y"]))).otherwise(F.array(*map(F.lit, COMPASS["x"])))
+        spent = _with(names, lambda names: F.array_position(F.transform(words, lambda w: F.array_contains(names, w)), True))
+        others = _with(spent, lambda at: F.filter(words, lambda w, i: i != at - 1))
+        stake = _with(others, lambda rest: F.when(among(rest, SECOND), "end").when(among(rest, FIRST), "start"))
+        return F.concat(stake, F.lit("_"), F.lower(axis))
+
+    return _with(header_words(header), of_words)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _words(header: str, split_digits: bool = True) -> list[str]:

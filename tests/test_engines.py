@@ -1,4 +1,4 @@
-"""Queries against their SQL on few rows of large keys, where places are equally far, and plans that must not gather tables on the driver."""
+"""Queries against their SQL on few rows of large keys, where places are equally far, and plans that must not gather tables or repeat work."""
 
 import duckdb
 import pytest
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from solaraddr.operators import compiled as C
+from solaraddr.operators import headers as H
 from solaraddr.operators import locate as L
 from solaraddr.plans import driver
 
@@ -46,3 +47,9 @@ def test_cells_are_not_broadcast(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     df = L.rows_in_range(fixes, C.compile_rows(rows, driver.FARM), driver.FARM)
     assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_the_words_of_a_header_are_computed_once(spark):
+    """They were written out at each use, inside of each other's functions."""
+    df = spark.createDataFrame([("Y_Norte",)], "h string").select(H.coordinate_role(F.col("h")).alias("r"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1 and df.first().r == "start_y"
