@@ -16,6 +16,9 @@ _BOUNDS = ("ax", "ay", "ux", "uy", "length", "min_x", "max_x", "min_y", "max_y")
 #: What of a row goes on to its candidates.
 _CARRIED = ("ax", "ay", "ux", "uy", "length", "pitch", "origin_offset", "residual_mm", "origin_end", "inverted", "numbers", "labels", "strategy_warnings")
 
+#: The order of a fix's candidates.
+_BY_RANK = ("module_distance", "row_rank", "position")
+
 
 def rows_in_range(fixes: DataFrame, compiled: DataFrame, farm: Farm, carried: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of fixes and rows whose padded bounds hold the fix, with the distance along and to the row.
@@ -136,13 +139,18 @@ def candidates(near: DataFrame, farm: Farm) -> DataFrame:
     All rows take the reach of the nearest one's pitch. Of rows that share an id the nearest keeps a position that both have.
     """
     out, low, high = _spread(near, farm)
-    out = out.withColumn("position", F.explode(F.sequence(low, high)))
-    out = out.withColumn("twin", F.row_number().over(Window.partitionBy(*fix_key(out), "row_id", "position").orderBy("row_rank"))).where("twin = 1").drop("twin")
+    # in the order that the rows were ranked by, so they are not sorted again
+    before = Window.partitionBy(fix_key(out)).orderBy("distance", "row_ord").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.collect_list(F.struct("row_id", low.alias("low"), high.alias("high"))).over(before)
+    out = out.withColumn("_earlier", earlier).withColumn("_taken", F.filter("_earlier", lambda o: o["row_id"].eqNullSafe(F.col("row_id"))))
+    free = F.filter(F.sequence(low, high), lambda p: ~F.exists("_taken", lambda o: p.between(o["low"], o["high"])))
+    out = out.withColumn("position", F.explode(F.when(F.size("_taken") == 0, F.sequence(low, high)).otherwise(free))).drop("_earlier", "_taken")
     out = _addressed(out, farm)
+    # candidates are sorted once, for their ranks; whatever else is told of a fix keeps that order
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(fix_key(out)).orderBy(*_BY_RANK)))
     w = F.exp(-0.5 * F.pow(F.col("module_distance") / F.col("sigma"), 2))
     total = F.sum("weight").over(Window.partitionBy(fix_key(out)))
-    out = out.withColumn("weight", w).withColumn("confidence", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(fix_key(out)).orderBy("module_distance", "row_rank", "position")))
+    return out.withColumn("weight", w).withColumn("confidence", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
 
 
 def warnings(found: DataFrame) -> DataFrame:
@@ -240,7 +248,7 @@ def credible_range(found: DataFrame, share: float = 0.85) -> DataFrame:
     """Candidates of the best row, likeliest first, until their confidences reach `share` of all: positions, modules and strings."""
     own = Window.partitionBy(fix_key(found))
     top = found.withColumn("top_row", F.max(F.when(F.col("rank") == 1, F.col("row_id"))).over(own)).where("row_id = top_row")
-    before = F.coalesce(F.sum("confidence").over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("confidence").over(own.orderBy(*_BY_RANK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = top.withColumn("before", before).where(F.col("before") < share)
     return kept.groupBy(fix_key(found)).agg(
         F.min("position").alias("first"), F.max("position").alias("last"), F.min("module").alias("low_module"), F.max("module").alias("high_module"),

@@ -53,3 +53,12 @@ def test_the_words_of_a_header_are_computed_once(spark):
     """They were written out at each use, inside of each other's functions."""
     df = spark.createDataFrame([("Y_Norte",)], "h string").select(H.coordinate_role(F.col("h")).alias("r"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1 and df.first().r == "start_y"
+
+
+def test_candidates_are_sorted_once(spark, tmp_path):
+    """Each window over the candidates of a fix had a sort of its own."""
+    fixes = spark.range(10).select(F.col("id").alias("fix_id"), (F.lit(-27.4) + F.col("id") * 1e-6).alias("lat"), (F.lit(152.7) + F.col("id") * 1e-6).alias("lon"), F.lit(1.0).alias("accuracy"))
+    spark.range(10).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    near = L.near_rows(fixes, driver.tracker_rows(spark, str(tmp_path)), driver.FARM)
+    sorts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("- Sort [")
+    assert sorts(L.credible_range(L.candidates(near, driver.FARM))) == sorts(near) + 1
