@@ -69,11 +69,9 @@ def _evidence_counts(batches):
     Each counts in two slots; it is evidence if both say so, which keeps strangers that share one slot out.
     """
     counts = np.zeros((2, SLOTS), np.int64)
-    docs = np.zeros(2, np.int64)
     for pdf in batches:
         toxic = pdf["toxic"].to_numpy(np.int64)
         texts = [t.encode("utf-8", "replace") for t in pdf["text"]]
-        docs += np.bincount(toxic, minlength=2)
         for begin, part in chunks(texts):
             words, keys = features(part)
             owner = words.owner().astype(np.int64)
@@ -82,22 +80,24 @@ def _evidence_counts(batches):
                 for label in (0, 1):
                     mine = pair[toxic[begin + pair // SLOTS] == label] % SLOTS
                     counts[label] += np.bincount(mine, minlength=SLOTS)
-    for label in (0, 1):
-        there = np.flatnonzero(counts[label])
-        yield pd.DataFrame({"label": label, "slot": np.append(there, -1), "n": np.append(counts[label][there], docs[label])})
+    there = np.flatnonzero(counts.any(axis=0))
+    yield pd.DataFrame({"slot": there, "clean": counts[0][there], "toxic": counts[1][there]})
 
 
 def evidence(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """Which slots are evidence of toxicity, from every labelled text; and the share of toxic texts."""
-    rows = labelled.mapInPandas(_evidence_counts, "label int, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).where("slot < 0 OR n >= 2").toPandas()
-    counts, docs = np.zeros((2, SLOTS)), np.ones(2)
-    for label in (0, 1):
-        own = rows[rows.label == label]
-        docs[label] = max(1, own[own.slot < 0].n.sum())
-        own = own[own.slot >= 0]
-        counts[label][own.slot.to_numpy()] = own.n.to_numpy()
-    ratio = (counts[1] / docs[1]) / ((counts[0] + 0.5) / docs[0])
-    return (counts[1] >= max(LEAST_DOCS, LEAST_SHARE * docs[1])) & (ratio >= LEAST_RATIO), docs[1] / docs.sum()
+    """Which slots are evidence of toxicity, from every labelled text; and the share of toxic texts. Only such slots reach the driver."""
+    docs = np.ones(2)
+    for label, n in labelled.groupBy("toxic").count().collect():
+        docs[label] = n
+    # a slot of one document tells nothing of its class
+    several = lambda c: F.when(F.col(c) >= 2, F.col(c)).otherwise(0).cast("double")
+    counts = labelled.mapInPandas(_evidence_counts, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = counts.select("slot", several("clean").alias("clean"), several("toxic").alias("toxic"))
+    ratio = (F.col("toxic") / float(docs[1])) / ((F.col("clean") + 0.5) / float(docs[0]))
+    found = counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * float(docs[1]))) & (ratio >= LEAST_RATIO)).select("slot").collect()
+    signs = np.zeros(SLOTS, bool)
+    signs[[r.slot for r in found]] = True
+    return signs, docs[1] / docs.sum()
 
 
 @dataclass
@@ -201,6 +201,30 @@ def fit_field(texts: list[bytes], toxic: np.ndarray, signs: np.ndarray, share: f
     return field
 
 
+def fitted(taught: DataFrame, most: int, signs: np.ndarray, share: float) -> Field:
+    """The field of the `most` texts of each class with the smallest hashes, fitted in one task: the sample is bounded, and none of its texts reach the driver."""
+    short = taught.where(F.octet_length("text") <= FIT_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
+    ends = {y: [r.h for r in short.where(F.col("toxic") == y).select("h").orderBy("h").limit(most).collect()][-1:] for y in (0, 1)}
+    wanted = F.lit(False)
+    for y, last in ends.items():
+        if last:
+            wanted = wanted | ((F.col("toxic") == y) & (F.col("h") <= last[0]))
+
+    def fit(batches):
+        rows = pd.concat([pd.DataFrame({"text": [], "toxic": [], "h": []}, dtype=object), *batches])
+        # equal hashes are equal texts, so it is no matter which of them go
+        rows = pd.concat([rows[rows["toxic"] == y].sort_values("h").head(most) for y in (1, 0)])
+        f = fit_field([t.encode("utf-8", "replace") for t in rows["text"]], rows["toxic"].to_numpy(np.int64), signs, share)
+        yield pd.DataFrame({"weights": [f.weights.tobytes()], "prints": [f.prints.tobytes()], "bias": [float(f.bias)], "pairs": [f.pairs.ravel()], "score": [f.score]})
+
+    sample = short.where(wanted).select("text", "toxic", "h").repartition(1)
+    rows = sample.mapInPandas(fit, "weights binary, prints binary, bias double, pairs array<double>, score array<double>").collect()
+    if not rows:
+        return fit_field([], np.zeros(0, np.int64), signs, share)
+    f = rows[0]
+    return Field(np.frombuffer(f.weights, np.float64), np.frombuffer(f.prints, np.uint32), f.bias, np.array(f.pairs).reshape(2, 2), np.array(f.score))
+
+
 def document_features(field: Field, words: Words, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text: log odds of its likeliest toxic token, and log of the expected number of them; then each token's log odds."""
     odds, _, _ = marginals(field.weights[slots].sum(axis=0) + field.bias, words.count, field.pairs)
@@ -250,10 +274,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, fit_docs: int = FIT_D
     taught = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), "doc_id")
     taught = written(taught, "toxic-taught")
     signs, share = evidence(taught)
-    at = F.xxhash64("doc_id", "text")
-    picked = [taught.where((F.col("toxic") == y) & (F.octet_length("text") <= FIT_BYTES)).withColumn("h", at).orderBy("h").limit(2 * fit_docs).select("text", "toxic").toPandas() for y in (1, 0)]
-    sample = pd.concat(picked)
-    field = fit_field([t.encode("utf-8", "replace") for t in sample["text"]], sample["toxic"].to_numpy(np.int64), signs, share)
+    field = fitted(taught, 2 * fit_docs, signs, share)
 
     own = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
 

@@ -58,3 +58,12 @@ def test_labels_of_one_kind(spark, kept):
 def test_empty_tables(spark):
     docs, labels = table(spark, 10)
     assert toxicity(docs.where("doc_id < 0"), labels, fold()).count() == 0
+
+
+def test_no_text_is_gathered_on_the_driver(spark, monkeypatch):
+    docs, labels = table(spark, 40)
+    gathered = []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(type(docs), name, lambda self, f=getattr(type(docs), name): gathered.append(self.columns) or f(self))
+    toxicity(docs, labels, F.lit(False))
+    assert gathered and not any("text" in columns for columns in gathered)
