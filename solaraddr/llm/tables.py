@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PART_BYTES = 32 << 20
 #: A lookup of at most this many short rows may be broadcast; beyond it the plain join runs.
 BROADCAST_ROWS = 20_000
+#: Spark's setting by which the shuffle files of a query go when it ends, and not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,10 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors."""
+    """Writes `df` as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors.
+
+    The files that were shuffled for it go at once, as nothing reads them after the table is there.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

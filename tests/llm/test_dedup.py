@@ -1,6 +1,7 @@
 """The dedup operators against brute force, on nulls, empty and long texts, copies and repeated rows."""
 
 import hashlib
+import time
 
 import numpy as np
 
@@ -111,3 +112,16 @@ def test_dense_group_around_the_limit(spark):
     assert 1 < len(set(want.values())) < len(docs)
     got = similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=3, percent=90)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    from solaraddr.llm.tables import CLEANUP, written
+
+    files = lambda: [f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f]
+    before, known = spark.conf.get(CLEANUP, None), set(files())
+    table = written(spark.range(1000).repartition(4, "id").groupBy("id").count(), "cleaned")
+    end = time.time() + 10
+    while set(files()) - known and time.time() < end:
+        time.sleep(0.2)
+    assert not set(files()) - known and table.count() == 1000
+    assert spark.conf.get(CLEANUP, None) == before
