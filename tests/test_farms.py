@@ -135,3 +135,13 @@ def test_ids_that_repeat_keep_the_nearest_rows_position(spark):
     fixes = spark.createDataFrame([(1, -27.4003, 152.70001, None)], "fix_id long, lat double, lon double, accuracy double")
     found = L.locate(fixes, rows, farm)
     assert found.select("position").distinct().count() == found.count() and {r.row_ord for r in found.collect()} == {0}
+
+
+def test_lengths_of_a_fix_on_a_module_edge(spark, tmp_path):
+    """Fix 2811200 lies at the first module's edge of row s997, where a length that is off in its last place tells another position."""
+    from solaraddr.plans.reports import QUERIES
+
+    spark.range(4000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2811200, 2811201).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.codes for r in QUERIES["slanted_warnings"](spark, str(tmp_path)).collect()] == ["missing-flag,outside-row-extent"]
+    assert ("outside-row-extent", "s997", 1000) in [(r.code, r.row_id, r.raw_mille) for r in QUERIES["warning_details"](spark, str(tmp_path)).collect()]
