@@ -145,3 +145,13 @@ def test_lengths_of_a_fix_on_a_module_edge(spark, tmp_path):
     spark.range(2811200, 2811201).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
     assert [r.codes for r in QUERIES["slanted_warnings"](spark, str(tmp_path)).collect()] == ["missing-flag,outside-row-extent"]
     assert ("outside-row-extent", "s997", 1000) in [(r.code, r.row_id, r.raw_mille) for r in QUERIES["warning_details"](spark, str(tmp_path)).collect()]
+
+
+def test_slot_round_trip_broadcasts_nothing(spark, tmp_path, capsys):
+    """The cells of its rows are shuffled, not gathered on the driver."""
+    from solaraddr.plans.reports import QUERIES
+
+    spark.range(100).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    QUERIES["slot_round_trip"](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
