@@ -29,6 +29,8 @@ _TOKENS = [("h", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("heads"
 _PAIR_ROWS = 1 << 21
 #: Pairs of each class that are compared first.
 FIRST_PAIRS = 8
+#: Of a token that more than CROWD rows have, each row is first paired with so many more of them.
+CROWD, AROUND = 32, 24
 
 
 def _digests(tokens: np.ndarray) -> tuple[int, int]:
@@ -120,14 +122,22 @@ def _may_link(tokens: np.ndarray, x: np.ndarray, y: np.ndarray, share: float):
 def _sample(tokens: np.ndarray, share: float):
     """Of the rows with one prefix token, each with the one before it and with the first: about as many pairs as rows.
 
+    Where more than CROWD rows have the token, also with AROUND more before it: most of a dense group is joined by those pairs.
     `comp` is the smallest id of each class here, so that the first is the oldest text.
     """
     order = np.lexsort((tokens["doc"], tokens["comp"], tokens["h"]))
     new = np.concatenate([[True], tokens["h"][order][1:] != tokens["h"][order][:-1]]) if len(order) else np.zeros(0, bool)
     at = np.flatnonzero(~new)
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    begin = np.flatnonzero(new)
+    first = begin[np.cumsum(new) - 1]
     for other in (first[at], at - 1):
         yield from _may_link(tokens, order[at], order[other], share)
+    place = np.arange(len(order)) - first
+    many = np.diff(np.append(begin, len(order)))
+    crowded = np.repeat(many, many) > CROWD
+    for k in range(2, AROUND + 2):
+        at = np.flatnonzero(crowded & (place > k))
+        yield from _may_link(tokens, order[at], order[at - k], share)
 
 
 def _pairs(tokens: np.ndarray, share: float):

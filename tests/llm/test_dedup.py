@@ -114,6 +114,38 @@ def test_dense_group_around_the_limit(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_a_dense_group_is_joined_before_all_its_pairs_are_proposed(spark, monkeypatch):
+    """Of 600 variants of one text, most are linked by the pairs that are looked at first; few of the 179700 pairs are left."""
+    from solaraddr.llm import jaccard
+
+    rng, made, written = np.random.default_rng(7), {}, jaccard.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    docs = []
+    for i in range(600):
+        w = [f"w{k}" for k in range(120)]
+        for at in rng.choice(120, int(rng.integers(1, 4)), replace=False):
+            w[at] = f"x{i}-{at}"
+        docs.append((i, " ".join(w)))
+    got = similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=3, percent=90).collect()
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in docs)]
+    place = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    holds = np.zeros((600, len(place)), np.float32)
+    for i, x in enumerate(sets):
+        holds[i, [place[k] for k in x]] = 1
+    both, n = holds @ holds.T, holds.sum(axis=1)
+    near, least = 100 * both >= 90 * (n[:, None] + n - both), np.arange(600)
+    while (least != (least := np.where(near, least, 600).min(axis=1))).any():
+        pass
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(least.tolist()))
+    assert made["jaccard-apart"][0] < 10000
+
+
 def test_written_leaves_no_shuffle_files(spark):
     from solaraddr.llm.tables import CLEANUP, written
 
