@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import load, written
+from .tables import load, partitions, written
 
 #: Vectors that the forest is fitted on at most (by hash), trees, and rows of a leaf that the depth aims at.
 FIT_ROWS, TREES, LEAF_ROWS = 32_768, 4, 800
@@ -17,8 +17,10 @@ FIT_ROWS, TREES, LEAF_ROWS = 32_768, 4, 800
 FIT_LEAF = 8
 #: Queries that are answered exactly to see how many leaves have to be visited, and the share of true neighbours these have to hold.
 TRIALS, HELD = 64, 0.95
-#: Rows of a leaf that one task holds; larger leaves are split into blocks.
-BLOCK_ROWS = 4096
+#: Bytes of rows, and of queries, that one task compares at once; a leaf of more rows than BLOCK_ROWS is split as long as tasks are few.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 4096
+#: Queries, and products of queries and rows, that are at hand at a time.
+SLICE, PRODUCTS = 1024, 1 << 20
 
 
 def depth_for(rows: int) -> int:
@@ -105,6 +107,73 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def paired_products(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for the pairs of q[a] and x[b] alone."""
+    out = np.zeros(len(a))
+    for begin in range(0, len(a), SLICE * 16):
+        at = slice(begin, begin + SLICE * 16)
+        left, right = q[a[at]], x[b[at]]
+        for i in range(q.shape[1]):
+            out[at] += left[:, i] * right[:, i]
+    return out
+
+
+def blocks_of(rows: np.ndarray, leaves: int, want: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each leaf, and its number of blocks.
+
+    Leaves of one tree, side by side, fill a block up to `want` rows (at most `most`); a leaf of over `most` rows has blocks of its own.
+    """
+    first, parts = np.zeros(len(rows), np.int64), np.maximum(1, -(-rows // most))
+    block = held = 0
+    for leaf, n in enumerate(rows.tolist()):
+        if held and (leaf % leaves == 0 or held + n > want):
+            block, held = block + 1, 0
+        first[leaf], held = block, held + n
+        if parts[leaf] > 1:
+            block, held = block + int(parts[leaf]), 0
+    return first, parts
+
+
+def _leading(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best of each query, by query and best first."""
+    order = np.lexsort((ids, -scores, who))
+    own = who[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+def best_in_block(q: np.ndarray, visited: list, x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores, best first, of the k best rows for each query among those leaves of a block that it visits.
+
+    Matrix products tell which rows can be among them, with room for their rounding; the scores of these are summed as everywhere.
+    """
+    order = np.argsort(leaf, kind="stable")
+    x, ids, leaf = x[order], ids[order], leaf[order]
+    names, begins = np.unique(leaf, return_index=True)
+    room = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    out = []
+    for begin in range(0, len(q), SLICE):
+        own, slack = q[begin : begin + SLICE], room[begin : begin + SLICE]
+        lists = visited[begin : begin + SLICE]
+        where, who = np.concatenate(lists), np.repeat(np.arange(len(own)), [len(v) for v in lists])
+        floor, hits = np.full(len(own), -np.inf), []
+        for name, lo, hi in zip(names, begins, np.append(begins[1:], len(x)), strict=True):
+            at, step = who[where == name], max(1, PRODUCTS // (hi - lo))
+            for few in (at[i : i + step] for i in range(0, len(at), step)):
+                s = own[few] @ x[lo:hi].T
+                if hi - lo >= k:
+                    floor[few] = np.maximum(floor[few], np.partition(s, hi - lo - k, axis=1)[:, hi - lo - k])
+                i, j = np.nonzero(~(s < (floor[few] - slack[few])[:, None]))
+                a, b = few[i], lo + j
+                scores = paired_products(own, x, a, b)
+                keep = _leading(a, ids[b], scores, k)
+                hits.append((a[keep], ids[b[keep]], scores[keep]))
+        a, found, scores = (np.concatenate(c) for c in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        keep = _leading(a, found, scores, k)
+        ends = np.searchsorted(a[keep], np.arange(len(own) + 1))
+        out += [(found[keep[lo:hi]], scores[keep[lo:hi]]) for lo, hi in zip(ends, ends[1:])]
+    return out
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     if len(ids) > 4 * k:
         keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
@@ -148,15 +217,13 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 20, held: float = HE
     sample = np.array(picked["v"].tolist(), float).reshape(-1, dim)
     forest = Forest(sample, float(facts["longest"] or 0.0) ** 0.5, depth_for(facts["n"]))
 
-    def route(batches):
+    def leaves(batches):
         for pdf in batches:
             if len(pdf):
-                x = np.array(pdf["v"].tolist(), float)
-                for leaf in forest.route(x):
-                    yield pd.DataFrame({"leaf": leaf, "vec_id": pdf["vec_id"], "v": pdf["v"]})
+                for leaf in forest.route(np.array(pdf["v"].tolist(), float)):
+                    yield pd.DataFrame({"leaf": leaf})
 
-    routed = written(kept.mapInPandas(route, "leaf long, vec_id long, v array<double>"), "ann-leaves")
-    counts = routed.groupBy("leaf").count().toPandas()  # a row a leaf
+    counts = kept.mapInPandas(leaves, "leaf long").groupBy("leaf").count().toPandas()  # a row a leaf
     rows = np.zeros(forest.trees * forest.leaves, np.int64)
     rows[counts["leaf"]] = counts["count"]
     trials = asked.select("v").distinct().orderBy(F.xxhash64("v")).limit(TRIALS).toPandas()
@@ -175,44 +242,61 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 20, held: float = HE
     truth = exact.withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= k + 1).select("trial", "v").toPandas()
     neighbours = [np.array(truth["v"][truth["trial"] == i].tolist(), float).reshape(-1, dim) for i in range(len(tried))]
     visits = forest.visits_for(tried, neighbours, rows, held)
-    parts = np.maximum(1, -(-rows // BLOCK_ROWS))
+    vectors = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
+    cap = max(1, BLOCK_BYTES // (8 * dim))
+    want = min(cap, int(rows.sum()) // partitions(points.sparkSession))
+    first, parts = blocks_of(rows, forest.leaves, want, min(cap, max(want, BLOCK_ROWS)))
+    shares = max(1, -(-vectors.count() // cap))
+    kind = "<f4" if all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (points, queries)) else "<f8"
+
+    def packed(x):
+        return [r.tobytes() for r in x.astype(kind)]
+
+    def unpacked(v):
+        return np.frombuffer(b"".join(v), kind).reshape(-1, dim).astype(float)
 
     def probe(batches):
+        """A row for each block that a query visits, with the leaves it visits there."""
         for pdf in batches:
-            found = [forest.search(np.array(v, float), rows, visits, k + 1) for v in pdf["v"]]
-            out = pd.DataFrame({"leaf": found, "query": pdf["query"], "v": pdf["v"]}).explode("leaf").dropna()
-            leaf = out["leaf"].to_numpy(np.int64)
-            out = out.iloc[np.repeat(np.arange(len(out)), parts[leaf])].assign(leaf=np.repeat(leaf, parts[leaf]))
-            # only leaves of over BLOCK_ROWS rows have more than one block
-            yield out.assign(block=np.concatenate([np.arange(n) for n in parts[leaf]] or [np.zeros(0, np.int64)]))
+            for few in (pdf.iloc[i : i + max(1, cap // visits)] for i in range(0, len(pdf), max(1, cap // visits))):
+                x = np.array(few["v"].tolist(), float)
+                found = [forest.search(q, rows, visits, k + 1) for q in x]
+                leaf, at = np.array([n for f in found for n in f], np.int64), np.repeat(np.arange(len(x)), [len(f) for f in found])
+                many = parts[leaf]
+                block = np.repeat(first[leaf], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at, leaf = np.repeat(at, many), np.repeat(leaf, many)
+                order = np.lexsort((block, at))
+                at, leaf, block = at[order], leaf[order], block[order]
+                begins = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(block) != 0))[: len(at)])
+                query, v = few["query"].to_numpy(np.int64)[at[begins]], packed(x)
+                yield pd.DataFrame({"cell": block[begins] * shares + query % shares, "query": query, "v": [v[i] for i in at[begins]], "leaves": np.split(leaf, begins[1:]) if len(begins) else []})
 
     def dealt(batches):
+        """Each row at its leaf of each tree, once for each share of the queries."""
         for pdf in batches:
-            yield pdf.assign(block=pdf["vec_id"].to_numpy() % parts[pdf["leaf"].to_numpy()])
+            if len(pdf):
+                x = np.array(pdf["v"].tolist(), float)
+                ids, v = pdf["vec_id"].to_numpy(np.int64), packed(x)
+                for leaf in forest.route(x):
+                    for share in range(shares):
+                        yield pd.DataFrame({"cell": (first[leaf] + ids % parts[leaf]) * shares + share, "leaf": leaf, "vec_id": ids, "v": v})
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
-        q, ids = np.array(left["v"].tolist(), float), right["vec_id"].to_numpy(np.int64)
-        x = np.array(right["v"].tolist(), float)
-        rows = []
-        for begin in range(0, len(q), 512):
-            for s in inner_products(q[begin : begin + 512], x):
-                at = _best(ids, s, k + 1)
-                rows.append((ids[at], s[at]))
-        return pd.DataFrame({"query": left["query"].to_numpy(), "ids": [r[0] for r in rows], "scores": [r[1] for r in rows]})
+        best = best_in_block(unpacked(left["v"]), left["leaves"].tolist(), unpacked(right["v"]), right["vec_id"].to_numpy(np.int64), right["leaf"].to_numpy(np.int64), k + 1)
+        return pd.DataFrame({"query": left["query"].to_numpy(), "ids": [b[0] for b in best], "scores": [b[1] for b in best]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All leaves of one query: at most `visits` times blocks lists of k + 1."""
+        """All blocks of one query: a list of k + 1 at most from each."""
         ids, first = np.unique(np.concatenate(pdf["ids"].tolist()), return_index=True)
         scores = np.concatenate(pdf["scores"].tolist())[first]
         at = _best(ids, scores, k + 1)
         return pd.DataFrame({"query": [pdf["query"].iloc[0]], "found": [[{"vec_id": int(i), "score": float(s)} for i, s in zip(ids[at], scores[at], strict=True)]]})
 
-    vectors = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
-    left = vectors.mapInPandas(probe, "leaf long, query long, v array<double>, block long")
-    right = routed.mapInPandas(dealt, "leaf long, vec_id long, v array<double>, block long")
-    lists = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInPandas(rank, "query long, ids array<long>, scores array<double>")
+    left = vectors.mapInPandas(probe, "cell long, query long, v binary, leaves array<long>")
+    right = kept.mapInPandas(dealt, "cell long, leaf long, vec_id long, v binary")
+    lists = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(rank, "query long, ids array<long>, scores array<double>")
     found = lists.groupBy("query").applyInPandas(merge, "query long, found array<struct<vec_id:long,score:double>>")
     answers = vectors.join(found, "query").select("v", "found")
     own = asked.select(F.col("vec_id").alias("query_id"), "v").join(answers, "v")

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from solaraddr.llm import html, leaks, urls
+from solaraddr.llm import ann, html, leaks, urls
 from solaraddr.llm.ann import HELD, LEAF_ROWS, nearest
 from solaraddr.llm.chat import format_chats
 from solaraddr.llm.html import extract_text, main_text
@@ -344,3 +344,38 @@ def test_neighbours_at_the_registered_settings(spark):
     assert hits >= (HELD - 0.04) * 20 * len(range(0, n, 20))
     assert all(r.vec_id < n for r in got) and all(len(v) == 20 for v in found.values())
     assert nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
+
+
+def test_a_query_is_sent_once_to_a_block(spark):
+    """Leaves side by side share a block, so what a task makes of its queries doesn't grow with the leaves that they visit."""
+    n = 4 * LEAF_ROWS
+    x = np.random.default_rng(8).standard_normal((n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 20 = 0"))
+    assert got.count() == n
+
+    def made(node):
+        """Rows of each call of mapInPandas below a node of the plan that ran."""
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return made(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return made(node.plan())
+        own = [node.metrics().apply("pythonNumRowsReceived").value()] if kind == "MapInPandasExec" else []
+        return own + [r for i in range(node.children().size()) for r in made(node.children().apply(i))]
+
+    got.collect()
+    rows = made(got._jdf.queryExecution().executedPlan())
+    assert 4 * n in rows  # the rows, at a leaf of each of four trees
+    assert all(r <= 4 * n // 20 for r in rows if r != 4 * n), rows  # a block a tree here
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_small_blocks_and_ties_change_nothing(spark, monkeypatch, kind):
+    """A leaf in eight blocks, queries in eight shares, and many equal products."""
+    x = np.random.default_rng(2).integers(-1, 2, (400, 8)).astype(float)
+    x[~x.any(axis=1)] = 1
+    df = spark.createDataFrame([(i - 200, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 50 * 8 * 8)
+    got = nearest(df, df).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(q - 200, j - 200, x[q] @ x[j]) for q in range(400) for j in exact(x, np.arange(400), q, 20)]
