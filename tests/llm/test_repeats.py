@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from solaraddr.llm import jaccard, substrings
+from solaraddr.llm import components, jaccard, substrings
 from solaraddr.llm.substrings import FIELDS, dedup_substrings
 
 SCHEMA = "doc_id long, text string"
@@ -83,3 +83,35 @@ def test_texts_under_one_id_link_apart(spark):
     want = sorted((key(i), len(s), min(key(rows[j][0]) for j in range(len(rows)) if group[j] == g)) for (i, _), s, g in zip(rows, sets, group, strict=True))
     got = jaccard.similar_groups(spark.createDataFrame(rows, SCHEMA), size=5, percent=80).collect()
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == want
+
+
+def test_few_links_are_no_work_for_many_tasks(spark, monkeypatch):
+    """Rounds over few links take a fraction of the tasks of those that are dealt out by key, and find the same."""
+    pairs = [(i, i + 1) for i in range(1000, 1012)] + [(5, k) for k in range(6, 30)] + [(k, 3 * k % 97) for k in range(40, 60)]
+    links = spark.createDataFrame(pairs, "a long, b long").coalesce(2)
+    store, conf = spark.sparkContext._jsc.sc().statusStore(), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+
+    def run():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        seen = max([-1, *(store.jobsList(None).apply(i).jobId() for i in range(store.jobsList(None).size()))])
+        out = {r.node: r.component for r in components.components(links).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jobs = [store.jobsList(None).apply(i) for i in range(store.jobsList(None).size())]
+        return out, sum(j.numTasks() - j.numSkippedTasks() for j in jobs if j.jobId() > seen)
+
+    spark.conf.set(conf, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        few, tasks = run()
+        monkeypatch.setattr(components, "BROADCAST_ROWS", 0, raising=False)
+        dealt, more = run()
+    finally:
+        spark.conf.set(conf, before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    group = {n: n for p in pairs for n in p}
+    for _ in group:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert few == dealt == group
+    assert 3 * tasks < more, (tasks, more)
